@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,9 +199,7 @@ def scan(docs: DataFrame, *, text: str = "text", templates: tuple = TEMPLATES, p
     """
 
     @F.pandas_udf(RESULT)
-    def of(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a = automaton(templates, phrases)
         for texts in batches:
             rows = [(len(seq), *a.scan(seq)) for seq in map(words, texts)]
