@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, exact_dedup, license_scan, mixing, pii, quality, simhash
+from tracewright.llm import bpe, chat, exact_dedup, license_scan, mixing, pii, quality, simhash, warc
 from tracewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,6 +37,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_warc(files, fields=("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(chat.HOSTILE, "conv_id long, turn int, role string, text string"))
+    return chat.read_back(chat.format_turns(turns))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).withColumn("text", F.col("pseudonymised")).drop("pseudonymised")
@@ -57,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
+    "op6_chat": op6_chat,
     "op7_pii": op7_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
@@ -64,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_chat": chat.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
