@@ -1,15 +1,63 @@
-"""A pipeline of corpus operators over documents."""
+"""From raw documents to token ids: filter by quality, drop copies and near copies, mix sources, encode.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import bpe, exact_dedup, mixing, quality, simhash
+from tracewright.llm.common import table
+from tracewright.llm.queries import TOKENIZER
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones that aren't held out, predicts as good."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select(COLUMNS), weights).where("predicted = 1").select(COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_groups(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints."""
+    return simhash.near_representatives(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target takes it."""
+    return mixing.mixed(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that the mix took."""
+    coded = bpe.code(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), decode=None)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("BPE encoding", encode),
+]
 
-STAGES: list = []
+#: The classifier, the fingerprints and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -131,6 +131,14 @@ def linked(fps: DataFrame, bits: int) -> DataFrame:
     return first.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
+def grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """Adds root, the same for all of a component, and component_id to rows (key, fp, ...)."""
+    nodes = rows.groupBy("fp").agg(F.min("key").alias("least"))
+    named = nodes.join(durable(linked(nodes.select("fp"), bits)), "fp")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
+
+
 def near_groups(docs: DataFrame, *, bits: int = 4, words: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) for every document.
 
@@ -143,17 +151,21 @@ def near_groups(docs: DataFrame, *, bits: int = 4, words: int = 4, seed: int = 4
     """
     # Narrow rows: the texts are read once.
     rows = durable(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), words, seed).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = durable(linked(nodes.select("fp"), bits))
-    named = nodes.join(roots, "fp")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_representatives(docs: DataFrame, *, key: str = "doc_id", **how) -> DataFrame:
-    """docs without all but one document of each component: the one that has the smallest key. Of rows that share this key the first stays, in order of the whole row."""
-    groups = near_groups(docs, key=key, **how)
-    heads = groups.where(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("__head")).distinct()
-    kept = docs.join(heads, docs[key].eqNullSafe(heads["__head"]), "left_semi")
-    order = Window.partitionBy(key).orderBy(*[F.hash(c) if t.startswith(("map", "variant")) else F.col(c) for c, t in without(kept, key).dtypes])
-    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return grouped(rows, bits).select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_representatives(docs: DataFrame, *, bits: int = 4, words: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but one document of each component of near_groups: the one with the smallest key, null last.
+
+    Of documents that share it, the one whose text has the smallest digest
+    stays, and of rows that share the text too, the first in order of the other
+    columns; documents of other components that share a key are not touched.
+    """
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    rows = durable(docs.select(F.col(key).alias("key"), digest.alias("digest"), fingerprints(F.col(text), words, seed).alias("fp")))
+    heads = grouped(rows, bits).groupBy("root").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "digest")).alias("h")).select(F.col("h.key").alias("__key"), F.col("h.digest").alias("__digest"))
+    found = docs.withColumn("__own", digest)
+    kept = found.join(heads, (found["__own"] == heads["__digest"]) & found[key].eqNullSafe(heads["__key"]), "left_semi")
+    rest = [F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)]))] if set(docs.columns) - {key, text} else [F.lit(1)]
+    order = Window.partitionBy("__own", key).orderBy(*rest, F.col(text).asc_nulls_first())
+    return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__own")
