@@ -367,8 +367,8 @@ def _points(spark, d):
 
 
 def _zero_sql(by: str) -> str:
-    return f"""WITH {POINTS}, f AS (SELECT {by}, count(*) AS n, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy FROM pt GROUP BY {by})
-SELECT {by}, n, round(xy / xx, 6) AS m, round(sqrt(greatest(yy - 2 * (xy / xx) * xy + (xy / xx) * (xy / xx) * xx, 0) / (n - 1) / xx), 6) AS m_sd FROM f"""
+    return f"""WITH {POINTS}, f AS (SELECT {by}, count(*) AS n, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy, max(y) / max(x) AS q, max(y) / max(x) * sqrt(pow(max(ex) / max(x), 2) + pow(max(ey) / max(y), 2)) AS q_sd FROM pt GROUP BY {by})
+SELECT {by}, n, round(CASE WHEN n = 1 THEN q ELSE xy / xx END, 6) AS m, round(CASE WHEN n = 1 THEN q_sd ELSE sqrt(greatest(yy - 2 * (xy / xx) * xy + (xy / xx) * (xy / xx) * xx, 0) / nullif(n - 1, 0) / xx) END, 6) AS m_sd FROM f"""
 
 
 @query(_zero_sql("ratio"))
