@@ -1,9 +1,11 @@
 """Exact deduplication by a content sort.
 
 Normalised texts are range-partitioned by sampled splitters, each partition is
-sorted by them (externally, where it exceeds memory), so that equal texts lie
-side by side, and a window compares neighbours in full. Spark's range exchange,
-sort and window do just these three.
+sorted (externally, where it exceeds memory), so that equal texts lie side by
+side, and a window compares neighbours in full. Spark's range exchange, sort
+and window do just these three. The order is by a text's first HEAD characters,
+then by a hash of all of it, then by the text; splitters are sampled on the
+driver, so they have the first two only and stay small however long texts are.
 
 A text that a large share of the rows holds would meet in one partition. A
 sample finds such texts, HOT at most; their rows are sorted by (text, salt),
@@ -21,6 +23,8 @@ from tracewright.llm.common import whole_text, without
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 #: Texts at most that are salted, and salts of each. A text that isn't among the HOT most frequent has under 1 / HOT of the rows.
 HOT, SALTS = 1000, 256
+#: Characters of a text that splitters have.
+HEAD = 16
 #: Share of the rows from which frequent texts are told, and how often one must occur among them.
 SAMPLE, OFTEN = 0.02, 12
 
@@ -48,16 +52,17 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     columns are kept.
     """
     rows = without(docs, *ADDED).withColumn("__norm", normalised(whole_text(text))).withColumn("__long", F.length(whole_text(text)))
+    rows = rows.withColumn("__head", F.substring("__norm", 1, HEAD)).withColumn("__hash", F.xxhash64("__norm"))
     hot = hot_texts(docs, text)
-    content = ["__norm"]
+    split = ["__head", "__hash"]
     if hot:
-        rows = rows.withColumn("__salt", F.when(F.xxhash64("__norm").isin(hot), F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).otherwise(-1))
-        content += ["__salt"]
-    equal = Window.partitionBy(*content)
+        rows = rows.withColumn("__salt", F.when(F.col("__hash").isin(hot), F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).otherwise(-1))
+        split += ["__salt"]
+    equal = Window.partitionBy(*split, "__norm")
     best = equal.orderBy(F.desc("__long"), F.col(key).asc_nulls_last())
     winner = F.struct(F.col("__long").alias("l"), F.col(key).alias("k"))
     done = (
-        rows.repartitionByRange(*content)
+        rows.repartitionByRange(*split)
         .withColumn("__place", F.row_number().over(best))
         .withColumn("__best", F.first(winner).over(best))
         .withColumn("__n", F.count(F.lit(1)).over(equal))
@@ -66,13 +71,13 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     columns = without(docs, *ADDED).columns
     if not hot:
         return done.select(*columns, F.col("__best.k").alias("keep_id"), F.col("__n").alias("group_size"), (F.col("__place") == 1).alias("kept"), "text_sha256")
-    again = Window.partitionBy("__norm").orderBy(F.desc("__best.l"), F.col("__best.k").asc_nulls_last())
+    again = Window.partitionBy("__head", "__hash", "__norm").orderBy(F.desc("__best.l"), F.col("__best.k").asc_nulls_last())
     merged = (
         done.where("__salt >= 0 AND __place = 1")
-        .select("__norm", "__salt", "__best", "__n", "text_sha256")
-        .repartitionByRange("__norm")
+        .select("__head", "__hash", "__norm", "__salt", "__best", "__n", "text_sha256")
+        .repartitionByRange("__head", "__hash")
         .withColumn("__first", F.row_number().over(again))
-        .withColumn("__all", F.sum("__n").over(Window.partitionBy("__norm")))
+        .withColumn("__all", F.sum("__n").over(Window.partitionBy("__head", "__hash", "__norm")))
         .where("__first = 1")
         .select("text_sha256", F.col("__salt").alias("__won"), F.col("__best.k").alias("__keep"), "__all")
     )
