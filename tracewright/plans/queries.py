@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-MASK = F.col("value") > 30
+MASK = "value > 30"
 #: Runs of value > 30 in SQL: m, the number of the stretch of equal m, its length, and whether it is the first.
 RUNS = f"""{E_SQL}, m AS (SELECT *, value > 30 AS m, CASE WHEN (value > 30) <> lag(value > 30) OVER w THEN 1 ELSE 0 END AS ch FROM e WINDOW w AS (PARTITION BY sample ORDER BY idx)),
 s AS (SELECT *, sum(ch) OVER (PARTITION BY sample ORDER BY idx) AS st, count(*) OVER (PARTITION BY sample) AS n FROM m),
@@ -66,7 +66,7 @@ def zero_screen(spark, d):
 
 @query(f"WITH {RUNS} SELECT sample, count(*) FILTER (m) AS n_signal, count(*) FILTER (m AND value < 60) AS n_kept, round(100.0 * (count(*) FILTER (m) - count(*) FILTER (m AND value < 60)) / nullif(count(*) FILTER (m), 0)::DOUBLE, 6) AS removed_percent FROM r GROUP BY sample")
 def filter_accounting(spark, d):
-    e = events(spark, d).withColumn("sig", MASK).withColumn("keep", F.col("value") < 60)
+    e = events(spark, d).withColumn("sig", F.expr(MASK)).withColumn("keep", F.col("value") < 60)
     return masks.accounting(e, "sig", "keep").withColumn("removed_percent", r6("removed_percent"))
 
 
@@ -189,7 +189,7 @@ def window_grid(spark, d):
 
 
 def masked(spark, d):
-    return events(spark, d).withColumn("m", MASK)
+    return events(spark, d).withColumn("m", F.expr(MASK))
 
 
 @query(f"WITH {RUNS} SELECT sample, idx, coalesce(lead(m) OVER (PARTITION BY sample ORDER BY idx) <> m, false) AS changes FROM r")
