@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             ys += b.column("y").to_pylist()
         yield pa.RecordBatch.from_pydict({"w": [fit(texts, ys).tobytes()]})
 
-    return np.frombuffer(chosen.select("t", "y").coalesce(1).mapInArrow(one, "w binary").first()[0], np.float32)
+    fitted = chosen.select("t", "y").coalesce(1).mapInArrow(one, "w binary").first()  # none where no row leaves no task
+    return np.frombuffer(fitted[0], np.float32) if fitted else np.zeros(1 << BITS, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
