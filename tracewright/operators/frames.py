@@ -77,10 +77,8 @@ def gradient_by_row(value: str, win: int) -> Column:
 def with_gradient(df: DataFrame, value: str, win: int, mode: str = "mid", name: str = "gradient", time: str = TIME) -> DataFrame:
     """Slope against time of frames with more than two values; the ends repeat the nearest full frame."""
     fit = F.regr_slope(F.col(value), F.col(time))
-    before, after = reach(win, mode)
-    frame = order().rowsBetween(-before, after)
-    df = df.withColumn("__pairs", F.count(F.when(F.col(value).isNotNull() & F.col(time).isNotNull(), 1)).over(frame))
-    df = clamped(df, name, fit, win, mode)
+    pairs = F.count(F.when(F.col(value).isNotNull() & F.col(time).isNotNull(), 1))
+    df = clamped(clamped(df, "__pairs", pairs, win, mode), name, fit, win, mode)
     return df.withColumn(name, F.when(F.col("__pairs") > 2, F.col(name))).drop("__pairs")
 
 

@@ -132,9 +132,8 @@ def row_gradient(spark, d):
 
 
 def _gradient_sql(before: int, after: int, select: str) -> str:
-    return f"""WITH {E_SQL}, h AS (SELECT *, time / 3600 AS t, count(*) OVER (PARTITION BY sample) AS n FROM e), g AS (SELECT *, CASE WHEN idx >= {before} AND idx < n - {after} THEN regr_slope(value, t) OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) END AS g0,
-count(*) OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) AS k FROM h),
-f AS (SELECT *, CASE WHEN k > 2 THEN CASE WHEN idx < {before} THEN max(g0) FILTER (idx = {before}) OVER (PARTITION BY sample) WHEN idx >= n - {after} THEN max(g0) FILTER (idx = n - 1 - {after}) OVER (PARTITION BY sample) ELSE g0 END END AS gradient FROM g) {select}"""
+    return f"""WITH {E_SQL}, h AS (SELECT *, time / 3600 AS t, count(*) OVER (PARTITION BY sample) AS n FROM e), g AS (SELECT *, CASE WHEN idx >= {before} AND idx < n - {after} THEN regr_slope(value, t) OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) END AS g0 FROM h),
+f AS (SELECT *, CASE WHEN idx < {before} THEN max(g0) FILTER (idx = {before}) OVER (PARTITION BY sample) WHEN idx >= n - {after} THEN max(g0) FILTER (idx = n - 1 - {after}) OVER (PARTITION BY sample) ELSE g0 END AS gradient FROM g) {select}"""
 
 
 def _hours(e):

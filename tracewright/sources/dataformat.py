@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.names import in_order
+
 KNOWN = {"delimiter", "header", "footer", "pattern", "time_column", "time_unit", "meta", "replace"}
 UNITS = {"ms": 1e-3, "s": 1.0, "min": 60.0}
 #: Distinct header rows that are settled at most.
@@ -37,7 +39,8 @@ def checked(fmt: dict | str) -> dict:
 
 def scan_lines(spark: SparkSession, path: str, extension: str = "") -> DataFrame:
     """(file, line_no, n_lines, line) of every file whose name contains extension."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").where(F.contains("file", F.lit(extension)))
+    # Spark gives names as in a URL.
+    files = spark.read.text(path, wholetext=True).select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"), "value").where(F.contains("file", F.lit(extension)))
     return lines_of(files, "file", "value")
 
 
@@ -89,7 +92,7 @@ def traces(lines: DataFrame, fmt: dict | str) -> DataFrame:
         raise ValueError(f"over {HEADERS} different header rows")
     split = re.compile(fmt["delimiter"] if len(fmt["delimiter"]) > 1 else re.escape(fmt["delimiter"]))
     places = {h: {m[1] if (m := re.search(fmt["pattern"], c)) and m.re.groups else m[0]: i for i, c in enumerate(split.split(h)) if i != fmt["time_column"] and re.search(fmt["pattern"], c)} for h in distinct}
-    common = [c for c in next(iter(places.values()), {}) if all(c in p for p in places.values())]
+    common = in_order(c for c in next(iter(places.values()), {}) if all(c in p for p in places.values()))
     parts = F.split("line", split.pattern)
     number = lambda i: F.nanvl(F.get(parts, F.lit(i)).try_cast("double"), F.lit(None).cast("double"))
 
