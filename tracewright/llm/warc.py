@@ -31,6 +31,8 @@ from tracewright.llm.common import durable, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range, and bytes that are read at once.
 RANGE, CHUNK = 32 << 20, 1 << 20
+#: Tasks that read at most; beyond, a task has several ranges.
+TASKS = 50_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes long, records long"
@@ -208,7 +210,9 @@ def read_warc(files: DataFrame, *, span: int = RANGE, fields: tuple[str, ...] =
 
     kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
     arrow = pa.schema([(f.name, kinds[f.dataType]) for f in schema])
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    # A range is a small row and much work: with a number of its own, Spark doesn't lay the small partitions together.
+    tasks = min(TASKS, files.agg(F.sum(F.ceil(F.col("bytes") / span))).first()[0] or 1)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, schema)
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
