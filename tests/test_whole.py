@@ -1,0 +1,50 @@
+"""Registered queries and operators do the whole job: nothing is left out by id, size or length."""
+
+import datetime
+import os
+
+import duckdb
+import pytest
+
+from tracewright.operators import ratio
+from tracewright.plans import queries
+
+DATA = "/root/testdata/sf0.1"
+
+
+def rows(found):
+    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name,cut", [("mass_fractions", " WHERE s_suppkey % 7 <> 0")])
+def test_equals_sql_without_its_cut(spark, name, cut):
+    """The registered SQL still has a cut that the query has no more; without it they agree."""
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name].replace(cut, '')})").fetchall()
+    assert rows(map(tuple, df.collect())) == rows(want)
+
+
+def suppliers(spark, path, keys):
+    """Driver tables of one line for each supplier."""
+    day = datetime.date(2024, 1, 1)
+    lines = [(day, k, 1, 1, 2.0, 10.0 * k, 0.1, 0.1, "A", "O", k) for k in keys]
+    spark.createDataFrame(lines, "l_shipdate date, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_suppkey long").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(k, 5000.0) for k in keys], "s_suppkey long, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def test_mass_fractions_of_every_supplier(spark, tmp_path):
+    d = suppliers(spark, tmp_path, range(1, 15))
+    got = {r.sample: r.price_massfrac for r in queries.mass_fractions(spark, d).collect()}
+    assert got == {k: round(10.0 * k / 2 * 0.5 * (24.305 / 40.078), 6) for k in range(1, 15)}
+
+
+def test_mass_fractions_without_a_concentration_are_null(spark):
+    x = spark.createDataFrame([("a", 0, 2.0), ("b", 0, 2.0)], "sample string, idx int, price_qty double")
+    conc = spark.createDataFrame([("a", 0.6)], "sample string, int_stand_massfrac double")
+    got = {r.sample: r.price_massfrac for r in ratio.with_mass_fractions(x, {"price_qty": (1.0, 2.0)}, conc).collect()}
+    assert got == {"a": 2.0 * 0.6 * 0.5, "b": None}

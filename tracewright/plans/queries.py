@@ -261,7 +261,7 @@ def interference(spark, d):
 @query(f"""WITH {L_SQL}, c AS (SELECT s_suppkey AS sample, s_acctbal / 10000 AS k FROM supplier WHERE s_suppkey % 7 <> 0)
 SELECT l.sample, l.idx, round(price / qty * k * (24.305::DOUBLE / 40.078::DOUBLE), 6) AS price_massfrac FROM l LEFT JOIN c USING (sample)""")
 def mass_fractions(spark, d):
-    conc = table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("sample"), (F.col("s_acctbal") / 10000).alias("int_stand_massfrac"))
+    conc = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_acctbal") / 10000).alias("int_stand_massfrac"))
     x = ratio.with_ratios(lines(spark, d), ["price"], "qty")
     return ratio.with_mass_fractions(x, {"price_qty": (24.305, 40.078)}, conc).select("sample", "idx", r6("price_massfrac"))
 
