@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tracewright.operators import ratio
+from tracewright.operators import background, ratio
 from tracewright.plans import queries
 
 DATA = "/root/testdata/sf0.1"
@@ -17,7 +17,7 @@ def rows(found):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name,cut", [("mass_fractions", " WHERE s_suppkey % 7 <> 0")])
+@pytest.mark.parametrize("name,cut", [("mass_fractions", " WHERE s_suppkey % 7 <> 0"), ("background_summary", " AND count(*) < 12"), ("background_outliers", " AND count(*) < 12")])
 def test_equals_sql_without_its_cut(spark, name, cut):
     """The registered SQL still has a cut that the query has no more; without it they agree."""
     con = duckdb.connect()
@@ -48,3 +48,18 @@ def test_mass_fractions_without_a_concentration_are_null(spark):
     conc = spark.createDataFrame([("a", 0.6)], "sample string, int_stand_massfrac double")
     got = {r.sample: r.price_massfrac for r in ratio.with_mass_fractions(x, {"price_qty": (1.0, 2.0)}, conc).collect()}
     assert got == {"a": 2.0 * 0.6 * 0.5, "b": None}
+
+
+def test_background_stretches_of_any_length(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    values = [5.0] + [50.0] * 15 + [5.0] + [40.0] * 3 + [5.0]
+    e = [(i, 1, at + datetime.timedelta(hours=i), "view", v) for i, v in enumerate(values)]
+    spark.createDataFrame(e, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.n for r in queries.background_summary(spark, str(tmp_path)).collect()) == [3, 15]
+    assert queries.background_outliers(spark, str(tmp_path)).count() == 2
+
+
+@pytest.mark.parametrize("n_max,want", [(None, [3, 12, 15]), (15, [3, 12]), (12, [3])])
+def test_background_n_max(spark, n_max, want):
+    x = spark.createDataFrame([("a", k, float(i), 1.0) for k, n in enumerate((1, 3, 12, 15), 1) for i in range(n)], "sample string, ns int, u_time double, v double")
+    assert sorted(r.n for r in background.summaries(x, ["v"], n_min=1, n_max=n_max).collect()) == want

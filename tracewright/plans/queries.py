@@ -272,7 +272,7 @@ b AS (SELECT sample, ns, count(*) AS n, avg(time / 3600) AS time, avg(value) AS
 
 def _backgrounds(spark, d):
     e = runs.number(masked(spark, d), "m", "ns").withColumn("time", F.col("time") / 3600)
-    return background.summaries(e, ["value"], "ns", "time", n_min=1, n_max=12)
+    return background.summaries(e, ["value"], "ns", "time", n_min=1)
 
 
 @query(f"WITH {BKG} SELECT sample, CAST(ns AS INT) AS ns, n, round(time, 6) AS time, round(mu, 6) AS value_mean, round(sd, 6) AS value_std, round(se, 6) AS value_se FROM b")
