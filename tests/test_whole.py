@@ -2,11 +2,14 @@
 
 import datetime
 import os
+import re
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.operators import background, ratio
+from tracewright.operators import background, calibrate, masks, ranked, ratio, stats
 from tracewright.plans import queries
 
 DATA = "/root/testdata/sf0.1"
@@ -63,3 +66,80 @@ def test_background_stretches_of_any_length(spark, tmp_path):
 def test_background_n_max(spark, n_max, want):
     x = spark.createDataFrame([("a", k, float(i), 1.0) for k, n in enumerate((1, 3, 12, 15), 1) for i in range(n)], "sample string, ns int, u_time double, v double")
     assert sorted(r.n for r in background.summaries(x, ["v"], n_min=1, n_max=n_max).collect()) == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def dealt_by_range(df):
+    """Whether every window is within a range, or over the rows that there is one of for each range."""
+    keys = re.findall(r"windowspecdefinition\(([\w]+)", plan(df))
+    return bool(keys) and set(keys) == {"__range"}
+
+
+SHAPES = {
+    "normal": lambda g: g.normal(size=997),
+    "one value has most rows": lambda g: np.where(g.random(1000) < 0.7, 5.0, g.normal(size=1000)),
+    "wide": lambda g: np.exp(g.normal(size=500) * 40),
+    "constant": lambda g: np.full(50, 3.0),
+    "zero": lambda g: np.zeros(9),
+    "infinite": lambda g: np.r_[-np.inf, g.normal(size=100), np.inf],
+    "single": lambda g: np.array([4.0]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_quantiles_are_exact(spark, shape):
+    v = SHAPES[shape](np.random.default_rng(1))
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    at = [0.025, 0.25, 0.5, 0.8, 0.975]
+    assert ranked.quantiles(df, "v", at, n=7) == pytest.approx(np.quantile(v, at).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert ranked.quantiles(df, "v", [0.5]) == [None]
+    assert [tuple(r)[1:] for r in masks.percentile_masks(df, "v", [50]).collect()] == [(False, False)]
+
+
+def test_population_limits_hold_no_values_in_one_buffer(spark):
+    df = spark.createDataFrame([(float(i), float(i * i)) for i in range(50)], "x double, y double")
+    for out in (masks.percentile_masks(df, "y", [25, 75]), stats.residual_summary(df, "x", "y"), stats.bland_altman(df, "x", "y")):
+        assert "percentile(" not in plan(out)
+
+
+def test_ks_over_ranges(spark):
+    g = np.random.default_rng(2)
+    a, b = np.round(g.normal(size=400), 1), np.round(g.normal(0.3, 1, 300), 1)
+    df = spark.createDataFrame([(float(x), "a") for x in a] + [(float(x), "b") for x in b], "v double, side string")
+    out = stats.ks_statistic(df, "v", "side", "a")
+    at = np.unique(np.r_[a, b])
+    assert out.first().ks == pytest.approx(max(abs((a <= x).mean() - (b <= x).mean()) for x in at))
+    assert dealt_by_range(out)
+
+
+def test_consecutive_groups_over_ranges(spark):
+    g = np.random.default_rng(3)
+    seq = [(i, float(t), bool(s)) for i, (t, s) in enumerate(zip(g.permutation(600), g.random(600) < 0.4))]
+    out = calibrate.consecutive_groups(spark.createDataFrame(seq, "id int, t double, std boolean"), "std", "t")
+    want, others, last, grp = {}, 0, None, 0
+    for i, t, s in sorted(seq, key=lambda r: r[1]):
+        if s:
+            grp += last is not None and others - last > 1
+            last, want[i] = others, (grp, t)
+        else:
+            others += 1
+    means = {k: np.mean([t for q, t in want.values() if q == k]) for k in range(grp + 1)}
+    assert {r.id: r.grp for r in out.collect()} == {i: q for i, (q, _) in want.items()}
+    assert {r.grp: r.g_time for r in out.collect()} == pytest.approx(means)
+    assert dealt_by_range(out)
+
+
+def test_half_cauchy_in_passes(spark):
+    x = np.abs(np.random.default_rng(4).standard_cauchy(500) * 3)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(0.0,), (None,)], "difference double")
+    out = stats.reproducibility(df)
+    assert out.first().scale == pytest.approx(stats.half_cauchy_scale(x), rel=1e-11)
+    assert "Python" not in plan(out)
+    assert np.isnan(stats.reproducibility(df.where(F.col("difference") < 0)).first().scale)

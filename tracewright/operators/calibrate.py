@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ranked import RANGE, ranged, running
+
 
 def reference_ratios(items: DataFrame, pairs: list[tuple[str, str, float]], srm: str = "srm", item: str = "item", value: str = "mol_g", error: str = "mol_g_err") -> DataFrame:
     """(srm, ratio, srm_mean, srm_err) for each (numerator, denominator, stoichiometry) within each material; a missing error counts as 0."""
@@ -47,14 +49,22 @@ def nearest_reference(measured: DataFrame, references: DataFrame, key: str = "st
 def consecutive_groups(runs: DataFrame, is_standard: str, time: str) -> DataFrame:
     """(rows of standards, grp, g_time): a new group begins when more than one other run started since the standard before; g_time is the group's mean time.
 
-    runs has one row for each analysis, in one session: it is aggregated
-    already, and its order in time is one sequence by definition.
+    runs has one row for each analysis. Their order in time is one sequence,
+    taken in ranges of distinct times: analyses of one time start together.
     """
-    seq = Window.orderBy(time)
-    std = runs.withColumn("__others", F.sum((~F.col(is_standard)).cast("int")).over(seq)).where(is_standard)
-    jump = (F.col("__others") - F.coalesce(F.lag("__others").over(seq), F.col("__others"))) > 1
-    std = std.withColumn("__jump", jump.cast("int")).withColumn("grp", F.sum("__jump").over(seq).cast("int"))
-    return std.withColumn("g_time", F.avg(time).over(Window.partitionBy("grp"))).drop("__others", "__jump")
+    std = F.col(is_standard)
+    times = ranged(runs.groupBy(F.col(time).alias("__t")).agg(F.count_if(~std).alias("__n"), F.count_if(std).alias("__s"), F.sum(F.when(std, F.col(time))).alias("__sum"), F.count(F.when(std, F.col(time))).alias("__k")), "__t")
+    times = running(times, "__t", {"__others": "__n"}).where("__s > 0")
+    # Counts of others never fall, so that of the standard before is the largest before.
+    of = Window.partitionBy(RANGE).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    most = times.groupBy(RANGE).agg(F.max("__others").alias("__m")).select(RANGE, F.max("__m").over(earlier).alias("__m"))  # a row for each range
+    last = F.greatest(F.max("__others").over(of), F.col("__m"))
+    times = times.join(F.broadcast(most), RANGE).withColumn("__jump", F.coalesce((F.col("__others") - last > 1).cast("int"), F.lit(0)))
+    times = running(times, "__t", {"grp": "__jump"}).withColumn("grp", F.col("grp").cast("int"))
+    means = times.groupBy("grp").agg(F.try_divide(F.sum("__sum"), F.sum("__k")).alias("g_time"))
+    found = times.select("__t", "grp").join(means, "grp")
+    return runs.where(std).join(found, F.col(time).eqNullSafe(F.col("__t"))).drop("__t")
 
 
 def calibration(points: DataFrame, by: list[str], intercept: bool = False) -> DataFrame:

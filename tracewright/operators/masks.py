@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.student import two_sided_p
 from tracewright.operators import frames
 from tracewright.operators.frames import SAMPLE, whole
+from tracewright.operators.ranked import quantiles
 
 
 def sure(predicate: Column) -> Column:
@@ -37,14 +38,14 @@ def percentile_masks(df: DataFrame, value: str, percentiles: list[float], level:
     """Adds below and above for one percentile, inside (closed) and outside for two.
 
     Limits interpolate linearly. Those of the population are of the rows that
-    `mask` holds for and are joined as a single row; those of each sample are of
-    all its rows. The masks cover all rows.
+    `mask` holds for and are found when this is called; those of each sample are
+    of all its rows. The masks cover all rows.
     """
     at = [F.lit(float(p) / 100) for p in percentiles]
     if level == "population":
         taken = df if mask is None else df.where(mask)
-        limits = taken.agg(F.percentile(value, F.array(*at)).alias("__limits"))
-        df = df.join(F.broadcast(limits))  # one row
+        limits = quantiles(taken, value, [float(p) / 100 for p in percentiles])
+        df = df.withColumn("__limits", F.array(*[F.lit(x).cast("double") for x in limits]))
     elif level == "individual":
         df = df.withColumn("__limits", F.percentile(value, F.array(*at)).over(whole()))
     else:

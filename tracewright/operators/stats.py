@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.frames import SAMPLE
+from tracewright.operators.ranked import quantiles, ranged, running
 
 
 def huber(values: np.ndarray) -> tuple[float, float]:
@@ -120,29 +121,57 @@ def half_cauchy_scale(x: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+#: Candidate scales of a pass, and passes: the logarithm's bracket shrinks by CANDIDATES + 1 in each.
+CANDIDATES, PASSES = 31, 10
+
+
+def half_cauchy_fit(df: DataFrame, value: str) -> float:
+    """half_cauchy_scale of a column: each pass aggregates the score at a grid of candidate scales and keeps the cell where it changes sign."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x > 0 AND NOT isnan(x)").persist()
+    try:
+        n, least, most = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+        if not n:
+            return float("nan")
+        lo, hi = np.log(least) - 1, np.log(most) + 1
+        x2 = F.col("x") * F.col("x")
+        for _ in range(PASSES):
+            grid = np.linspace(lo, hi, CANDIDATES + 2)
+            score = x.agg(*[F.sum(2 * x2 / (x2 + F.lit(float(np.exp(2 * t))))) for t in grid[1:-1]]).first()
+            k = sum(v > n for v in score)
+            lo, hi = grid[k], grid[k + 1]
+    finally:
+        x.unpersist()
+    return float(np.exp((lo + hi) / 2))
+
+
 def reproducibility(differences: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Half-Cauchy quantiles of the differences. The fit takes them together, as numbers, in one task."""
-    scale = grouped_udf(half_cauchy_scale)
-    return differences.agg(scale("difference").alias("scale")).select("scale", *[(F.col("scale") * F.tan(F.lit(np.pi * q / 2))).alias(f"q{round(100 * q)}") for q in quantiles])
+    """Half-Cauchy quantiles of the differences. The fit runs when this is called, in passes of sums."""
+    scale = half_cauchy_fit(differences, "difference")
+    one = differences.sparkSession.range(1).select(F.lit(scale).alias("scale"))
+    return one.select("scale", *[(F.col("scale") * F.tan(F.lit(np.pi * q / 2))).alias(f"q{round(100 * q)}") for q in quantiles])
 
 
 def residual_summary(df: DataFrame, x: str, y: str) -> DataFrame:
     """N, quartiles of y - x, and the line of residuals on x."""
     r = (F.col(y) - F.col(x)).alias("r")
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), r)
-    out = p.agg(F.count(F.lit(1)).alias("n"), F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.regr_slope("r", "x").alias("slope"), F.regr_intercept("r", "x").alias("intercept"), F.regr_r2("r", "x").alias("r2"))
-    return out.select("n", F.col("q")[1].alias("median"), F.col("q")[0].alias("lq"), F.col("q")[2].alias("uq"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "slope", "intercept", "r2")
+    lq, median, uq = (F.lit(v).cast("double") for v in quantiles(p, "r", [0.25, 0.5, 0.75]))
+    out = p.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("r", "x").alias("slope"), F.regr_intercept("r", "x").alias("intercept"), F.regr_r2("r", "x").alias("r2"))
+    return out.select("n", median.alias("median"), lq.alias("lq"), uq.alias("uq"), (uq - lq).alias("iqr"), "slope", "intercept", "r2")
 
 
 def ks_statistic(df: DataFrame, value: str, side: str, first, by: str | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of value where side is `first` and where it isn't.
 
     Equal values are counted together first, so the running sums go over
-    distinct values.
+    distinct values: those of a group, or, without groups, in ranges.
     """
     keys = [by] if by else []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(F.col(side) == first).alias("a"), F.count_if(F.col(side) != first).alias("b"))
-    base = Window.partitionBy(*(keys or [F.lit(0)]))
+    if not by:
+        sums = running(ranged(counts, "v"), "v", {"fa": "a", "fb": "b"})
+        return sums.join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))).agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"))  # sums: one row
+    base = Window.partitionBy(by)
     run = base.orderBy("v")
     d = F.abs(F.sum("a").over(run) / F.sum("a").over(base) - F.sum("b").over(run) / F.sum("b").over(base))
     return counts.withColumn("d", d).groupBy(*keys).agg(F.max("d").alias("ks"))
@@ -151,8 +180,8 @@ def ks_statistic(df: DataFrame, value: str, side: str, first, by: str | None = N
 def bland_altman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Adds pair_mean and residual to each pair, and the residuals' median and 2.5 and 97.5 percentiles."""
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("pair_mean", (F.col(x) + F.col(y)) / 2).withColumn("residual", F.col(y) - F.col(x))
-    q = p.agg(F.percentile("residual", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return p.join(F.broadcast(q)).select("*", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high")).drop("q")  # q: one row
+    low, middle, high = (F.lit(v).cast("double") for v in quantiles(p, "residual", [0.025, 0.5, 0.975]))
+    return p.withColumns({"low": low, "middle": middle, "high": high})
 
 
 def root_sum_squares(x: Column) -> Column:
