@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import background, calibrate, masks, ranked, ratio, stats
+from tracewright.operators import background, calibrate, frames, masks, ranked, ratio, stats
 from tracewright.plans import queries
 
 DATA = "/root/testdata/sf0.1"
@@ -143,3 +143,12 @@ def test_half_cauchy_in_passes(spark):
     assert out.first().scale == pytest.approx(stats.half_cauchy_scale(x), rel=1e-11)
     assert "Python" not in plan(out)
     assert np.isnan(stats.reproducibility(df.where(F.col("difference") < 0)).first().scale)
+
+
+@pytest.mark.parametrize("most", [None, 6])
+def test_windows_of_every_length(spark, most):
+    v = {"a": np.random.default_rng(5).normal(size=13), "b": np.arange(5.0)}
+    rows = [(s, i, float(i), float(x)) for s, of in v.items() for i, x in enumerate(of)]
+    got = frames.window_statistics(spark.createDataFrame(rows, "sample string, idx int, time double, v double"), "v", 3, most).collect()
+    want = {(s, w, k + w // 2 - (w % 2 == 0)): (of[k : k + w].mean(), of[k : k + w].std(ddof=1)) for s, of in v.items() for w in range(3, min(len(of) - 1, most or 99) + 1) for k in range(len(of) - w + 1)}
+    assert {(r.sample, r.w, r.centre): (r["mean"], r.sd) for r in got} == {k: pytest.approx(x) for k, x in want.items()}

@@ -94,8 +94,8 @@ def local_minima(value: str) -> Column:
     return F.coalesce((F.col(value) < F.lag(value).over(order())) & (F.col(value) < F.lead(value).over(order())), F.lit(False))
 
 
-def window_statistics(df: DataFrame, value: str, least: int, most: int) -> DataFrame:
-    """(sample, w, centre, mean, sd) for every frame size w from least to most rows and every centre where it is full.
+def window_statistics(df: DataFrame, value: str, least: int, most: int | None = None) -> DataFrame:
+    """(sample, w, centre, mean, sd) for every frame size w from least to most rows, by default to a row less than the sample has, and every centre where it is full.
 
     Frames of different sizes are one pass: prefix sums are joined with
     themselves w rows on, so a row is made for each frame and none is scanned
@@ -105,7 +105,10 @@ def window_statistics(df: DataFrame, value: str, least: int, most: int) -> DataF
     sums = df.withColumn("__v", F.col(value) - c).withColumn("__c", c)
     run = order().rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select(SAMPLE, IDX, "__c", F.sum("__v").over(run).alias("s"), F.sum(F.col("__v") * F.col("__v")).over(run).alias("q"), size().alias("n"))
-    ends = sums.select(SAMPLE, "__c", F.col(IDX).alias("hi"), "s", "q", "n", F.explode(F.sequence(F.lit(least), F.lit(most))).alias("w")).where((F.col("w") < F.col("n")) & (F.col("hi") - F.col("w") >= -1)).withColumn("lo", F.col("hi") - F.col("w"))
+    # The frames that end in a row: no larger than what lies up to it.
+    last = F.least(F.col(IDX) + 1, F.col("n") - 1, F.lit(most))
+    sizes = F.when(last >= least, F.sequence(F.lit(least), last.cast("int")))
+    ends = sums.select(SAMPLE, "__c", F.col(IDX).alias("hi"), "s", "q", "n", F.explode(sizes).alias("w")).withColumn("lo", F.col("hi") - F.col("w"))
     starts = sums.select(SAMPLE, F.col(IDX).alias("lo"), F.col("s").alias("s0"), F.col("q").alias("q0"))
     both = ends.join(starts, [SAMPLE, "lo"], "left").na.fill(0.0, ["s0", "q0"])
     s, q, w = F.col("s") - F.col("s0"), F.col("q") - F.col("q0"), F.col("w")

@@ -181,7 +181,7 @@ def local_minima(spark, d):
 SELECT a.sample, CAST(w AS INT) AS w, CAST(a.idx + CASE WHEN w % 2 = 1 THEN w // 2 ELSE w // 2 - 1 END AS INT) AS centre, round(avg(b.value), 6) AS mean, round(stddev_samp(b.value), 6) AS sd
 FROM n a, w, n b WHERE a.sample = b.sample AND b.idx >= a.idx AND b.idx < a.idx + w AND a.idx + w <= a.n AND w < a.n GROUP BY ALL""")
 def window_grid(spark, d):
-    return frames.window_statistics(events(spark, d), "value", 5, 8).select("sample", "w", "centre", r6("mean"), r6("sd"))
+    return frames.window_statistics(events(spark, d), "value", 5).select("sample", "w", "centre", r6("mean"), r6("sd"))
 
 
 # --- runs --------------------------------------------------------------------
