@@ -5,13 +5,19 @@ up to 255, dates exist, identity numbers have an issued form. A valid value is
 a pair of residues (a, b), and ROUNDS times one of them in turn has a keyed hash
 of the other added, modulo its own size. That permutes the values of a format
 among themselves: no two meet, equal ones stay equal in every document, and the
-key's holder can go back. Separators stay, check digits are made anew. In an
-email address letters and digits of the local part are permuted among strings
-of the same shape. All is built-in expressions.
+key's holder can go back (`restore`). Separators stay, check digits are made
+anew. In an email address letters and digits of the local part are permuted
+among strings of the same shape. All is built-in expressions.
+
+A date's format is how it is written: year first, or the widths of its first
+two fields and which of them is the day. Each such set of strings is numbered
+and permuted by itself, so that no string lands where one of another set may.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +36,49 @@ CARD = r"(?<![0-9])(?<![0-9]\.)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]
 ANY = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD))
 #: What any candidate has; most texts have none of it.
 MAYBE = "[0-9@]"
-#: Days of the 400 years from here on: 189 * 773, whatever the first year.
-FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Dates are of the YEARS years from here on; 400 years have as many days wherever they begin.
+FIRST_YEAR, YEARS = 1800, 400
+#: The days of October to December.
+LAST_MONTHS = 92
+
+
+@dataclass(frozen=True)
+class Key:
+    """The secret, and whether pseudonyms are made or taken back."""
+
+    secret: str
+    back: bool = False
+
+
+@dataclass(frozen=True)
+class Dates:
+    """The days from `first` on, to the 9th or to the month's end, of the first `months` months of each year: n in all, permuted as pairs of residues of a and b."""
+
+    months: int
+    first: int
+    to_ninth: bool
+    a: int
+    b: int
+    n: int
+
 
+#: What can be written in fields of two and two digits, one and one and so on; "swapped" are those that only read month first.
+#: a * b is n, or n + 1 where n is prime: the number beyond n is passed on to where it leads itself.
+ALL_DAYS = Dates(12, 1, False, 189, 773, 146_097)
+SWAPPED = Dates(12, 13, False, 9, 9833, 88_497)
+ONE_ONE = Dates(9, 1, True, 180, 180, 32_400)
+ONE_TWO = Dates(12, 1, True, 180, 240, 43_200)
+ONE_TWO_SWAPPED = Dates(9, 13, False, 157, 421, 66_097)
+TWO_ONE = Dates(9, 1, False, 259, 422, 109_297)
 
-def hashed(key: str, kind: str, i: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half), 256)
+
+def hashed(key: Key, kind: str, i: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key.secret), F.lit(kind), i.cast("string"), half), 256)
+
+
+def turns(key: Key) -> Column:
+    """The rounds, in the order that they are taken in."""
+    return F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if key.back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
 
 def number(hexadecimal: Column) -> Column:
@@ -47,7 +90,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def permuted(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: str, body) -> Column:
+def permuted(a: Column, b: Column, size_a: Column, size_b: Column, key: Key, kind: str, body) -> Column:
     """body of the pair (a, b) of residues after the rounds; sizes may differ, and both tweak the hash."""
 
     def rounds(s: Column) -> Column:
@@ -55,15 +98,16 @@ def permuted(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kin
             even = i % 2 == 0
             other = F.when(even, x["b"]).otherwise(x["a"])
             f = number(F.substring(hashed(key, kind, i, F.concat_ws(";", s["a"].cast("string"), s["b"].cast("string"), other.cast("string"))), 1, 15))
-            return F.struct(F.when(even, (x["a"] + f) % s["a"]).otherwise(x["a"]).alias("a"), F.when(even, x["b"]).otherwise((x["b"] + f) % s["b"]).alias("b"))
+            moved = lambda v, size: F.pmod(v - f if key.back else v + f, size)
+            return F.struct(F.when(even, moved(x["a"], s["a"])).otherwise(x["a"]).alias("a"), F.when(even, x["b"]).otherwise(moved(x["b"], s["b"])).alias("b"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(s["x"].alias("a"), s["y"].alias("b")), step)
+        return F.aggregate(turns(key), F.struct(s["x"].alias("a"), s["y"].alias("b")), step)
 
     start = F.struct(size_a.cast("long").alias("a"), size_b.cast("long").alias("b"), a.cast("long").alias("x"), b.cast("long").alias("y"))
     return let(let(start, rounds), body)
 
 
-def permuted_digits(digits: Column, key: str, kind: str, body) -> Column:
+def permuted_digits(digits: Column, key: Key, kind: str, body) -> Column:
     """body of another string of as many digits, up to 30."""
 
     def of(d: Column) -> Column:
@@ -98,7 +142,7 @@ def written_as(digits: Column, form: Column) -> Column:
     return F.aggregate(F.split(form, ""), start, step, lambda x: x["s"])
 
 
-def card(m: Column, key: str) -> Column:
+def card(m: Column, key: Key) -> Column:
     def of(digits: Column) -> Column:
         checked = lambda p: F.concat(p, ((10 - luhn(F.concat(p, F.lit("0"))) % 10) % 10).cast("string"))
         new = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card", lambda p: let(checked(p), lambda d: written_as(d, m)))
@@ -107,7 +151,7 @@ def card(m: Column, key: str) -> Column:
     return let(F.regexp_replace(m, "[^0-9]", ""), of)
 
 
-def phone(m: Column, key: str) -> Column:
+def phone(m: Column, key: Key) -> Column:
     def of(country: Column) -> Column:
         rest = F.substr(m, F.length(country) + 1)
         return F.concat(country, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone", lambda d: written_as(d, rest)))
@@ -115,7 +159,7 @@ def phone(m: Column, key: str) -> Column:
     return let(F.regexp_extract(m, r"^\+[0-9]{1,3}(?![0-9])", 0), of)
 
 
-def ip(m: Column, key: str) -> Column:
+def ip(m: Column, key: Key) -> Column:
     byte = lambda v, d: (F.floor(v / d) % 256).cast("string")
 
     def of(o: Column) -> Column:
@@ -125,7 +169,7 @@ def ip(m: Column, key: str) -> Column:
     return let(F.split(m, r"\.").cast("array<int>"), of)
 
 
-def ssn(m: Column, key: str) -> Column:
+def ssn(m: Column, key: Key) -> Column:
     """Areas 001 to 899 without 666, groups and serials from 1 on."""
     pad = lambda v, n: F.lpad(v.cast("string"), n, "0")
 
@@ -138,36 +182,62 @@ def ssn(m: Column, key: str) -> Column:
     return let(F.split(m, "-").cast("array<int>"), of)
 
 
-def date(m: Column, key: str) -> Column:
-    """Year first, or day before month; where that is no date, month before day."""
-    first_day = F.lit(FIRST_DAY).cast("date")
+def date(m: Column, key: Key) -> Column:
+    """Year first, or day before month; where that is no date, month before day. Fields keep their widths, and what reads month first does so still."""
+    first_day = F.lit(f"{FIRST_YEAR}-01-01").cast("date")
     mark, iso = F.regexp_extract(m, "[^0-9]", 0), F.contains(m, F.lit("-"))
     read = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    params = lambda s: F.struct(*[F.lit(v).alias(c) for c, v in vars(s).items()])
+
+    def before(s: Column, month: Column) -> Column:
+        """How many days the set has before a month, which is counted through the years."""
+        year = F.floor(month / s["months"])
+        days = F.datediff(F.make_date((year + FIRST_YEAR).cast("int"), (month % s["months"] + 1).cast("int"), F.lit(1)), first_day)
+        return F.when(s["to_ninth"], 9 * month).otherwise(days - F.when(s["months"] == 9, LAST_MONTHS * year).otherwise(0) - (s["first"] - 1) * month)
 
     def of(p: Column) -> Column:
-        short = F.length(p[0]) + F.length(p[1]) < F.when(iso, 6).otherwise(4)
+        one = (F.length(p[0]) == 1, F.length(p[1]) == 1)
 
-        def written(day: Column, swapped: Column) -> Column:
-            field = lambda v: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
-            d, mo, y = field(F.dayofmonth(day)), field(F.month(day)), F.year(day).cast("string")
-            return F.when(iso, F.concat_ws("-", y, mo, d)).when(swapped, F.concat(mo, mark, d, mark, y)).otherwise(F.concat(d, mark, mo, mark, y))
+        def written(s: Column, x: Column, at: Column) -> Column:
+            """The date with number `at` of the set."""
+            guess = F.floor(at * YEARS * s["months"] / s["n"])  # months differ by so little that it is the month beside, if not this
 
-        def moved(x: Column) -> Column:
-            day = F.datediff(F.coalesce(x["first"], x["other"]), first_day)
-            new = lambda v: let(F.date_add(first_day, (v["a"] * DAYS[1] + v["b"]).cast("int")), lambda t: written(t, x["first"].isNull()))
-            return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), permuted(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", new))
+            def found(month: Column) -> Column:
+                d, mo = (at - before(s, month) + s["first"]).cast("string"), (month % s["months"] + 1).cast("string")
+                y = (F.floor(month / s["months"]) + FIRST_YEAR).cast("string")
+                a, b = (F.when(x["swapped"], v).otherwise(w) for v, w in ((mo, d), (d, mo)))
+                fields = F.concat(F.lpad(a, F.length(p[0]), F.lit("0")), mark, F.lpad(b, F.length(p[1]), F.lit("0")), mark, y)
+                return F.when(iso, F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0"))).otherwise(fields)
 
-        return let(F.struct(F.when(iso, read(p[0], p[1], p[2])).otherwise(read(p[2], p[1], p[0])).alias("first"), F.when(~iso, read(p[2], p[0], p[1])).alias("other")), moved)
+            near = F.array(*[F.greatest(guess + d, F.lit(0)) for d in (-1, 0, 1)])
+            return let(F.array_max(F.filter(near, lambda g: before(s, g) <= at)), found)
+
+        def moved(x: Column) -> Column:
+            s, day = x["of"], x["day"]
+            month = (F.year(day) - FIRST_YEAR) * s["months"] + F.month(day) - 1
+            once = lambda v: permuted(F.floor(v / s["b"]), v % s["b"], s["a"], s["b"], key, "date", lambda q: q["a"] * s["b"] + q["b"])
+            inside = lambda v: F.when(v < s["n"], v).otherwise(once(v))
+            new = let(let(before(s, month) + F.dayofmonth(day) - s["first"], once), inside)
+            return F.when(F.year(day).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), let(new, lambda at: written(s, x, at)))
+
+        def kind(x: Column) -> Column:
+            swapped = x["day"].isNull()
+            by = F.when(iso | ~one[0] & ~one[1] & ~swapped, params(ALL_DAYS)).when(one[0] & one[1], params(ONE_ONE)).when(one[1], params(TWO_ONE))
+            by = by.when(one[0], F.when(swapped, params(ONE_TWO_SWAPPED)).otherwise(params(ONE_TWO))).otherwise(params(SWAPPED))
+            return let(F.struct(by.alias("of"), F.coalesce(x["day"], x["other"]).alias("day"), swapped.alias("swapped")), moved)
+
+        day = F.when(iso, read(p[0], p[1], p[2])).otherwise(read(p[2], p[1], p[0]))
+        return let(F.struct(day.alias("day"), F.when(~iso, read(p[2], p[0], p[1])).alias("other")), kind)
 
     return let(F.split(m, "[/.-]"), of)
 
 
-def email(m: Column, key: str) -> Column:
+def email(m: Column, key: Key) -> Column:
     def shifted(half: Column, stream: Column) -> Column:
         def one(s: Column) -> Column:
             def at(p: Column) -> Column:
                 c, k = F.substr(half, p, F.lit(1)), number(F.substr(s, 2 * p - 1, F.lit(2)))
-                within = lambda first, n: F.char((F.ascii(c) - ord(first) + k) % n + ord(first))
+                within = lambda first, n: F.char(F.pmod(F.ascii(c) - ord(first) + (-k if key.back else k), F.lit(n)) + ord(first))
                 return F.when(c.between("a", "z"), within("a", 26)).when(c.between("A", "Z"), within("A", 26)).when(c.between("0", "9"), within("0", 10)).otherwise(c)
 
             return F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), at), "")
@@ -182,14 +252,14 @@ def email(m: Column, key: str) -> Column:
 
         left = F.floor(F.length(s["local"]) / 2).cast("int")
         halves = F.struct(F.substr(s["local"], F.lit(1), left).alias("a"), F.substr(s["local"], left + 1).alias("b"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, step, lambda x: F.concat(x["a"], x["b"], F.substr(m, F.length(s["local"]) + 1)))
+        return F.aggregate(turns(key), halves, step, lambda x: F.concat(x["a"], x["b"], F.substr(m, F.length(s["local"]) + 1)))
 
     local = F.substring_index(m, "@", 1)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     return let(F.struct(local.alias("local"), shape.alias("shape")), rounds)
 
 
-def replaced(m: Column, key: str) -> Column:
+def replaced(m: Column, key: Key) -> Column:
     """kind and text of a candidate's pseudonym; kind is null, and the text its own, where it isn't valid."""
     by = {"email": (EMAIL, email), "date": (DATE, date), "ip": (IP, ip), "ssn": (SSN, ssn), "phone": (PHONE, phone), "card": (CARD, card)}
     kind = F.when(F.contains(m, F.lit("@")), "email")
@@ -205,18 +275,29 @@ def replaced(m: Column, key: str) -> Column:
     return let(kind, of)
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", back: bool = False) -> DataFrame:
     """Adds pseudonymised (the text) and n_email, n_date, n_ip, n_ssn, n_phone and n_card (values replaced) to every row.
 
     What isn't valid stays: a number that fails its check, an octet over 255, a
-    day that isn't in the calendar or outside 1800 to 2199. Null text gives
-    null and zeros, a text without candidates itself. A value may lie at either
-    end of a text of any length. Rows are independent: repeated ones have equal
-    results. Input columns named as an added one are replaced; others are kept.
-    The key is part of the plan: treat plans and logs as confidential as itself.
+    day that isn't in the calendar or outside 1800 to 2199, and so does an
+    address whose local part has over 64 characters. A day has one pseudonym
+    however often it is written in one way; year first and day first with two
+    digits each agree in it, other ways of writing have their own. Null text
+    gives null and zeros, a text without candidates itself. A value may lie at
+    either end of a text of any length. Rows are independent: repeated ones
+    have equal results. Input columns named as an added one are replaced;
+    others are kept. The key is part of the plan: treat plans and logs as
+    confidential as itself. With `back` pseudonyms are taken back.
     """
-    out = without(docs, *ADDED, "__found").withColumn("__found", F.when(F.col(text).rlike(MAYBE), F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: replaced(m, key))))
+    own = Key(key, back)
+    out = without(docs, *ADDED, "__found").withColumn("__found", F.when(F.col(text).rlike(MAYBE), F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: replaced(m, own))))
     woven = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), ANY, -1), F.transform("__found", lambda x: x["text"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     count = lambda k: F.coalesce(F.size(F.filter("__found", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
     new = F.when(F.size("__found") > 0, woven).otherwise(F.col(text))
     return out.withColumns({"pseudonymised": new} | {f"n_{k}": count(k) for k in KINDS}).drop("__found")
+
+
+def restore(docs: DataFrame, key: str, *, text: str = "pseudonymised") -> DataFrame:
+    """Adds restored: the text before pseudonymise with this key."""
+    kept = without(docs, "restored").select(F.col(text).alias("__text"), F.struct("*").alias("__row"))
+    return pseudonymise(kept, key, text="__text", back=True).select("__row.*", F.col("pseudonymised").alias("restored"))
