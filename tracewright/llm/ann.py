@@ -4,10 +4,13 @@ A tree of centroids is fitted on a bounded sample of unit vectors and sent to
 every task. All vectors descend to a leaf. A query goes best bin first: a
 priority queue holds open nodes by the cosine to their centroid, leaves come
 off it in turn, and the query visits as many as `calibrate` found to reach the
-wanted recall on the sample, widening them from one on. Leaves are laid together, or
-cut, into shards of a bounded number of vectors, where queries and vectors
-meet; a query looks only at the leaves that it visits. Equal vectors are one class with its smallest ids, so a vector
-that most rows share is indexed once, and asked for once.
+wanted recall on the sample, widening them from one on; it goes on while the
+leaves so far hold fewer rows than it wants. Leaves are laid together, or cut,
+into shards of a bounded number of vectors, where queries and vectors meet; a
+query looks only at the leaves that it visits. A shard that very many queries
+visit is dealt out again, as often as their number asks for: all other vectors
+are shuffled once. Equal vectors are one class with its smallest ids, so a
+vector that most rows share is indexed once, and asked for once.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,8 @@ from tracewright.llm.common import durable
 SAMPLE, FAN, LEAF, ROUNDS = 16_384, 8, 32, 8
 #: Sample vectors that are asked for in calibration, the recall they must reach, and the share of the visits (1 / WIDEN) that a step adds.
 ASKED, RECALL, WIDEN = 256, 0.96, 8
-#: Classes of a block at most on average, and salts that ids of a class are ranked in.
-BLOCK, SALTS = 4096, 64
+#: Classes, and queries, that meet at once on average at most; and salts that ids of a class are ranked in.
+BLOCK, ASKS, SALTS = 4096, 16_384, 64
 
 
 @dataclass
@@ -42,6 +46,8 @@ class Tree:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of the largest and the smallest numbers too, for they are scaled first."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -160,7 +166,8 @@ def shards_of(counts: dict[int, int], n_leaves: int) -> list[range]:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """In double precision, from sums that are rounded once: it depends on the two vectors alone."""
+    """In double precision, from sums that are rounded once: it depends on the two vectors alone. Powers of two are taken out first, so that no square is too large or small."""
+    a, b = (np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) for v in (a, b))
     return math.fsum(a * b) / (math.sqrt(math.fsum(a * a)) * math.sqrt(math.fsum(b * b)))
 
 
@@ -168,18 +175,18 @@ def meet(left: pd.DataFrame, right: pd.DataFrame, k: int) -> Iterator[tuple[int,
     """(q, id, score) of the k best classes that each query of left finds in the leaves it visits of the shard, and all that tie with the last."""
     right = right.sort_values("leaf", kind="stable")
     x, ids, home = matrix(right["vector"]), right["ids"].to_list(), right["leaf"].to_numpy()
-    norms = np.linalg.norm(x, axis=1)
+    directions = unit(x)
     for at in range(0, len(left), 256):
         some = left.iloc[at : at + 256]
-        vectors = matrix(some["vector"])
-        near = (vectors @ x.T) / norms
+        vectors = matrix(some["query"])
+        near = unit(vectors) @ directions.T
         for q, v, leaf, row in zip(some["q"].to_list(), vectors, some["leaves"].to_list(), near, strict=True):
             here = np.flatnonzero(np.isin(home, leaf))
             if not len(here):
                 continue
             n = min(k, len(here))
             least = np.partition(row[here], -n)[-n]
-            for j in here[row[here] >= least - 1e-9 * np.linalg.norm(v)].tolist():
+            for j in here[row[here] >= least - 1e-9].tolist():
                 score = cosine(v, x[j])
                 yield from ((q, int(i), score) for i in ids[j])
 
@@ -189,19 +196,25 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec
 
     Nearness is the cosine in double precision, ties go to the smaller id.
     Vectors that are null, zero, or have a component null or not finite take no
-    part, nor do rows without id, or of another length than the sample's first
-    vector. Repeated rows are one candidate, and one query. Fewer than k
-    candidates are all returned where the visited leaves hold them. An empty
-    table gives an empty result. Other columns are not returned.
+    part, nor do rows without id. Vectors are compared with those of their own
+    length only: each length is a table of its own. Repeated rows are one
+    candidate, and one query. A query with k candidates or more has k results,
+    others have all. An empty table gives an empty result. Other columns are
+    not returned.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked")).distinct()
+    rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    widths = sorted(r[0] for r in rows.where("asked").select(F.size("vector")).distinct().collect())  # a number for each length
+    found = [nearest_of(rows.where(F.size("vector") == w).distinct(), k, seed) for w in widths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def nearest_of(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """nearest for distinct rows (id, vector, asked) of vectors of one length."""
+    spark = rows.sparkSession
     classes = durable(smallest_ids(rows.select("id", "vector"), k + 1))
     # The sample: SAMPLE classes at most, by a hash of the vector.
     sample = classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).toPandas()["vector"]
-    width = len(sample.iloc[0]) if len(sample) else 0
-    rows, classes = (x.where(F.size("vector") == width) for x in (rows, classes))
-    tree = spark.sparkContext.broadcast(fit(unit(matrix(sample[sample.map(len) == width])), seed))  # a centre for each node: under SAMPLE
+    tree = spark.sparkContext.broadcast(fit(unit(matrix(sample)), seed))  # a centre for each node: under SAMPLE
 
     @F.pandas_udf("int")
     def leaf_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -209,8 +222,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec
             yield pd.Series(descend(tree.value, unit(matrix(x))), dtype="int32")
 
     index = durable(classes.select("vector", "ids", leaf_of("vector").alias("leaf")))
-    counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row for each leaf
-    shards = shards_of(counts, tree.value.n_leaves)
+    counted = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).collect()  # a row for each leaf
+    held = {r["leaf"]: r["ids"] for r in counted}
+    shards = shards_of({r["leaf"]: r["n"] for r in counted}, tree.value.n_leaves)
     first, parts = (F.array(*[F.lit(x) for x in of]) for of in ([r.start for r in shards], [len(r) for r in shards]))
     at = F.col("leaf") + 1
     placed = index.withColumn("shard", F.element_at(first, at) + F.pmod(F.xxhash64("vector"), F.element_at(parts, at)).cast("int"))
@@ -222,19 +236,23 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, key: str = "vec
             out = []
             for near in unit(matrix(x)) @ t.centres.T:
                 of: dict[int, list[int]] = {}
-                for leaf, _ in zip(leaves(t, near), range(t.visits), strict=False):
+                met = 0
+                for n, leaf in enumerate(leaves(t, near)):
+                    if n >= t.visits and met > k:  # k and the query itself
+                        break
+                    met += held.get(leaf, 0)
                     for s in shards[leaf]:
                         of.setdefault(s, []).append(leaf)
                 out.append([{"shard": s, "leaves": v} for s, v in of.items()])
             yield pd.Series(out)
 
-    # Equal queries ask once, under the smallest of their ids; queries meet a shard in blocks.
+    # Equal queries ask once, under the smallest of their ids.
     asked = rows.where("asked").select("id", "vector")
     queries = durable(asked.groupBy("vector").agg(F.min("id").alias("q")))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    part = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("part")
-    visits = queries.select("q", "vector", part, F.explode(to_visit("vector")).alias("v")).select("q", "vector", "part", "v.shard", "v.leaves")
-    copies = placed.select("vector", "ids", "leaf", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    visits = durable(queries.select("q", F.col("vector").alias("query"), F.explode(to_visit("vector")).alias("v")).select("q", "query", "v.shard", "v.leaves"))
+    blocks = durable(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("blocks")))
+    visits = visits.join(blocks, "shard").withColumn("part", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks")
+    copies = placed.join(blocks, "shard").select("vector", "ids", "leaf", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(meet(left, right, k + 1)) if len(left) and len(right) else [], columns=["q", "id", "s"])
