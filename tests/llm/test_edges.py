@@ -3,6 +3,8 @@
 import hashlib
 import io
 import random
+import re
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewright.llm import ann, bpe, chat, exact_dedup, license_scan, mixing, pii, quality, queries, simhash, warc
+from tracewright.llm import ann, bpe, chat, common, exact_dedup, license_scan, mixing, pii, quality, queries, simhash, warc
 
 PATH = public_tokenizers.path(queries.TOKENIZER)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -288,3 +290,80 @@ def test_stages_take_any_rows(spark, docs, labels, tmp_path, k):
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).collect() == []
     if k < 4:
         assert out.columns == corpus_pipeline.COLUMNS
+
+
+def test_shared_folder_is_an_error_on_a_cluster(spark):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Elsewhere)
+
+
+def test_labels_of_absent_documents_take_no_place(spark, monkeypatch):
+    """A labels table far larger than the documents at hand: all of these are learned from."""
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    d = spark.createDataFrame([(i, "good clean words" if i % 2 else "$$$ ||| junk") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "id % 2 AS quality")
+    few = quality.train(d, labels)
+    assert few.any() and np.array_equal(few, quality.train(d, labels.where("doc_id < 40")))
+
+
+def test_fit_is_ftrl_proximal():
+    """The weights against the published update, written for one coordinate at a time."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a", "bb", "c!", "$$", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(30)]
+    ys = [int("a" in t) for t in texts]
+    z, n = {}, {}
+
+    def weight(i):
+        penalty = 0.0 if i == 0 else quality.L1
+        v = z.get(i, 0.0)
+        if abs(v) <= penalty:
+            return 0.0
+        return -(v - np.sign(v) * penalty) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    rows = [dict(zip(*(v.tolist() for v in quality.features(t)), strict=True)) for t in texts]
+    order = np.random.default_rng(7)
+    for _ in range(quality.ROUNDS):
+        for k in order.permutation(len(rows)).tolist():
+            w = {i: weight(i) for i in rows[k]}
+            p = 1 / (1 + np.exp(-sum(w[i] * x for i, x in rows[k].items())))
+            for i, x in rows[k].items():
+                g = (p - ys[k]) * x
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    got = quality.fit(texts, ys)
+    want = np.array([weight(i) for i in range(len(got))], np.float32)
+    assert np.allclose(got, want, atol=1e-5) and np.count_nonzero(want) > 5
+    # A text's score is one sparse dot product.
+    for row in rows:
+        x = np.zeros(len(got))
+        x[list(row)] = list(row.values())
+        assert x @ got == pytest.approx(sum(got[i] * v for i, v in row.items()))
+
+
+def test_features_are_counts():
+    """Unigrams, bigrams and repetitions by a plain count, for texts within and over one block."""
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
+    for text in ("", "a", "a b a a", "é$$$ word|word word", "x y z " * 60_000):
+        ws = [crc32(w) for w in word.findall(text.encode())]
+        counts = {}
+        spread = lambda v: max(quality.REPEATS + 1, (v * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - quality.BITS)
+        for w in ws:
+            counts[spread(w)] = counts.get(spread(w), 0) + 1
+        for a, b in zip(ws, ws[1:], strict=False):
+            v = spread(a * 0x9E3779B1 + b & (1 << 64) - 1)
+            counts[v] = counts.get(v, 0) + 1
+        for k in (1, 2):
+            counts[k] = sum(a == b for a, b in zip(ws, ws[k:], strict=False))
+        at, x = quality.features(text)
+        if not ws:
+            assert at.tolist() == [0] and x.tolist() == [1.0]
+            continue
+        size = sum(np.log1p(c) ** 2 for c in counts.values()) ** 0.5
+        got = dict(zip(at.tolist(), x.tolist(), strict=True))
+        # The second word after another isn't seen across the cut of a block.
+        assert got[0] == 1.0 and set(got) == {0, *counts}
+        assert all(got[i] == pytest.approx(np.log1p(c) / size, rel=1e-3) for i, c in counts.items() if c)

@@ -112,13 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fits in one task, on SAMPLE rows at most; gives 2 ** BITS weights to the driver.
 
     Rows that are held out, and rows whose key or label is null, are not read.
-    A key that is labelled more than once has its largest label. Repeated
-    documents are repeated rows. Without any labelled row all weights are 0.
+    A key that is labelled more than once has its largest label. Labels of
+    documents that aren't here take no place in the sample. Repeated documents
+    are repeated rows. Without any labelled row all weights are 0.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").groupBy("k").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(~held_out(F.col("k")))
-    # The keys are drawn before the texts are read.
-    keys = known.where(~held_out(F.col("k"))).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
+    # The keys are drawn before the texts are read, of those that have a document here.
+    keys = known.where(~held_out(F.col("k"))).join(rows.select("k"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     chosen = rows.join(F.broadcast(keys), "k").orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
