@@ -1,16 +1,23 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into SEGMENTS; two that differ in at most `bits` places
-differ in at most bits // SEGMENTS of one segment at least. So every
+A fingerprint is cut into segments; two that differ in at most `bits` places
+differ in at most bits // segments of one segment at least. So every
 fingerprint is filed under each of its segments, each looks up the small
 Hamming ball around each of its own segments, and what it meets is verified
-over all places. Links join into components by rounds of large and small stars.
+over all places. Few segments are long keys with large balls: how many there
+are follows from the number of fingerprints, so that a look-up meets few rows
+by chance at every size. Links join into components by rounds of large and
+small stars.
 
 Work is on distinct fingerprints: copies, however many, are one node. A group
 of near copies can still have many fingerprints in one bucket. Therefore each
-bucket first links its members to its smallest one (a row for each member);
-the ball look-up then returns only links between components that are still
-apart, so that the inside of a group is never written out as pairs.
+bucket first links its members to its smallest one (a row for each member).
+The ball look-up then returns only links between components that are still
+apart: a fingerprint looks only into buckets that hold a larger component, and
+meets only members of larger ones, so that the inside of a group is never
+written out as pairs. A bucket that is still large is filed once more, under
+bits + 1 pieces of the places outside the segment: of two fingerprints that
+differ in `bits` places one piece at least is equal.
 """
 
 from __future__ import annotations
@@ -26,7 +33,10 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import durable, without
 
 ADDED = ("fingerprint", "component_id")
-SEGMENTS = 3
+#: Segments for up to so many fingerprints; 32-bit segments beyond. At this number a look-up in 21-bit segments meets about as many rows by chance as the larger balls have values.
+SEGMENTS, MANY = 3, 40_000_000
+#: Members of a bucket from which on it is filed by pieces too.
+CROWD = 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 15
@@ -62,17 +72,21 @@ def fingerprints(text: Column, words: int = 4, seed: int = 42) -> Column:
     return of(text)
 
 
-def segment_bounds() -> list[tuple[int, int]]:
+def segments_for(n: int) -> int:
+    return SEGMENTS if n <= MANY else 2
+
+
+def segment_bounds(count: int) -> list[tuple[int, int]]:
     """First place and width of each segment."""
-    cuts = [64 * i // SEGMENTS for i in range(SEGMENTS + 1)]
+    cuts = [64 * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def segments(fp: Column) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (a, w) in enumerate(segment_bounds())])
+def segments(fp: Column, count: int) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (a, w) in enumerate(segment_bounds(count))])
 
 
-def ball(fp: Column, radius: int) -> Column:
+def ball(fp: Column, radius: int, count: int) -> Column:
     """(segment, value) for every value within radius of a segment of fp."""
 
     def around(i: int, a: int, w: int) -> Column:
@@ -82,7 +96,18 @@ def ball(fp: Column, radius: int) -> Column:
         own = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1))
         return F.transform(F.array(*[F.lit(f).cast("long") for f in sorted(flips)]), lambda x: F.struct(F.lit(i).alias("segment"), own.bitwiseXOR(x).alias("value")))
 
-    return F.flatten(F.array(*[around(i, a, w) for i, (a, w) in enumerate(segment_bounds())]))
+    return F.flatten(F.array(*[around(i, a, w) for i, (a, w) in enumerate(segment_bounds(count))]))
+
+
+def pieces(fp: Column, segment: Column, bits: int, count: int) -> Column:
+    """The places outside a segment, in bits + 1 pieces: (piece, the fingerprint with all other places 0)."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    by = []
+    for a, w in segment_bounds(count):
+        rest = [p for p in range(64) if not a <= p < a + w]
+        cuts = [len(rest) * j // (bits + 1) for j in range(bits + 2)]
+        by.append(F.array(*[F.struct(F.lit(j).alias("piece"), fp.bitwiseAND(F.lit(signed(sum(1 << p for p in rest[x:y])))).alias("part")) for j, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]))
+    return F.element_at(F.array(*by), segment + 1)
 
 
 def near(a: str, b: str, bits: int) -> Column:
@@ -121,21 +146,36 @@ def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def linked(fps: DataFrame, bits: int) -> DataFrame:
     """(fp, root) for distinct fps: fingerprints of one component have the same root."""
-    filed = fps.select("fp", F.explode(segments(F.col("fp"))).alias("s")).select("fp", "s.segment", "s.value")
-    hubs = filed.withColumn("hub", F.min("fp").over(Window.partitionBy("segment", "value"))).where(near("fp", "hub", bits) & (F.col("fp") != F.col("hub")))
+    key, count = ["segment", "value"], segments_for(fps.count())
+    filed = fps.select("fp", F.explode(segments(F.col("fp"), count)).alias("s")).select("fp", "s.segment", "s.value")
+    # What is joined to a bucket's rows is written first: Spark can then split the rows of a large bucket.
+    least = durable(filed.groupBy(*key).agg(F.min("fp").alias("hub")))
+    hubs = filed.join(least, key).where(near("fp", "hub", bits) & (F.col("fp") != F.col("hub")))
     first = durable(rooted(fps, components(hubs.select(F.col("hub").alias("a"), F.col("fp").alias("b")))))
-    table = first.select("fp", "root", F.explode(segments(F.col("fp"))).alias("s")).select(F.col("fp").alias("b"), F.col("root").alias("rb"), "s.segment", "s.value")
-    probe = first.select("fp", "root", F.explode(ball(F.col("fp"), bits // SEGMENTS)).alias("s")).select(F.col("fp").alias("a"), F.col("root").alias("ra"), "s.segment", "s.value")
-    met = probe.join(table, ["segment", "value"]).where((F.col("ra") < F.col("rb")) & near("a", "b", bits))
+    table = first.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(segments(F.col("fp"), count)).alias("s")).select("b", "rb", "s.segment", "s.value")
+    held = durable(table.groupBy(*key).agg(F.max("rb").alias("largest"), F.count(F.lit(1)).alias("n")))
+    probe = first.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(ball(F.col("fp"), bits // count, count)).alias("s")).select("a", "ra", "s.segment", "s.value")
+    probe = durable(probe.join(held, key).where("ra < largest").drop("largest"))
+    asked = durable(probe.groupBy(*key).agg(F.min("ra").alias("smallest"), F.max("n").alias("n")))
+    table = table.join(asked, key).where("rb > smallest").drop("smallest")
+
+    def crowd(rows: DataFrame, fp: str) -> DataFrame:
+        whole = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("part")))
+        split = F.explode(F.when(F.col("n") > CROWD, pieces(F.col(fp), F.col("segment"), bits, count)).otherwise(whole))
+        return rows.select("*", split.alias("p")).select("*", "p.piece", "p.part").drop("p", "n")
+
+    met = crowd(probe, "a").join(crowd(table, "b"), [*key, "piece", "part"]).where((F.col("ra") < F.col("rb")) & near("a", "b", bits))
     second = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return first.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def grouped(rows: DataFrame, bits: int) -> DataFrame:
     """Adds root, the same for all of a component, and component_id to rows (key, fp, ...)."""
-    nodes = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    named = nodes.join(durable(linked(nodes.select("fp"), bits)), "fp")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    nodes = durable(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    roots = durable(linked(nodes.select("fp"), bits))
+    # The component's smallest key is counted by root and joined to the fingerprints by it: both are written before, so that a large component's are split.
+    ids = durable(nodes.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
+    named = durable(roots.join(ids, "root").select("fp", "root", "component_id"))
     return rows.join(named, "fp")
 
 
@@ -164,8 +204,13 @@ def near_representatives(docs: DataFrame, *, bits: int = 4, words: int = 4, seed
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     rows = durable(docs.select(F.col(key).alias("key"), digest.alias("digest"), fingerprints(F.col(text), words, seed).alias("fp")))
     heads = grouped(rows, bits).groupBy("root").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "digest")).alias("h")).select(F.col("h.key").alias("__key"), F.col("h.digest").alias("__digest"))
+    heads = durable(heads)
     found = docs.withColumn("__own", digest)
     kept = found.join(heads, (found["__own"] == heads["__digest"]) & found[key].eqNullSafe(heads["__key"]), "left_semi")
+    # Rows that share key and text are put in order only where there are any: whole texts are shuffled once otherwise.
+    same = rows.groupBy("key", "digest").count().where("count > 1")
+    if same.isEmpty():
+        return kept.drop("__own")
     rest = [F.to_json(F.struct(*[c for c in docs.columns if c not in (key, text)]))] if set(docs.columns) - {key, text} else [F.lit(1)]
     order = Window.partitionBy("__own", key).orderBy(*rest, F.col(text).asc_nulls_first())
     return kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth", "__own")
