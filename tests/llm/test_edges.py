@@ -84,21 +84,6 @@ def test_bpe_values(docs):
         assert r.ids == want and r.decoded == t.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_streams_as_it_merges(spark):
-    """Words far longer than the window, against a merge of the whole; text decoding gives bytes back piece by piece."""
-    enc = bpe.Encoder(bpe.vocabulary(PATH))
-    rng = random.Random(3)
-    for alphabet in ("ab", "aeiou", "the", "abcdefghijklmnopqrstuvwxyz"):
-        word = "".join(rng.choice(alphabet) for _ in range(6000))
-        whole = enc.merge_many([*map(enc.v.first.__getitem__, word.encode()[:-1]), enc.v.last[word.encode()[-1]]])
-        assert list(enc.stream(word.encode())) == whole
-        dec = bpe.Decoder(enc.v, "text")
-        assert "".join([dec.feed([i]) for i in whole] + [dec.feed([], last=True)]) == word + " "
-    emoji = enc.encode("\U0001f600")
-    dec = bpe.Decoder(enc.v, "text")
-    assert "".join([dec.feed([i]) for i in emoji] + [dec.feed([], last=True)]).strip() == "\U0001f600"
-
-
 def test_quality_without_labels(spark, docs, labels):
     weights = quality.train(docs, labels)
     assert weights.shape == (1 << quality.BITS,) and np.isfinite(weights).all()

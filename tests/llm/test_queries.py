@@ -49,16 +49,18 @@ def test_matches_sql(spark, duck, name):
     assert plain(df.select(*columns).collect()) == plain(want)
 
 
-def test_bpe_is_the_library_s(spark, docs):
+@pytest.mark.parametrize("d", [DATA, "/root/testdata/sf0.01"])
+def test_bpe_is_the_library_s(spark, d):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall()
     t = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
     t.no_truncation()
     t.no_padding()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = {}
-    for i, text, _ in docs:
+    for i, text in docs:
         ids = t.encode(text or "", add_special_tokens=False).ids
         want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
-    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, DATA).collect()} == want
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, d).collect()} == want
 
 
 def test_quality_tells_held_out_documents(spark):

@@ -6,13 +6,17 @@ merge (u, v) whose v starts at that cut, by the length of u; after it, what
 starts at the new cut begins with u. So a next shift needs a later merge whose
 right part begins with u. The longest such chain, over all merges, is the
 lookahead: tokens that end this far before the end of what has been read are
-stable, and are emitted; the rest is kept, at most lookahead + WINDOW symbols.
-The bound needs every part of a merge to be made by an earlier one; a list
-without this order gets no bound, and its words are read whole.
-
-Decoding. Ids come in pieces of any size; each piece gives the text that is
-certain so far. Bytes of an unfinished character stay in the state (three at
-most), bytes that can't be part of one give U+FFFD.
+stable, and are emitted; the rest is kept, at most lookahead + WINDOW symbols
+but for a token that is longer. Every word goes through this transducer, piece
+by piece; the end of a word makes all that is kept stable. Ids of short words,
+and of short stretches between white space, are remembered. The bound needs
+every part of a merge to be made by an earlier one; a list without this order
+gets no bound, and its words are read whole.
+
+Decoding. Ids come in pieces of any size, and become bytes: of their tokens,
+with a separator's between two where tokens are joined by one. Each piece gives
+the text that is certain so far. Bytes of an unfinished character stay in the
+state (three at most), bytes that can't be part of one give U+FFFD.
 """
 
 from __future__ import annotations
@@ -34,15 +38,15 @@ from pyspark.sql import types as T
 from tracewright.llm.common import without
 
 #: Symbols that a window adds to the lookahead.
-WINDOW = 512
+WINDOW = 4096
+#: Characters of a word that are read at once, and ids that come out of a long one at once.
+PIECE = 1 << 14
 #: Characters of a text that are normalised at once, if white space allows a cut.
 SLICE = 1 << 16
 #: Stretches between white space that a worker remembers, twice: the newer half, and the half before it. And the longest that it does.
 REMEMBERED, LONGEST = 250_000, 40
-#: Characters that are looked up together, and rows in a batch that is given back.
+#: Characters, beyond a single row's, and rows in a batch that is given back.
 TOGETHER, ROWS = 1 << 20, 256
-#: More than any id.
-TIMES = 1 << 31
 
 
 def byte_symbols() -> list[str]:
@@ -72,15 +76,21 @@ class Vocabulary:
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
         self.merged = [self.ids[a + b] for a, b in pairs]
-        packed = np.array([a * TIMES + b for a, b in self.ranks], np.int64)
-        order = np.argsort(packed)
-        self.tables = packed[order], np.array([*self.ranks.values()])[order], np.array(self.merged, np.int32)
         self.first = [self.ids[s] for s in self.symbols]
         self.last = [self.ids[s + self.end] for s in self.symbols]
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.lookahead = lookahead(pairs, {*self.symbols, *(s + self.end for s in self.symbols)}, self.end)
+        self.spellings: dict[str, dict[int, bytes]] = {}
         self.lengths = {i: max(1, len(t.removesuffix(self.end)) if self.end else len(t)) for i, t in self.tokens.items()}
 
+    def spelt(self, kind: str) -> dict[int, bytes]:
+        """The bytes of each token: those of its own name, or those that it stands for."""
+        if kind not in self.spellings:
+            number = {s: i for i, s in enumerate(self.symbols)}
+            stands = lambda t: bytes(number[c] for c in t.removesuffix(self.end)) + b" " * t.endswith(self.end)
+            self.spellings[kind] = {i: t.encode() if kind == "tokens" or t in self.special else stands(t) for i, t in self.tokens.items()}
+        return self.spellings[kind]
+
 
 def lookahead(pairs: list[tuple[str, str]], symbols: set[str], end: str = "") -> int | None:
     """Symbols that suffice for the merge list; None if a part of a merge is made after it, so that none is known to."""
@@ -167,77 +177,42 @@ class Encoder:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        if len(data) > WINDOW and self.v.lookahead is not None:
-            return tuple(self.stream(data))
-        first = self.v.first
-        return tuple(self.merge([*map(first.__getitem__, data[:-1]), self.v.last[data[-1]]]))
-
-    def stream(self, data: bytes) -> Iterator[int]:
-        """The ids of one long word, in bounded memory."""
+    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
+        """The transducer: the ids of one word, whose bytes come in pieces, in bounded memory."""
         far, lengths, first = self.v.lookahead, self.v.lengths, self.v.first
-        start, read = 0, 0
-        while True:
-            read = min(len(data), max(read, start + far) + WINDOW)
-            if read == len(data):
-                yield from self.merge([*map(first.__getitem__, data[start:-1]), self.v.last[data[-1]]])
-                return
-            for token in self.merge([first[b] for b in data[start:read]]):
-                if start + lengths[token] > read - far:
-                    break
-                start += lengths[token]
-                yield token
-
-    def merge_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """As word, for many short words at once: row by row the merge of least rank, until no row has one."""
-        out: dict[str, tuple[int, ...]] = {}
-        data = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        keys, ranks, merged = self.v.tables
-        none = len(merged)
-
-        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            pair = a.astype(np.int64) * TIMES + b
-            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-            return np.where((keys[at] == pair) & (a >= 0) & (b >= 0), ranks[at], none)
-
-        for n in np.unique(sizes).tolist():
-            which = np.flatnonzero(sizes == n)
-            raw = np.frombuffer(b"".join([data[i] for i in which]), np.uint8).reshape(-1, n)
-            ids = np.array(self.v.first, np.int32)[raw]
-            ids[:, -1] = np.array(self.v.last, np.int32)[raw[:, -1]]
-            ids = np.concatenate([ids, np.full((len(ids), 1), -1, np.int32)], axis=1)
-            left, live = rank(ids[:, :-1], ids[:, 1:]), np.arange(len(ids))
-            at = left.argmin(axis=1)
-            while len(live := live[left[live, at[live]] < none]):
-                i, some, near = at[live], ids[live], left[live]
-                r = np.arange(len(live))
-                some[r, i] = merged[near[r, i]]
-                shift = np.arange(n)
-                shift = shift + (shift > i[:, None])
-                some[:, :-1] = np.take_along_axis(some, np.minimum(shift, n), axis=1)[:, :n]
-                some[:, -1] = -1
-                near = np.take_along_axis(np.concatenate([near, np.full((len(near), 1), none)], axis=1), shift, axis=1)
-                near[r, i] = rank(some[r, i], some[r, i + 1])
-                before = np.maximum(i - 1, 0)
-                near[r, before] = np.where(i > 0, rank(some[r, before], some[r, i]), near[r, before])
-                ids[live], left[live] = some, near
-                at[live] = near.argmin(axis=1)
-            for w, row in zip(which.tolist(), ids.tolist(), strict=True):
-                out[words[w]] = tuple(row[: row.index(-1)])
-        return out
+        kept, enough = bytearray(), WINDOW
+        for piece in pieces:
+            for at in range(0, len(piece), WINDOW):
+                kept += piece[at : at + WINDOW]
+                if far is None or len(kept) <= far + enough:
+                    continue
+                done = 0
+                # A symbol at least stays, for the word's last one is another.
+                for token in self.merge([first[b] for b in kept]):
+                    if done + lengths[token] > len(kept) - max(far, 1):
+                        break
+                    done += lengths[token]
+                    yield token
+                del kept[:done]
+                enough = max(WINDOW, len(kept) - far + WINDOW)
+        if kept:
+            yield from self.merge([*map(first.__getitem__, kept[:-1]), self.v.last[kept[-1]]])
+
+    def word(self, word: str) -> Iterator[int]:
+        return self.stream(word[at : at + PIECE].encode() for at in range(0, len(word), PIECE))
+
+    def known(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """The ids of short words, from memory or, where it has none, from the transducer."""
+        for w in words:
+            ids = self.words.get(w)
+            if ids is None:
+                ids = tuple(self.word(w))
+                self.words.put({w: ids})
+            yield ids
 
     def learn(self, stretches: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of stretches that aren't known: of their words, those that aren't known are merged together."""
-        parts = {s: [s] if s.isascii() and s.isalpha() else self.v.words.findall(s) for s in stretches}
-        known = {w: self.words.get(w) for ws in parts.values() for w in ws}
-        new = [w for w, ids in known.items() if ids is None]
-        found = self.merge_words([w for w in new if len(w) <= LONGEST])
-        found |= {w: self.word(w) for w in new if len(w) > LONGEST}
-        self.words.put(found)
-        known |= found
-        return {s: known[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(known.__getitem__, ws))) for s, ws in parts.items()}
+        """The ids of stretches that aren't known, from those of their words."""
+        return {s: tuple(chain.from_iterable(self.known([s] if s.isascii() and s.isalpha() else self.v.words.findall(s)))) for s in stretches}
 
     def split(self, text: str) -> Iterator[list]:
         """The text as lists of lower-case stretches, and numbers for special tokens. Words don't reach over white space."""
@@ -258,33 +233,27 @@ class Encoder:
             got = [found[s] if ids is None else ids for s, ids in zip(flat, got, strict=True)]
         return got
 
-    def encode_many(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
-        """The ids of each text, as one array or more. Reads ahead by TOGETHER characters at most, beyond a single slice."""
-        wait: list[tuple[bool, list]] = []
-        size, parts = 0, []
-
-        def flush() -> Iterator[list[np.ndarray]]:
-            got, at = self.lookup(list(chain.from_iterable(x for _, x in wait))), 0
-            for last, x in wait:
-                parts.append(np.fromiter(chain.from_iterable(got[at : at + len(x)]), np.int32))
-                at += len(x)
-                if last:
-                    yield parts[:]
-                    parts.clear()
-            wait.clear()
-
-        for text in texts:
-            for x in self.split(text):
-                wait.append((False, x))
-                size += sum(map(len, x)) if len(x) > 1 else 1
-                if size > TOGETHER:
-                    yield from flush()
-                    size = 0
-            wait.append((True, []))
-        yield from flush()
+    def encode_pieces(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, as lists in order: one for each slice, and more for a long stretch without white space."""
+        for part in self.split(text):
+            if max(map(len, part), default=0) <= PIECE if part and type(part[0]) is str else True:
+                yield list(chain.from_iterable(self.lookup(part)))
+                continue
+            for s in part:
+                if len(s) <= PIECE:
+                    yield list(chain.from_iterable(self.lookup([s])))
+                    continue
+                ids: list[int] = []
+                for m in self.v.words.finditer(s):
+                    for i in self.word(m[0]):
+                        ids.append(i)
+                        if len(ids) >= PIECE:
+                            yield ids
+                            ids = []
+                yield ids
 
     def encode(self, text: str) -> list[int]:
-        return np.concatenate(next(self.encode_many([text]))).tolist()
+        return list(chain.from_iterable(self.encode_pieces(text)))
 
 
 def plain(part: str) -> list[str]:
@@ -314,27 +283,21 @@ OWN_SPACE = regex.compile(r"[ \n\t]+")
 
 
 class Decoder:
-    """Ids to text, piece by piece. As "tokens" it joins the tokens with a space, as files without a decoder mean it; as "text" it gives back bytes as characters, and a space for each word's end."""
+    """Ids to text, piece by piece, through a byte-to-text state machine. As "tokens" it joins the tokens' own bytes with a space, as files without a decoder mean it; as "text" it gives back the bytes that they stand for, and a space for each word's end."""
 
     def __init__(self, vocabulary: Vocabulary, kind: str = "tokens"):
         if kind not in ("tokens", "text"):
             raise ValueError(kind)
-        self.kind, self.v = kind, vocabulary
+        self.spelt, self.between = vocabulary.spelt(kind), b" " if kind == "tokens" else b""
         self.started = False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        if kind == "text":
-            number = {s: i for i, s in enumerate(vocabulary.symbols)}
-            spelt = lambda t: bytes(number[c] for c in t.removesuffix(vocabulary.end)) + b" " * t.endswith(vocabulary.end)
-            self.bytes = {i: t.encode() if t in vocabulary.special else spelt(t) for i, t in vocabulary.tokens.items()}
 
     def feed(self, ids: Iterable[int], last: bool = False) -> str:
-        if self.kind == "text":
-            return self.utf8.decode(b"".join(map(self.bytes.__getitem__, ids)), last)
-        out = " ".join(map(self.v.tokens.__getitem__, ids))
-        if out and self.started:
-            out = " " + out
-        self.started |= bool(out)
-        return out
+        data = self.between.join(map(self.spelt.__getitem__, ids))
+        if data and self.started:
+            data = self.between + data
+        self.started |= bool(data)
+        return self.utf8.decode(data, last)
 
 
 @lru_cache(maxsize=4)
@@ -352,7 +315,8 @@ def code(docs: DataFrame, path: str, *, text: str = "text", decode: str | None =
     """Adds ids (array of int) and, unless decode is None, decoded (string; see Decoder) to every row.
 
     Null text counts as empty and has no ids and empty decoded text. Texts of
-    any length are read in slices. Repeated rows, ties and empty tables need no
+    any length are read in slices, a word without an end in pieces; beside the
+    row itself and what it gives, memory is bounded. Repeated rows, ties and empty tables need no
     care: each row stands for itself. Input columns named as an added one are
     replaced; other columns are kept. The file must be readable at `path` on
     every executor.
@@ -364,18 +328,25 @@ def code(docs: DataFrame, path: str, *, text: str = "text", decode: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                parts, ends, texts = [], [0], []
-                rows = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                for ids in enc.encode_many(t or "" for t in rows):
-                    parts += ids
-                    ends.append(ends[-1] + sum(map(len, ids)))
-                    if decode:
-                        dec = Decoder(enc.v, decode)
-                        texts.append("".join([*(dec.feed(x.tolist()) for x in ids), dec.feed([], last=True)]))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-                columns = [*batch.columns, ids] + [pa.array(texts, pa.string())] * bool(decode)
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
+            rows = whole.column(whole.schema.get_field_index(text))
+            start, size, ids, ends, texts = 0, 0, [], [0], []
+            for n in range(whole.num_rows):
+                one, n_ids = rows[n].as_py() or "", 0
+                dec = Decoder(enc.v, decode) if decode else None
+                pieces = []
+                for some in enc.encode_pieces(one):
+                    ids.append(np.fromiter(some, np.int32, len(some)))
+                    n_ids += len(some)
+                    if dec:
+                        pieces.append(dec.feed(some))
+                if dec:
+                    texts.append("".join([*pieces, dec.feed([], last=True)]))
+                ends.append(ends[-1] + n_ids)
+                size += len(one)
+                if size >= TOGETHER or n + 1 - start == ROWS or n + 1 == whole.num_rows:
+                    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                    columns = [*whole.slice(start, n + 1 - start).columns, found] + [pa.array(texts, pa.string())] * bool(decode)
+                    yield pa.RecordBatch.from_arrays(columns, [*whole.schema.names, *added])
+                    start, size, ids, ends, texts = n + 1, 0, [], [0], []
 
     return docs.mapInArrow(run, schema)
