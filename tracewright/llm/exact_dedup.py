@@ -9,8 +9,9 @@ driver, so they have the first two only and stay small however long texts are.
 
 A text that a large share of the rows holds would meet in one partition. A
 sample finds such texts, HOT at most; their rows are sorted by (text, salt),
-which splitters can cut, and the winners of the salts, HOT * SALTS at most, are
-sorted by content once more. All rows count: the sample only steers the salt.
+which splitters can cut. What the salts of such a text share, its winner and
+its number of rows, is a grouped aggregate that combines before it is shuffled,
+HOT texts at most. All rows count: the sample only steers the salt.
 """
 
 from __future__ import annotations
@@ -55,8 +56,9 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("__head", F.substring("__norm", 1, HEAD)).withColumn("__hash", F.xxhash64("__norm"))
     hot = hot_texts(docs, text)
     split = ["__head", "__hash"]
+    salt = lambda k: F.pmod(F.xxhash64(k), F.lit(SALTS)).cast("int")
     if hot:
-        rows = rows.withColumn("__salt", F.when(F.col("__hash").isin(hot), F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).otherwise(-1))
+        rows = rows.withColumn("__salt", F.when(F.col("__hash").isin(hot), salt(F.col(key))).otherwise(-1))
         split += ["__salt"]
     equal = Window.partitionBy(*split, "__norm")
     best = equal.orderBy(F.desc("__long"), F.col(key).asc_nulls_last())
@@ -71,16 +73,9 @@ def exact_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     columns = without(docs, *ADDED).columns
     if not hot:
         return done.select(*columns, F.col("__best.k").alias("keep_id"), F.col("__n").alias("group_size"), (F.col("__place") == 1).alias("kept"), "text_sha256")
-    again = Window.partitionBy("__head", "__hash", "__norm").orderBy(F.desc("__best.l"), F.col("__best.k").asc_nulls_last())
-    merged = (
-        done.where("__salt >= 0 AND __place = 1")
-        .select("__head", "__hash", "__norm", "__salt", "__best", "__n", "text_sha256")
-        .repartitionByRange("__head", "__hash")
-        .withColumn("__first", F.row_number().over(again))
-        .withColumn("__all", F.sum("__n").over(Window.partitionBy("__head", "__hash", "__norm")))
-        .where("__first = 1")
-        .select("text_sha256", F.col("__salt").alias("__won"), F.col("__best.k").alias("__keep"), "__all")
-    )
+    first = F.min(F.struct((-F.col("__long")).alias("l"), F.col(key).isNull().alias("n"), F.col(key).alias("k")))
+    merged = rows.where("__salt >= 0").groupBy("__hash", "__norm").agg(first.alias("__b"), F.count(F.lit(1)).alias("__all"))
+    merged = merged.select(F.sha2("__norm", 256).alias("text_sha256"), salt(F.col("__b.k")).alias("__won"), F.col("__b.k").alias("__keep"), "__all")
     # One row for each salted text: HOT at most.
     out = done.drop("__norm").join(F.broadcast(merged), "text_sha256", "left")
     salted = F.col("__salt") >= 0
