@@ -31,6 +31,8 @@ from tracewright.llm.common import durable, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range, and bytes that are read at once.
 RANGE, CHUNK = 32 << 20, 1 << 20
+#: Bytes of a member that are decoded first; most members are shorter.
+FIRST = 1 << 14
 #: Tasks that read at most; beyond, a task has several ranges.
 TASKS = 50_000
 DATE = "2020-01-01T00:00:00Z"
@@ -97,20 +99,30 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, least: int = 0, k
 
 
 class Source:
-    """Bytes of a file from some place on, read as they are needed."""
+    """Bytes of a file from some place on, read as they are needed. What is done with is dropped a CHUNK or more at a time, so that no byte is copied more than a few times."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.held, self.ended = file, at, b"", False
+        self.file, self.held, self.at, self.first = file, bytearray(), at, 0
         file.seek(at)
 
     def more(self) -> bool:
+        if self.first >= CHUNK:
+            del self.held[: self.first]
+            self.first = 0
         got = self.file.read(CHUNK)
         self.held += got
-        self.ended |= not got
         return bool(got)
 
+    def find(self, what: bytes) -> int:
+        """How far from here it is; -1 if what is held hasn't it."""
+        found = self.held.find(what, self.first)
+        return found - self.first if found >= 0 else -1
+
+    def left(self) -> int:
+        return len(self.held) - self.first
+
     def forget(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.first, self.at = self.first + n, self.at + n
 
 
 def member(source: Source) -> tuple[bytes, int] | None:
@@ -118,9 +130,10 @@ def member(source: Source) -> tuple[bytes, int] | None:
     z, out, used = zlib.decompressobj(31), bytearray(), 0
     try:
         while not z.eof:
-            if used == len(source.held) and not source.more():
+            if used == source.left() and not source.more():
                 return None
-            part = source.held[used : used + CHUNK]
+            at = source.first + used
+            part = bytes(source.held[at : at + (CHUNK if used else FIRST)])
             out += z.decompress(part)
             used += len(part) - len(z.unused_data)
             if not b"WARC/1.".startswith(bytes(out[:7])):
@@ -156,9 +169,9 @@ def records(file, start: int, end: int) -> Iterator[dict]:
     """The records that start in [start, end)."""
     source = Source(file, start)
     while source.at < end:
-        found = source.held.find(MAGIC)
+        found = source.find(MAGIC)
         if found < 0:
-            source.forget(max(0, len(source.held) - len(MAGIC) + 1))
+            source.forget(max(0, source.left() - len(MAGIC) + 1))
             if not source.more():
                 return
             continue
