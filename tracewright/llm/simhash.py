@@ -154,7 +154,9 @@ def linked(fps: DataFrame, bits: int) -> DataFrame:
     first = durable(rooted(fps, components(hubs.select(F.col("hub").alias("a"), F.col("fp").alias("b")))))
     table = first.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(segments(F.col("fp"), count)).alias("s")).select("b", "rb", "s.segment", "s.value")
     held = durable(table.groupBy(*key).agg(F.max("rb").alias("largest"), F.count(F.lit(1)).alias("n")))
-    probe = first.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(ball(F.col("fp"), bits // count, count)).alias("s")).select("a", "ra", "s.segment", "s.value")
+    # A fingerprint is a small row and its balls are many: they are dealt out again, which Spark would lay together.
+    spread = first.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probe = spread.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(ball(F.col("fp"), bits // count, count)).alias("s")).select("a", "ra", "s.segment", "s.value")
     probe = durable(probe.join(held, key).where("ra < largest").drop("largest"))
     asked = durable(probe.groupBy(*key).agg(F.min("ra").alias("smallest"), F.max("n").alias("n")))
     table = table.join(asked, key).where("rb > smallest").drop("smallest")
