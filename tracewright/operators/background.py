@@ -39,14 +39,15 @@ def grid(df: DataFrame, step: float, time: str = "u_time", by: str = SAMPLE) ->
     return ends.select(by, F.explode(at).alias("grid_time"))
 
 
-def weighted(points: DataFrame, at: DataFrame, values: list[str], fwhm: float, time: str = "u_time", by: str = SAMPLE, reach: float | None = None) -> DataFrame:
+def weighted(points: DataFrame, at: DataFrame, values: list[str], fwhm: float, time: str = "u_time", by: str = SAMPLE, reach: float | None = 8.0) -> DataFrame:
     """Gaussian-weighted mean, sd and error of each value at each grid time.
 
     Points and grid times of a group meet by time cells as wide as `reach`
     standard deviations, so that a grid time sees its own cell and the two
     beside it, and rows grow with the points in reach, not with their product.
-    What lies farther weighs under exp(-reach ** 2 / 2). Without reach all
-    points of a group count, each grid time against each.
+    What lies farther weighs under exp(-reach ** 2 / 2), in units of a point at
+    the grid time itself. With reach None all points of a group count, each
+    grid time against each: a product that only suits small groups.
     """
     sigma = fwhm / (2 * math.sqrt(2 * math.log(2)))
     if reach is None:

@@ -46,6 +46,21 @@ def nearest_reference(measured: DataFrame, references: DataFrame, key: str = "st
     return d.groupBy(key).agg(F.min(F.struct("d2", "srm")).alias("m")).select(key, F.col("m.srm").alias("srm"), F.col("m.d2").alias("distance2"))
 
 
+def points(measured: DataFrame, references: DataFrame, key: str = "std") -> DataFrame:
+    """measured with srm, srm_mean and srm_err of each standard's nearest reference: what calibration fits.
+
+    The means that the search needs are carried through it, so that neither
+    side is made twice: each standard meets every material once, and its rows
+    of the nearest one remain.
+    """
+    m = standardised_log(measured, "ratio", "meas_mean").withColumnRenamed("z", "__zm")
+    r = standardised_log(references, "ratio", "srm_mean").select("srm", "ratio", "srm_mean", "srm_err", F.col("z").alias("__zr"))
+    both = m.join(r, "ratio", "left")
+    distance = F.sum((F.col("__zm") - F.col("__zr")) * (F.col("__zm") - F.col("__zr"))).over(Window.partitionBy(key, "srm"))
+    both = both.withColumn("__d", F.when(F.col("srm").isNotNull(), F.struct(distance.alias("d"), F.col("srm").alias("srm"))))
+    return both.withColumn("__least", F.min("__d").over(Window.partitionBy(key))).where("__d = __least").drop("__zm", "__zr", "__d", "__least")
+
+
 def consecutive_groups(runs: DataFrame, is_standard: str, time: str) -> DataFrame:
     """(rows of standards, grp, g_time): a new group begins when more than one other run started since the standard before; g_time is the group's mean time.
 

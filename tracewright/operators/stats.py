@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.operators.frames import SAMPLE
 from tracewright.operators.ranked import quantiles, ranged, running
 
 
 def huber(values: np.ndarray) -> tuple[float, float]:
-    """Mean and deviation of Huber's proposal: values are drawn in to mean +- 1.5 deviations until none is beyond; the deviation is 1.134 times that of the drawn-in values."""
+    """Mean and deviation of Huber's proposal: values are drawn in to mean +- 1.5 deviations until none is beyond; the deviation is 1.134 times that of the drawn-in values.
+
+    Drawing in again and again leaves the values cut at a low and a high bound,
+    so a round only moves these two, and finds its sums in those of the sorted
+    values, which run from the median outwards.
+    """
     x = np.asarray(values, float)
-    x = x[np.isfinite(x)]
-    if not len(x):
+    x = np.sort(x[np.isfinite(x)])
+    n = len(x)
+    if not n:
         return np.nan, np.nan
-    mean, sd = x.mean(), 1.134 * x.std()
+    centre, m = x[n // 2], n // 2
+    x = x - centre
+    sums, squares = ([*(-np.cumsum(y[:m][::-1])[::-1]).tolist(), 0.0, *np.cumsum(y[m:]).tolist()] for y in (x, x * x))
+    x = x.tolist()
+    low, high = x[0], x[-1]
+
+    def moments() -> tuple[float, float]:
+        i, j = bisect_left(x, low), bisect_right(x, high)
+        mean = (i * low + sums[j] - sums[i] + (n - j) * high) / n
+        square = (i * low * low + squares[j] - squares[i] + (n - j) * high * high) / n
+        return mean, 1.134 * math.sqrt(max(square - mean * mean, 0.0))
+
+    mean, sd = moments()
     for _ in range(1000):
         lo, hi = mean - 1.5 * sd, mean + 1.5 * sd
-        beyond = (x < lo) | (x > hi)
-        if not beyond.any():
+        if low >= lo and high <= hi:
             break
-        x = np.clip(x, lo, hi)
-        mean, sd = x.mean(), 1.134 * x.std()
-    return float(mean), float(sd)
-
-
-def grouped_udf(of: Callable[[np.ndarray], float]):
-    """A statistic of an array as an aggregate."""
-
-    @F.pandas_udf("double")
-    def stat(x: pd.Series) -> float:
-        return float(of(x.dropna().to_numpy(float)))
-
-    return stat
+        low, high = min(max(low, lo), hi), min(max(high, lo), hi)
+        mean, sd = moments()
+    return float(mean + centre), float(sd)
 
 
 BUILT_IN: dict[str, Callable[[Column], Column]] = {
@@ -47,33 +57,51 @@ BUILT_IN: dict[str, Callable[[Column], Column]] = {
     "n": lambda x: F.count(x).cast("double"),
 }
 BUILT_IN |= {"nanmean": BUILT_IN["mean"], "nanstd": BUILT_IN["std"], "stderr": BUILT_IN["se"]}
-ROBUST = {
-    "H15_mean": lambda x: huber(x)[0],
-    "H15_std": lambda x: huber(x)[1],
-    "H15_se": lambda x: huber(x)[1] / np.sqrt(len(x)) if len(x) else np.nan,
-}
+ROBUST = ("H15_mean", "H15_std", "H15_se")
+
+
+def of_arrays(stats: list[str | Callable]):
+    """Robust statistics and callables of arrays, all in one pass over them: one struct for each array."""
+
+    def name(s: str | Callable) -> str:
+        return s if isinstance(s, str) else s.__name__
+
+    @F.pandas_udf(T.StructType([T.StructField(name(s), T.DoubleType()) for s in stats]))
+    def found(arrays: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in arrays:
+            x = np.asarray(x, float)
+            x = x[~np.isnan(x)]
+            mean, sd = huber(x) if any(isinstance(s, str) for s in stats) else (np.nan, np.nan)
+            known = {"H15_mean": mean, "H15_std": sd, "H15_se": sd / np.sqrt(len(x)) if len(x) else np.nan}
+            rows.append([known[s] if isinstance(s, str) else float(s(x)) for s in stats])
+        return pd.DataFrame(rows, columns=[name(s) for s in stats])
+
+    return found
 
 
 def sample_stats(df: DataFrame, values: list[str], stats: list[str | Callable] = ("mean", "std"), masks: dict[str, Column] | None = None, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:
     """<value>_<stat> for each group; each value has a mask of its own, by default all rows. Unknown names are an error; a callable takes an array and has its own name.
 
-    Robust statistics take a group's values together in one task, as an array
-    of numbers; the built-in ones combine before the shuffle.
+    All statistics are of one grouped pass. Robust ones take a group's values
+    together, as an array of numbers; the built-in ones combine before the
+    shuffle.
     """
     masks = masks or {}
-    built, arrays = [], []
+    arrays = [s for s in stats if callable(s) or s in ROBUST]
+    if unknown := [s for s in stats if s not in arrays and s not in BUILT_IN]:
+        raise ValueError(f"unknown statistic {unknown[0]!r}; known are {[*BUILT_IN, *ROBUST]} and callables")
+    found, out = [], []
     for v in values:
         x = F.when(F.coalesce(masks[v], F.lit(False)), F.col(v)) if v in masks else F.col(v)
-        for s in stats:
-            name = s if isinstance(s, str) else s.__name__
-            if isinstance(s, str) and s in BUILT_IN:
-                built.append(BUILT_IN[s](x).alias(f"{v}_{name}"))
-            elif callable(s) or s in ROBUST:
-                arrays.append(grouped_udf(s if callable(s) else ROBUST[s])(x).alias(f"{v}_{name}"))
-            else:
-                raise ValueError(f"unknown statistic {s!r}; known are {[*BUILT_IN, *ROBUST]} and callables")
-    parts = [df.groupBy(*by).agg(*x) for x in (built, arrays) if x]
-    return parts[0] if len(parts) == 1 else parts[0].join(parts[1], list(by))
+        found += [BUILT_IN[s](x).alias(f"{v}_{s}") for s in stats if s not in arrays]
+        found += [F.collect_list(x.cast("double")).alias(f"__a_{v}")] if arrays else []
+        out += [F.col(f"__r_{v}")[s if isinstance(s, str) else s.__name__].alias(f"{v}_{s if isinstance(s, str) else s.__name__}") if s in arrays else F.col(f"{v}_{s}") for s in stats]
+    grouped = df.groupBy(*by).agg(*found)
+    if arrays:
+        of = of_arrays(arrays)
+        grouped = grouped.withColumns({f"__r_{v}": of(F.col(f"__a_{v}")) for v in values})
+    return grouped.select(*by, *out)
 
 
 def filter_effect(df: DataFrame, values: list[str], mask: Column, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:

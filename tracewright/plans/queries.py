@@ -27,6 +27,18 @@ def query(sql: str | None = None):
     return add
 
 
+def huber_sql(values: str, source: str) -> str:
+    """CTEs that draw the values of each sample in, round by round, and hub (sample, n, mean, sd) of the last round; source has rows (sample, v)."""
+    drawn = "least(greatest(v, low), high)"
+    return f"""{values}, hv AS ({source}),
+hr AS (SELECT sample, 0 AS k, min(v) AS low, max(v) AS high, avg(v) AS mean, 1.134::DOUBLE * stddev_pop(v) AS sd FROM hv GROUP BY sample
+  UNION ALL
+  SELECT sample, k + 1, low, high, avg({drawn}), 1.134::DOUBLE * stddev_pop({drawn})
+  FROM (SELECT sample, k, least(greatest(low, mean - 1.5 * sd), mean + 1.5 * sd) AS low, least(greatest(high, mean - 1.5 * sd), mean + 1.5 * sd) AS high FROM hr WHERE k < 1000 AND (low < mean - 1.5 * sd OR high > mean + 1.5 * sd)) JOIN hv USING (sample)
+  GROUP BY sample, k, low, high),
+hub AS (SELECT sample, n, arg_max(mean, k) AS mean, arg_max(sd, k) AS sd FROM hr JOIN (SELECT sample, count(*) AS n FROM hv GROUP BY sample) USING (sample) GROUP BY sample, n)"""
+
+
 MASK = "value > 30"
 #: Runs of value > 30 in SQL: m, the number of the stretch of equal m, its length, and whether it is the first.
 RUNS = f"""{E_SQL}, m AS (SELECT *, value > 30 AS m, CASE WHEN (value > 30) <> lag(value > 30) OVER w THEN 1 ELSE 0 END AS ch FROM e WINDOW w AS (PARTITION BY sample ORDER BY idx)),
@@ -167,7 +179,14 @@ def rolling_correlation(spark, d):
     return lines(spark, d).select("sample", "idx", r6(r, "r"))
 
 
-@query()
+#: Two-sided p of Student's t with 9 degrees of freedom, those of a full frame of 11 pairs: a finite sum in the angle.
+T9 = "1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0::DOUBLE / 3 * pow(cos(th), 3) + 8.0::DOUBLE / 15 * pow(cos(th), 5) + 48.0::DOUBLE / 105 * pow(cos(th), 7)))"
+
+
+@query(f"""WITH {L_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n FROM l),
+r AS (SELECT sample, idx, CASE WHEN idx >= 5 AND idx < n - 5 THEN corr(qty, price) OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) END AS r FROM n),
+t AS (SELECT *, CASE WHEN abs(r) < 1 THEN atan(abs(r) / sqrt(1 - r * r)) WHEN r IS NOT NULL THEN pi() / 2 END AS th FROM r), p AS (SELECT *, {T9} AS p FROM t)
+SELECT sample, idx, round(r, 6) AS r, abs(round(p, 6)) AS p, NOT coalesce(abs(r) > 0.7 AND p < 0.05, false) AS kept FROM p""")
 def correlation_filter(spark, d):
     return masks.correlation_mask(lines(spark, d), "qty", "price", 11, 0.7, 0.05).select("sample", "idx", r6("r"), r6("p"), "kept")
 
@@ -177,11 +196,11 @@ def local_minima(spark, d):
     return events(spark, d).select("sample", "idx", frames.local_minima("value").alias("minimum"))
 
 
-@query(f"""WITH {E_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n FROM e), w AS (SELECT unnest(range(5, 9)) AS w)
-SELECT a.sample, CAST(w AS INT) AS w, CAST(a.idx + CASE WHEN w % 2 = 1 THEN w // 2 ELSE w // 2 - 1 END AS INT) AS centre, round(avg(b.value), 6) AS mean, round(stddev_samp(b.value), 6) AS sd
+@query(f"""WITH {E_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY sample) AS n FROM e), w AS (SELECT unnest(range(5, max(n))) AS w FROM n)
+SELECT a.sample, CAST(w AS INT) AS w, CAST(a.idx + CASE WHEN w % 2 = 1 THEN w // 2 ELSE w // 2 - 1 END AS INT) AS centre, round(avg(b.value), 10) AS mean, round(stddev_samp(b.value), 6) AS sd
 FROM n a, w, n b WHERE a.sample = b.sample AND b.idx >= a.idx AND b.idx < a.idx + w AND a.idx + w <= a.n AND w < a.n GROUP BY ALL""")
 def window_grid(spark, d):
-    return frames.window_statistics(events(spark, d), "value", 5).select("sample", "w", "centre", r6("mean"), r6("sd"))
+    return frames.window_statistics(events(spark, d), "value", 5).select("sample", "w", "centre", F.round("mean", 10).alias("mean"), r6("sd"))
 
 
 # --- runs --------------------------------------------------------------------
@@ -258,7 +277,7 @@ def interference(spark, d):
     return x.select("sample", "idx", r6("price"), r6("price_sd"), F.round(ratio.divided(F.col("price"), F.col("qty")), 8).alias("price_qty"), r6(sd, "price_qty_sd"))
 
 
-@query(f"""WITH {L_SQL}, c AS (SELECT s_suppkey AS sample, s_acctbal / 10000 AS k FROM supplier WHERE s_suppkey % 7 <> 0)
+@query(f"""WITH {L_SQL}, c AS (SELECT s_suppkey AS sample, s_acctbal / 10000 AS k FROM supplier)
 SELECT l.sample, l.idx, round(price / qty * k * (24.305::DOUBLE / 40.078::DOUBLE), 6) AS price_massfrac FROM l LEFT JOIN c USING (sample)""")
 def mass_fractions(spark, d):
     conc = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_acctbal") / 10000).alias("int_stand_massfrac"))
@@ -267,7 +286,7 @@ def mass_fractions(spark, d):
 
 
 BKG = f"""{RUNS}, q AS (SELECT *, CASE WHEN m THEN rn ELSE 0 END AS ns FROM r),
-b AS (SELECT sample, ns, count(*) AS n, avg(time / 3600) AS time, avg(value) AS mu, stddev_samp(value) AS sd, stddev_pop(value) / sqrt(count(value)) AS se FROM q WHERE ns > 0 GROUP BY sample, ns HAVING count(*) > 1 AND count(*) < 12)"""
+b AS (SELECT sample, ns, count(*) AS n, avg(time / 3600) AS time, avg(value) AS mu, stddev_samp(value) AS sd, stddev_pop(value) / sqrt(count(value)) AS se FROM q WHERE ns > 0 GROUP BY sample, ns HAVING count(*) > 1)"""
 
 
 def _backgrounds(spark, d):
@@ -361,8 +380,7 @@ POINTS = f"{NEAREST}, pt AS (SELECT me.std, me.ratio, me.mu AS x, me.er AS ex, s
 
 
 def _points(spark, d):
-    m, r = _measured(spark, d), calibrate.reference_ratios(_items(spark, d), PAIRS)
-    return m.join(_nearest(spark, d), "std").join(r, ["srm", "ratio"]).withColumn("grp", F.col("std") % 3)
+    return calibrate.points(_measured(spark, d), calibrate.reference_ratios(_items(spark, d), PAIRS)).withColumn("grp", F.col("std") % 3)
 
 
 def _zero_sql(by: str) -> str:
@@ -423,7 +441,7 @@ def long_statistics(spark, d):
     return long.join(times, ["sample", "rep"], "left").select("statistic", "sample", "rep", r6("value"), r6("seconds"))
 
 
-@query()
+@query(f"WITH RECURSIVE {huber_sql(E_SQL, 'SELECT sample, value AS v FROM e WHERE value IS NOT NULL')} SELECT sample, round(mean, 6) AS value_H15_mean, round(sd, 6) AS value_H15_std, round(sd / sqrt(n), 6) AS value_H15_se FROM hub")
 def robust_statistics(spark, d):
     out = stats.sample_stats(events(spark, d), ["value"], ["H15_mean", "H15_std", "H15_se"])
     return out.select("sample", r6("value_H15_mean"), r6("value_H15_std"), r6("value_H15_se"))
@@ -454,9 +472,15 @@ def _pairs(spark, d):
     return stats.pair_differences(a, "sample", "rep", "v")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS}, a AS (SELECT sample, CAST(rn AS INT) AS rep, avg(value) AS v FROM r WHERE m GROUP BY sample, rn HAVING count(*) > 4),
+x AS (SELECT abs(a.v - b.v) AS x FROM a JOIN a b ON a.sample = b.sample AND a.rep < b.rep WHERE abs(a.v - b.v) > 0),
+h AS (SELECT 0 AS k, ln(min(x)) - 1 AS lo, ln(max(x)) + 1 AS hi FROM x
+  UNION ALL
+  SELECT k + 1, CASE WHEN s > n THEN mid ELSE lo END, CASE WHEN s > n THEN hi ELSE mid END FROM (SELECT k, lo, hi, mid, sum(2 * x * x / (x * x + exp(2 * mid))) AS s, count(*) AS n FROM (SELECT *, (lo + hi) / 2 AS mid FROM h WHERE k < 100), x GROUP BY k, lo, hi, mid)),
+c AS (SELECT exp((arg_max(lo, k) + arg_max(hi, k)) / 2) AS scale FROM h)
+SELECT round(scale, 6) AS scale, round(scale * tan(pi() * 0.5 / 2), 6) AS q50, round(scale * tan(pi() * 0.95 / 2), 6) AS q95 FROM c""")
 def reproducibility(spark, d):
-    return stats.reproducibility(_pairs(spark, d))
+    return stats.reproducibility(_pairs(spark, d)).select(r6("scale"), r6("q50"), r6("q95"))
 
 
 @query("""WITH p AS (SELECT l_extendedprice AS x, p_retailprice * l_quantity AS y FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT x, y - x AS r FROM p)
@@ -601,7 +625,20 @@ def map_positions(spark, d):
 # --- flagship ----------------------------------------------------------------
 
 
-@query()
+def _reduction_sql() -> str:
+    """Four passes of despiking over both channels, the ratio above the threshold, and its statistics."""
+    sql, last = L_SQL, "l"
+    for k in range(4):
+        w = "OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+        sql += f", d{k} AS (SELECT *, avg(qty) {w} AS mq, avg(price) {w} AS mp, count(*) OVER (PARTITION BY sample) AS n FROM {last})"
+        cut = lambda v, m: f"CASE WHEN idx >= 1 AND idx < n - 1 AND {m} >= 0 AND {v} > {m} + 12.0::DOUBLE * sqrt(greatest({m}, 0)) THEN {m} ELSE {v} END AS {v}"
+        sql += f", c{k} AS (SELECT sample, idx, {cut('qty', 'mq')}, {cut('price', 'mp')} FROM d{k})"
+        last = f"c{k}"
+    sql += f", z AS (SELECT sample, CASE WHEN price >= 5000 THEN price END / nullif(qty, 0) AS x FROM {last}), g AS (SELECT sample, avg(x) AS mean, stddev_pop(x) AS std, stddev_pop(x) / sqrt(count(x)) AS se FROM z GROUP BY sample)"
+    return f"WITH RECURSIVE {huber_sql(sql, 'SELECT sample, x AS v FROM z WHERE x IS NOT NULL')} SELECT sample, round(g.mean, 6) AS price_qty_mean, round(g.std, 6) AS price_qty_std, round(g.se, 6) AS price_qty_se, round(hub.mean, 6) AS price_qty_H15_mean FROM g LEFT JOIN hub USING (sample)"
+
+
+@query(_reduction_sql())
 def reduction(spark, d):
     """Despike, cut, ratio and summarise, robustly."""
     x = despike.despiked(lines(spark, d), ["qty", "price"], nlim=12.0)

@@ -79,7 +79,7 @@ class Session:
         return self
 
     @logged
-    def subtract_background(self, *, fwhm: float, step: float | None = None, reach: float | None = 6.0) -> Session:
+    def subtract_background(self, *, fwhm: float, step: float | None = None, reach: float | None = 8.0) -> Session:
         """Weighted background of all samples' background rows, on one time line, at a grid and between its times."""
         rows = self.df.where("bkg").select(F.lit("session").alias("all"), "u_time", *self.channels)
         at = background.grid(self.df.withColumn("all", F.lit("session")), step or fwhm / 20, by="all")
