@@ -137,6 +137,45 @@ def test_huber_stays_within_the_values(x):
     assert min(x) - 1e-6 <= mean <= max(x) + 1e-6 and sd >= 0
 
 
+def drawn_in(x):
+    """Huber's proposal as it is told: all values are drawn in, round by round."""
+    x = np.array(x, float)
+    mean, sd = x.mean(), 1.134 * x.std()
+    for _ in range(1000):
+        lo, hi = mean - 1.5 * sd, mean + 1.5 * sd
+        if not ((x < lo) | (x > hi)).any():
+            break
+        x = np.clip(x, lo, hi)
+        mean, sd = x.mean(), 1.134 * x.std()
+    return mean, sd
+
+
+@given(st.lists(st.floats(-1e3, 1e3), min_size=1, max_size=30), st.lists(st.floats(1e5, 1e9), max_size=2))
+def test_huber_is_brute_force(x, far):
+    assert np.allclose(stats.huber(np.array(x + far)), drawn_in(x + far), rtol=1e-6, atol=1e-6)
+
+
+def test_kolmogorov_p(spark):
+    """Values of Kolmogorov's distribution."""
+    df = spark.createDataFrame([(0.5, 0.9639452436), (1.0, 0.2699996717), (1.36, 0.0494858767), (2.0, 0.0006709253), (0.1, 1.0)], "x double, want double")
+    got = df.select(stats.kolmogorov_p(F.col("x"), F.lit(2), F.lit(2)).alias("p"), "want").collect()
+    assert all(r.p == pytest.approx(r.want, abs=1e-6) for r in got)
+
+
+def test_slope_p_of_residuals(spark):
+    rows = [(float(i), 1.5 * i + (i * 7 % 5)) for i in range(12)]
+    got = stats.residual_summary(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    x, y = np.array(rows).T
+    r = np.corrcoef(x, y - x)[0, 1]
+    assert got.slope_p == pytest.approx(float(p_of_t(np.array([r * np.sqrt(10 / (1 - r * r))]), np.array([10]))[0]))
+
+
+def test_all_elements_have_masses(spark):
+    assert len(chem.WEIGHTS) == 92
+    df = spark.createDataFrame([("Sm2O3",), ("SnO2",)], "f string")
+    assert [round(r[0], 3) for r in df.select(chem.molar_mass(F.col("f"))).collect()] == [348.717, 150.708]
+
+
 def test_unknown_statistics_are_errors(spark):
     with pytest.raises(ValueError):
         stats.sample_stats(trace(spark, [1]), ["v"], ["nonsense"])

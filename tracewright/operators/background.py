@@ -91,6 +91,29 @@ def interpolated(df: DataFrame, knots: DataFrame, values: list[str], time: str =
     return both.select(by, F.col("__t").alias(time), *[F.col("__row")[n].alias(n) for n in names], *[at(v).alias(f"{v}_at") for v in values])
 
 
+def near_knots(df: DataFrame, knots: DataFrame, time: str = "u_time", knot_time: str = "knot_time") -> DataFrame:
+    """(sample, knots' columns): for each sample the knots around its own times, so that each can be interpolated by itself.
+
+    Knots of all samples are one sequence. Each stretch between two of them,
+    and each sample, names the cells of time that it covers, as many in all as
+    there are knots; both meet by cell.
+    """
+    names = [c for c in knots.columns if c != knot_time]
+    lo, hi, n = knots.agg(F.min(knot_time), F.max(knot_time), F.count(F.lit(1))).first()
+    if not n:
+        return df.select("sample").limit(0).join(knots, F.lit(True))
+    gap = (hi - lo) / n or 1.0
+    cell = lambda t: F.least(F.greatest(F.floor((F.col(t) - lo) / gap), F.lit(0)), F.lit(n)).cast("int")
+    ordered = Window.orderBy(knot_time)  # a row for each knot
+    stretches = knots.withColumn("__to", F.coalesce(F.lead(knot_time).over(ordered), F.col(knot_time))).withColumn("__own", F.struct(knot_time, *names))
+    stretches = stretches.withColumn("__next", F.coalesce(F.lead("__own").over(ordered), F.col("__own")))
+    stretches = stretches.select(F.explode(F.sequence(cell(knot_time), cell("__to"))).alias("__cell"), "__own", "__next")
+    spans = df.groupBy("sample").agg(F.min(time).alias("__lo"), F.max(time).alias("__hi")).where("__lo IS NOT NULL")
+    spans = spans.select("sample", F.explode(F.sequence(cell("__lo"), cell("__hi"))).alias("__cell"))
+    met = spans.join(stretches, "__cell").select("sample", F.explode(F.array("__own", "__next")).alias("k"))
+    return met.select("sample", "k.*").distinct()
+
+
 def subtracted(df: DataFrame, values: list[str], signal: str = "sig") -> DataFrame:
     """value - value_at within the signal, null elsewhere."""
     return df.withColumns({v: F.when(F.coalesce(F.col(signal), F.lit(False)), F.col(v) - F.col(f"{v}_at")) for v in values})

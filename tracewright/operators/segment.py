@@ -85,8 +85,8 @@ def fit_bell(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], si
     return None
 
 
-def segment(time: np.ndarray, signal: np.ndarray, gwin: int = 5, swin: int = 3, win: int = 20, on_mult=(1.0, 1.5), off_mult=(1.5, 1.0), threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks of signal, background and transition.
+def segment(time: np.ndarray, signal: np.ndarray, gwin: int = 5, swin: int = 3, win: int = 20, on_mult=(1.0, 1.5), off_mult=(1.5, 1.0), threshold: float | None = None, parts: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks of signal, background and transition; parts takes the series that they are told from.
 
     The logarithm of the lagged mean is cut in two; around every cut a bell
     curve on the gradient gives the transition's width, and rows within the
@@ -105,6 +105,8 @@ def segment(time: np.ndarray, signal: np.ndarray, gwin: int = 5, swin: int = 3,
     upper[0] = False
     sig, bkg = upper.copy(), ~upper
     gradient = np.abs(slopes(v, gwin))
+    if parts is not None:
+        parts |= {"smooth": smooth, "gradient": gradient, "upper": upper}
     step = time[1] - time[0]
     widths: list[tuple[float, float, bool]] = []
     failed: list[tuple[float, bool]] = []
@@ -142,6 +144,20 @@ def segmented(df: DataFrame, value: str, time: str = "time", **how) -> DataFrame
     return df.join(narrow.groupBy("sample").applyInPandas(run, SEGMENTS.replace("sample string", f"sample {key}").replace("idx int", f"idx {df.schema['idx'].dataType.simpleString()}")), ["sample", "idx"])
 
 
+def components(df: DataFrame, value: str, time: str = "time", **how) -> DataFrame:
+    """(sample, idx, smooth, gradient, upper, sig, bkg, trn): the masks with what they are told from, the logarithm of the lagged mean, the size of its slope and the upper cluster; null where a trace is too short or has no signal."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, parts = pdf.sort_values("idx", kind="stable"), {}
+        sig, bkg, trn = segment(pdf["t"].to_numpy(float), pdf["v"].fillna(0).to_numpy(float), parts=parts, **how)
+        found = {c: parts.get(c, [None] * len(pdf)) for c in ("smooth", "gradient", "upper")}
+        return pd.DataFrame({"sample": pdf["sample"], "idx": pdf["idx"], **found, "sig": sig, "bkg": bkg, "trn": trn})
+
+    key, idx = (df.schema[c].dataType.simpleString() for c in ("sample", "idx"))
+    narrow = df.selectExpr("sample", "idx", f"`{time}` AS t", f"`{value}` AS v")
+    return narrow.groupBy("sample").applyInPandas(run, f"sample {key}, idx {idx}, smooth double, gradient double, upper boolean, sig boolean, bkg boolean, trn boolean")
+
+
 def density(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Gaussian kernel density with Scott's bandwidth."""
     width = x.std(ddof=1) * len(x) ** -0.2
@@ -176,7 +192,7 @@ def best_window(values: np.ndarray, least: int = 5, mode: str | Callable = "kde_
         return None
     s = np.concatenate([np.zeros((1, v.shape[1])), np.nancumsum(v, axis=0)])
     q = np.concatenate([np.zeros((1, v.shape[1])), np.nancumsum(v * v, axis=0)])
-    cells: list[tuple[int, int, float, float]] = []
+    cells: list[np.ndarray] = []
     weights = np.ones(v.shape[1]) if weights is None else np.asarray(weights, float)
     with np.errstate(all="ignore"):
         for w in range(least, n):
@@ -188,8 +204,8 @@ def best_window(values: np.ndarray, least: int = 5, mode: str | Callable = "kde_
             if bias > 0:
                 scaled = scaled + np.linspace(0, bias, len(scaled))[:, None]
             m, r = (scaled * weights).mean(axis=1), (rsd * weights).mean(axis=1)
-            cells += zip([w] * len(m), range(len(m)), m.tolist(), r.tolist(), strict=True)
-    grid = np.array(cells)
+            cells.append(np.stack([np.full(len(m), w), np.arange(len(m)), m, r], axis=1))
+    grid = np.concatenate(cells)
     grid = grid[np.isfinite(grid).all(axis=1)]
     if not len(grid):
         return None

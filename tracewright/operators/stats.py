@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.functions.student import two_sided_p
 from tracewright.operators.frames import SAMPLE
 from tracewright.operators.ranked import quantiles, ranged, running
 
@@ -180,16 +181,32 @@ def reproducibility(differences: DataFrame, quantiles: tuple[float, ...] = (0.5,
 
 
 def residual_summary(df: DataFrame, x: str, y: str) -> DataFrame:
-    """N, quartiles of y - x, and the line of residuals on x."""
+    """N, quartiles of y - x, and the line of residuals on x, with the two-sided p of its slope."""
     r = (F.col(y) - F.col(x)).alias("r")
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), r)
     lq, median, uq = (F.lit(v).cast("double") for v in quantiles(p, "r", [0.25, 0.5, 0.75]))
-    out = p.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("r", "x").alias("slope"), F.regr_intercept("r", "x").alias("intercept"), F.regr_r2("r", "x").alias("r2"))
-    return out.select("n", median.alias("median"), lq.alias("lq"), uq.alias("uq"), (uq - lq).alias("iqr"), "slope", "intercept", "r2")
+    out = p.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("r", "x").alias("slope"), F.regr_intercept("r", "x").alias("intercept"), F.regr_r2("r", "x").alias("r2"), F.corr("r", "x").alias("__r"))
+    return out.withColumn("slope_p", two_sided_p("__r", "n")).select("n", median.alias("median"), lq.alias("lq"), uq.alias("uq"), (uq - lq).alias("iqr"), "slope", "slope_p", "intercept", "r2")
+
+
+def kolmogorov_p(distance: Column, n: Column, m: Column) -> Column:
+    """How likely so large a distance is of samples of n and m from one distribution, by Kolmogorov's limit."""
+    x2 = distance * distance * n * m / (n + m)
+    term = lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x2)
+    # At so small a distance the series is slow, and 1 to twelve digits.
+    return F.when(x2 < 0.04, 1.0).otherwise(F.least(F.greatest(F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term), F.lit(0.0)), F.lit(1.0)))
+
+
+def r2(df: DataFrame, measured: str, model: Column, force_zero: bool = False) -> float | None:
+    """1 - residual / total sum of squares; the total is about zero with force_zero, else about the mean."""
+    y = F.col(measured)
+    # The sum about the mean is as many times the variance as there are values.
+    total = F.sum(y * y) if force_zero else F.var_pop(y) * F.count(y)
+    return df.agg((1 - F.try_divide(F.sum((y - model) * (y - model)), total)).alias("r2")).first()[0]
 
 
 def ks_statistic(df: DataFrame, value: str, side: str, first, by: str | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of value where side is `first` and where it isn't.
+    """Two-sample Kolmogorov-Smirnov distance of value where side is `first` and where it isn't, and its p for large samples.
 
     Equal values are counted together first, so the running sums go over
     distinct values: those of a group, or, without groups, in ranges.
@@ -198,11 +215,12 @@ def ks_statistic(df: DataFrame, value: str, side: str, first, by: str | None = N
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(F.col(side) == first).alias("a"), F.count_if(F.col(side) != first).alias("b"))
     if not by:
         sums = running(ranged(counts, "v"), "v", {"fa": "a", "fb": "b"})
-        return sums.join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))).agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"))  # sums: one row
+        return sums.join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))).agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"), kolmogorov_p(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))), F.max("na"), F.max("nb")).alias("ks_p"))  # sums: one row
     base = Window.partitionBy(by)
     run = base.orderBy("v")
     d = F.abs(F.sum("a").over(run) / F.sum("a").over(base) - F.sum("b").over(run) / F.sum("b").over(base))
-    return counts.withColumn("d", d).groupBy(*keys).agg(F.max("d").alias("ks"))
+    n = counts.withColumn("d", d).groupBy(*keys).agg(F.max("d").alias("ks"), F.sum("a").alias("__na"), F.sum("b").alias("__nb"))
+    return n.select(*keys, "ks", kolmogorov_p(F.col("ks"), F.col("__na"), F.col("__nb")).alias("ks_p"))
 
 
 def bland_altman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import chem, names
 from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats
-from tracewright.plans.bind import E_SQL, L_SQL, events, lines, r6, table
+from tracewright.plans.bind import CHANNELS, E_SQL, L_SQL, events, lines, r6, table
+from tracewright.plans.session import Session
 from tracewright.sources import dataformat, split
 from tracewright.sources import tables as sources
+from tracewright.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -496,9 +499,10 @@ def _compared(spark, d):
 
 
 @query("""WITH c AS (SELECT value AS v, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type <> 'view') AS b FROM events GROUP BY 1)
-SELECT round(max(d), 6) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER ()::DOUBLE - sum(b) OVER (ORDER BY v) / sum(b) OVER ()::DOUBLE) AS d FROM c)""")
+, m AS (SELECT max(d) AS ks, max(na) AS na, max(nb) AS nb FROM (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER ()::DOUBLE - sum(b) OVER (ORDER BY v) / sum(b) OVER ()::DOUBLE) AS d, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c))
+SELECT round(ks, 6) AS ks, round(CASE WHEN ks * ks * na * nb / (na + nb) < 0.04 THEN 1.0 ELSE least(greatest(list_sum([CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * ks * ks * na * nb / (na + nb)) FOR k IN range(1, 101)]), 0), 1) END, 6) AS ks_p FROM m""")
 def ks_distance(spark, d):
-    return stats.ks_statistic(events(spark, d), "value", "event_type", "view").select(r6("ks"))
+    return stats.ks_statistic(events(spark, d), "value", "event_type", "view").select(r6("ks"), r6("ks_p"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS x, p_retailprice * l_quantity AS y FROM lineitem JOIN part ON l_partkey = p_partkey), q AS (SELECT quantile_cont(y - x, 0.025) AS low, quantile_cont(y - x, 0.5) AS middle, quantile_cont(y - x, 0.975) AS high FROM p)
@@ -622,6 +626,67 @@ def map_positions(spark, d):
     return sources.on_scan(o, "t", "v", "speed").select("o_orderkey", r6("d"), r6("x"), F.round(F.col("s")["Price"].cast("double"), 2).alias("speed"))
 
 
+@query(r"""WITH o AS (SELECT c_custkey::VARCHAR AS file, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 's' || file AS sample, CAST(idx AS INT) AS idx, idx * 0.5 AS time, round(o_totalprice, 2) AS Ca43, CAST(o_orderkey % 1000 AS DOUBLE) AS Mg24, round(o_totalprice + o_orderkey % 1000, 2) AS total_counts FROM o""")
+def instrument_files(spark, d):
+    """Each customer's orders written as an instrument would, and read back by a format."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.round("o_totalprice", 2).alias("p"))
+    idx = F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")) - 1
+    line = F.concat_ws(",", (idx * 0.5).cast("string"), F.format_string("%.2f", "p"), (F.col("o_orderkey") % 1000).cast("string"))
+    rows = o.select("k", idx.alias("i"), line.alias("line")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))  # a file is one row
+    head = F.concat(F.lit("Acquired : 2024-01-02 03:04:05 using batch\nTime [Sec],Ca43,Mg24\n"))
+    text = F.concat(head, F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\nPrinted\n"))
+    files = rows.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("file"), text.alias("text"))
+    fmt = {"header": 1, "footer": 1}
+    got = dataformat.traces(dataformat.lines_of(files, "file", "text"), fmt)
+    return got.select("sample", "idx", "time", F.round("Ca43", 2).alias("Ca43"), "Mg24", F.round("total_counts", 2).alias("total_counts"))
+
+
+@query(f"""WITH {E_SQL}, t AS (SELECT sample, max(time / 3600) AS last FROM e GROUP BY sample), o AS (SELECT sample, coalesce(sum(last) OVER (ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t)
+SELECT sample, idx, round(time / 3600 + o, 6) AS u_time FROM e JOIN o USING (sample)""")
+def universal_time(spark, d):
+    return dataformat.with_universal_time(_hours(events(spark, d))).select("sample", "idx", r6("u_time"))
+
+
+@query("""WITH w AS (SELECT DISTINCT p_type AS key FROM part), i AS (SELECT DISTINCT p_name AS item FROM part)
+SELECT key, coalesce((SELECT min(item) FROM i WHERE item = key), (SELECT min(item) FROM i WHERE lower(substr(item, 1, 3)) = lower(substr(key, 1, 3))), (SELECT min(item) FROM i WHERE lower(substr(item, 1, 1)) = lower(substr(key, 1, 1)))) AS item FROM w""")
+def first_match(spark, d):
+    """Names found by likeness that loosens: the same name, three letters of it, one."""
+    p = table(spark, d, "part")
+    wanted, items = p.select(F.col("p_type").alias("key")).distinct(), p.select(F.col("p_name").alias("item")).distinct()
+    starts = lambda n: F.lower(F.substring("item", 1, n)) == F.lower(F.substring("key", 1, n))
+    return calibrate.first_match(wanted, items, [F.col("item") == F.col("key"), starts(3), starts(1)], "key").select("key", "item")
+
+
+@query("""WITH e AS (SELECT user_id AS sample, ts, value FROM events WHERE value >= 60), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM e WINDOW w AS (PARTITION BY sample ORDER BY ts)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY sample ORDER BY ts) AS s FROM g)
+SELECT sample, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 6 * 3600000000 AS stop, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS top FROM s GROUP BY sample, s""")
+def signal_sessions(spark, d):
+    """What the stream of sessions gives, over a table."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("sample"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = sessions.signal_sessions(e, 60.0, "6 hours")
+    return out.select("sample", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n", r6("mean"), "top")
+
+
+@query("""WITH e AS (SELECT user_id AS sample, epoch_us(ts) AS t, value FROM events WHERE value < 30), w AS (SELECT sample, value, (t // 900000000 - k) * 900000000 AS start FROM e, unnest(range(0, 4)) AS x(k))
+SELECT sample, start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM w GROUP BY sample, start""")
+def sliding_background(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("sample"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = sessions.windowed_background(e, 30.0)
+    return out.select("sample", F.unix_micros("start").alias("start"), "n", r6("mean"), r6("sd"))
+
+
+@query(f"""WITH {L_SQL}, k AS (SELECT sample, 'few' AS subset, count(*) AS n FROM l WHERE sample IN (2, 3, 5) GROUP BY sample UNION ALL SELECT sample, 'not_in_set', count(*) FROM l WHERE sample NOT IN (2, 3, 5, 7) GROUP BY sample
+UNION ALL SELECT sample, '1', count(*) FROM l WHERE contains(sample::VARCHAR, '1') GROUP BY sample UNION ALL SELECT sample, 'All_Samples', count(*) FROM l WHERE NOT contains(sample::VARCHAR, '1') GROUP BY sample) SELECT sample, subset, n FROM k""")
+def session_subsets(spark, d):
+    """Rows of each sample of named subsets, of standards, of the others, and of what is in no subset."""
+    s = Session(lines(spark, d), list(CHANNELS), standard_marker="1")
+    s.make_subset(samples=[2, 3, 5], name="few")
+    s.make_subset(samples=[7, 3], name="odd")
+    parts = [s.of(x).groupBy("sample").agg(F.count(F.lit(1)).alias("n")).select("sample", F.lit(x).alias("subset"), "n") for x in ("few", "not_in_set", "1", "All_Samples")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- flagship ----------------------------------------------------------------
 
 

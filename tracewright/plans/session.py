@@ -2,7 +2,9 @@
 
 The session holds lazy DataFrames and a small catalog on the driver (channel
 names, subsets, switches, the log). Every step is one of LOGGED; a log is JSON
-and is replayed by name through that list, never evaluated.
+and is replayed by name through that list, never evaluated. What the traces
+were after each stage can still be read: a stage is a DataFrame, not a copy.
+Values that have an uncertainty have its deviation beside them, as <value>_sd.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 import functools
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import names
-from tracewright.operators import background, calibrate, despike, masks, ratio, runs, segment, stats
+from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats, washout
 from tracewright.sources import tables
 
 LOGGED: dict[str, object] = {}
@@ -40,6 +43,11 @@ class Session:
         self.switches = masks.Switches(self.channels)
         self.subsets: dict[str, set[str]] = {}
         self.ratios: list[str] = []
+        self.fractions: list[str] = []
+        self.stages: dict[str, DataFrame] = {"rawdata": traces}
+        self.exponent: float | None = None
+        self.classifiers: dict[str, cluster.Classifier] = {}
+        self.lines: DataFrame | None = None
         self.background: DataFrame | None = None
         self.stats: DataFrame | None = None
         self.log: list[dict] = []
@@ -66,12 +74,41 @@ class Session:
             return self.df.where(~F.col("sample").isin(sorted({s for x in self.subsets.values() for s in x})))
         return self.df.where(F.col("sample").isin(sorted(self.subsets[subset]) if isinstance(subset, str) else subset))
 
+    def stage(self, name: str | None = None, subset: str | list[str] | None = None) -> DataFrame:
+        """The rows as they were after a stage (rawdata, despiked, bkgsub, ratios, calibrated, mass_fraction), with the filters there are now; by default as they are."""
+        if name is not None and name not in self.stages:
+            raise ValueError(f"no stage is named {name!r}; there are {list(self.stages)}")
+        now = self.of(subset)
+        if name is None:
+            return now
+        found = [masks.column_of(f) for f in self.switches.names]
+        keys = now.select("sample", "idx", *found)
+        return self.stages[name].drop(*found).join(keys, ["sample", "idx"])
+
+    def _after(self, stage: str) -> Session:
+        self.stages[stage] = self.df
+        return self
+
     # -- steps
 
     @logged
-    def despike(self, *, exponent: float | None = None, step: float = 1.0, win: int = 3, nlim: float = 12.0, maxiter: int = 4) -> Session:
+    def find_expcoef(self, *, below: float = 0.0, limit: float | None = None, channel: str = "total_counts", **how) -> float:
+        """The exponent of the standards' washouts, which despiking takes where it is given none."""
+        rows = self.of(self.marker)
+        if channel not in rows.columns:
+            rows = rows.withColumn(channel, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in self.channels), F.lit(0.0)))
+        if "trn" not in rows.columns:
+            rows = segment.segmented(rows, channel, **how)
+        self.exponent = washout.exponent(washout.tails(rows, channel, limit=limit), below)["used"]
+        return self.exponent
+
+    @logged
+    def despike(self, *, exponent: float | None = None, decay: bool = False, step: float = 1.0, win: int = 3, nlim: float = 12.0, maxiter: int = 4) -> Session:
+        """Noise despiking; decay despiking before it where an exponent is given, or asked for after find_expcoef."""
+        if decay and exponent is None:
+            exponent = self.exponent if self.exponent is not None else self.find_expcoef.__wrapped__(self)
         self.df = despike.despiked(self.df, self.channels, exponent, step, win, nlim, maxiter)
-        return self
+        return self._after("despiked")
 
     @logged
     def autorange(self, *, channel: str = "total_counts", **how) -> Session:
@@ -79,51 +116,105 @@ class Session:
         return self
 
     @logged
-    def subtract_background(self, *, fwhm: float, step: float | None = None, reach: float | None = 8.0) -> Session:
-        """Weighted background of all samples' background rows, on one time line, at a grid and between its times."""
+    def filter_background(self, *, win: int = 3, n_lim: float = 3.0, n_min: int = 20, n_max: int | None = None) -> Session:
+        """Takes stretches of background out whose rolling mean leaps over the one before."""
+        rows = runs.number(self.df, "bkg", "bkg_ns")
+        means = background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max)
+        out = background.rolling_outliers(means, [f"{c}_mean" for c in self.channels], win, n_lim).where("dropped").select("sample", "bkg_ns", F.lit(True).alias("__out"))
+        self.df = rows.join(out, ["sample", "bkg_ns"], "left").withColumn("bkg", F.col("bkg") & F.col("__out").isNull()).drop("__out", "bkg_ns")
+        return self
+
+    def _subtract(self, knots: DataFrame) -> Session:
+        """knots: knot_time, and for each channel its background and that one's error, <channel>_sd."""
+        values = [*self.channels, *[f"{c}_sd" for c in self.channels]]
+        rows = self.df.withColumns({f"{c}_sd": F.lit(None).cast("double") for c in self.channels})
+        out = background.interpolated(rows, background.near_knots(self.df, knots), values)
+        inside = F.coalesce(F.col("sig"), F.lit(False))
+        out = out.withColumns({f"{c}_sd": F.when(inside, F.col(f"{c}_sd_at")) for c in self.channels})
+        self.df = background.subtracted(out, self.channels).drop(*[f"{v}_at" for v in values])
+        return self._after("bkgsub")
+
+    @logged
+    def subtract_background(self, *, fwhm: float, step: float | None = None, reach: float | None = 8.0, error: str = "se") -> Session:
+        """Weighted background of all samples' background rows, on one time line, at a grid and between its times; its error (se, or std) is that of the values then."""
         rows = self.df.where("bkg").select(F.lit("session").alias("all"), "u_time", *self.channels)
         at = background.grid(self.df.withColumn("all", F.lit("session")), step or fwhm / 20, by="all")
         self.background = background.weighted(rows, at, self.channels, fwhm, by="all", reach=reach)
-        knots = self.background.select("all", F.col("grid_time").alias("knot_time"), *[F.col(f"{c}_mean").alias(c) for c in self.channels])
-        # Each sample takes the knots around its own times: both sides name cells of one grid step.
-        gap = step or fwhm / 20
-        cell = lambda t, d=0: F.floor(F.col(t) / gap) + d
-        span = self.df.groupBy("sample").agg(F.min("u_time").alias("__lo"), F.max("u_time").alias("__hi"))
-        cells = span.select("sample", F.explode(F.sequence(cell("__lo", -2), cell("__hi", 2))).alias("__cell"))
-        own = cells.join(knots.drop("all").withColumn("__cell", cell("knot_time")), "__cell").drop("__cell")
-        out = background.interpolated(self.df, own, self.channels)
-        self.df = background.subtracted(out, self.channels).drop(*[f"{c}_at" for c in self.channels])
-        return self
+        return self._subtract(self.background.select(F.col("grid_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
+
+    @logged
+    def subtract_background_between(self, *, n_min: int = 20, n_max: int | None = None, error: str = "se") -> Session:
+        """Background between the mean times of its stretches: linear there, constant beyond."""
+        rows = runs.number(self.df, "bkg", "bkg_ns")
+        self.background = background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max)
+        return self._subtract(self.background.select(F.col("u_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
 
     @logged
     def correct_interference(self, *, target: str, source: str, factor: float) -> Session:
-        self.df = self.df.withColumn(target, F.col(target) - factor * F.col(source))
+        if f"{target}_sd" in self.df.columns:
+            self.df = ratio.interference_corrected(self.df, target, source, factor).drop(f"{target}_cov_{source}")
+        else:
+            self.df = self.df.withColumn(target, F.col(target) - factor * F.col(source))
         return self
 
     @logged
     def ratio(self, *, standard: str) -> Session:
         self.df = ratio.with_ratios(self.df, self.channels, standard)
         self.ratios = [f"{c}_{standard}" for c in self.channels if c != standard]
+        if f"{standard}_sd" in self.df.columns:
+            parts = lambda c: [F.col(x) for x in (c, f"{c}_sd", standard, f"{standard}_sd")]
+            self.df = self.df.withColumns({f"{c}_{standard}_sd": ratio.quotient_sd(*parts(c)) for c in self.channels if c != standard})
         self.switches.values = [*self.channels, *self.ratios]
-        return self
+        return self._after("ratios")
 
-    @logged
-    def calibrate(self, *, intercept: bool = False, n_min: int = 10) -> Session:
-        """Each ratio on a line through the standards' means, each standard against the nearest reference."""
+    def _standards(self, n_min: int) -> DataFrame:
+        """(std, u_time, ratio, meas_mean, meas_err) of each ablation of a standard with n_min rows at least."""
         std = self.of(self.marker).where("ns > 0").groupBy("sample", "ns")
-        wide = std.agg(F.count(F.lit(1)).alias("n"), *[x for r in self.ratios for x in (F.avg(r).alias(f"m_{r}"), (F.stddev_pop(r) / F.sqrt(F.count(r))).alias(f"e_{r}"))]).where(F.col("n") >= n_min)
-        long = wide.select(F.concat_ws("#", "sample", "ns").alias("std"), F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"m_{r}").alias("meas_mean"), F.col(f"e_{r}").alias("meas_err")) for r in self.ratios])).alias("x")).select("std", "x.*")
-        found = calibrate.nearest_reference(long, self.references)
-        lines = calibrate.calibration(long.join(found, "std").join(self.references, ["srm", "ratio"]), ["ratio"], intercept)
-        wide = lines.groupBy(F.lit(1).alias("__one")).pivot("ratio", self.ratios).agg(F.first("m").alias("m"), F.first("c").alias("c")).drop("__one")
-        out = self.df.join(F.broadcast(wide))  # one row
-        self.df = out.withColumns({r: F.col(r) * F.col(f"{r}_m") + F.col(f"{r}_c") for r in self.ratios}).drop(*[f"{r}_{x}" for r in self.ratios for x in "mc"])
-        return self
+        wide = std.agg(F.count(F.lit(1)).alias("n"), F.avg("u_time").alias("u_time"), *[x for r in self.ratios for x in (F.avg(r).alias(f"m_{r}"), (F.stddev_pop(r) / F.sqrt(F.count(r))).alias(f"e_{r}"))]).where(F.col("n") >= n_min)
+        each = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"m_{r}").alias("meas_mean"), F.col(f"e_{r}").alias("meas_err")) for r in self.ratios]))
+        return wide.select("sample", F.concat_ws("#", "sample", "ns").alias("std"), "u_time", each.alias("x")).select("sample", "std", "u_time", "x.*")
+
+    @logged
+    def calibrate(self, *, intercept: bool = False, n_min: int = 10, drift: bool = False) -> Session:
+        """Each ratio on a line through the standards' means, each standard against the nearest reference.
+
+        With drift there is a line for each group of standards that no more
+        than one other sample parts, and between the groups' mean times what
+        they say is interpolated. The line's errors and the ratio's own make
+        the deviation. A ratio that no standard has is null; no row is lost.
+        """
+        points = calibrate.points(self._standards(n_min), self.references)
+        by = ["ratio"]
+        if drift:
+            marked = self.df.groupBy("sample").agg(F.min("u_time").alias("u_time")).withColumn("__std", F.contains(F.col("sample").cast("string"), F.lit(self.marker)))
+            groups = calibrate.consecutive_groups(marked, "__std", "u_time").select("sample", "grp", F.col("g_time").alias("knot_time"))
+            points, by = points.drop("u_time").join(groups, "sample"), ["ratio", "grp", "knot_time"]
+        self.lines = calibrate.calibration(points, by, intercept)
+        part = lambda r, c: F.max(F.when(F.col("ratio") == r, F.col(c)))
+        cells = [part(r, c).alias(f"{r}__{c}") for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
+        names = [f"{r}__{c}" for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
+        if drift:
+            knots = self.lines.groupBy("knot_time").agg(*cells)
+            rows = self.df.drop(*names)
+            out = background.interpolated(rows, background.near_knots(rows, knots), names).withColumnsRenamed({f"{n}_at": n for n in names})
+        else:
+            out = self.df.join(F.broadcast(self.lines.agg(*cells)))  # one row, whatever there is to aggregate
+        col = {}
+        for r in self.ratios:
+            own = F.col(f"{r}_sd") if f"{r}_sd" in self.df.columns else F.lit(0.0)
+            m, m_sd, c, c_sd = (F.col(f"{r}__{x}") for x in ("m", "m_sd", "c", "c_sd"))
+            col[r], col[f"{r}_sd"] = calibrate.calibrated(F.col(r), own, m, F.coalesce(m_sd, F.lit(0.0)), c, F.coalesce(c_sd, F.lit(0.0)))
+        self.df = out.withColumns(col).drop(*names)
+        return self._after("calibrated")
 
     @logged
     def mass_fraction(self, *, masses: dict[str, list[float]]) -> Session:
         self.df = ratio.with_mass_fractions(self.df, {r: tuple(m) for r, m in masses.items()}, self.concentrations)
-        return self
+        have = [r for r in masses if f"{r}_sd" in self.df.columns]
+        self.df = self.df.withColumns({f"{r.split('_')[0]}_massfrac_sd": F.col(f"{r}_sd") * F.col("int_stand_massfrac") * F.lit(masses[r][0] / masses[r][1]) for r in have})
+        self.fractions = [f"{r.split('_')[0]}_massfrac" for r in masses]
+        self.switches.values = [*self.channels, *self.ratios, *self.fractions]
+        return self._after("mass_fraction")
 
     # -- filters
 
@@ -153,6 +244,60 @@ class Session:
         self.df = self.df.drop("below", "above", "gradient")
         return out
 
+    @logged
+    def filter_gradient_percentile(self, *, channel: str, percentiles: list[float], win: int = 15, mode: str = "mid", level: str = "population") -> list[str]:
+        self.df = frames.with_gradient(self.df, channel, win, mode, "__gradient")
+        self.df = masks.percentile_masks(self.df, "__gradient", percentiles, level)
+        pair = ("below", "above") if len(percentiles) == 1 else ("inside", "outside")
+        out = self._add({f"{channel}_grd_pcnt_{p}": F.col(p) for p in pair})
+        self.df = self.df.drop("__gradient", *pair)
+        return out
+
+    @logged
+    def filter_clustering(self, *, channels: list[str], method: str = "meanshift", level: str = "sample", clusters: int = 2, filt: bool | str = False, normalise: bool = True, include_time: bool = False, min_data: int = 10, **how) -> list[str]:
+        """A filter for each cluster, numbered from the lowest: of each sample by itself, or of the population. Rows that filt leaves out are in none."""
+        values = [*channels, *(["time"] if include_time else [])]
+        kept = self.switches.mask(filt)
+        rows = self.df.select("sample", "idx", *[F.when(kept, F.col(v)).alias(v) for v in values])
+        if level == "population":
+            found = cluster.Classifier(values, clusters).fit(rows).predict(rows)
+        else:
+            if method == "kmeans":
+                how = {"k": clusters, **how}
+            found = cluster.clustered_by_sample(rows, values, method, min_data, normalise, **how)
+        return self._clusters(found, "-".join(channels) + f"_{method}")
+
+    def _clusters(self, found: DataFrame, name: str) -> list[str]:
+        """Filters of the labels from -1 on that occur: as many as the sample with most clusters has."""
+        labels = sorted(r[0] for r in found.where("cluster >= -1").select("cluster").distinct().collect())
+        self.df = self.df.join(found.select("sample", "idx", F.col("cluster").alias("__cluster")), ["sample", "idx"])
+        out = self._add({f"{name}_{k if k >= 0 else 'noise'}": F.coalesce(F.col("__cluster") == k, F.lit(False)) for k in labels})
+        self.df = self.df.drop("__cluster")
+        return out
+
+    @logged
+    def fit_classifier(self, *, name: str, channels: list[str], clusters: int = 2, method: str = "kmeans", bandwidth: float | None = None, subset: str | None = None, filt: bool | str = True, sort_by: int = 0) -> Session:
+        """Clusters of the pooled rows of a subset, to be applied to any sample."""
+        kept = self.switches.mask(filt)
+        rows = self.of(subset).where("ns > 0").select(*[F.when(kept, F.col(c)).alias(c) for c in channels])
+        self.classifiers[name] = cluster.Classifier(channels, clusters, sort_by, method=method, bandwidth=bandwidth).fit(rows)
+        return self
+
+    @logged
+    def apply_classifier(self, *, name: str) -> list[str]:
+        return self._clusters(self.classifiers[name].predict(self.df), name)
+
+    @logged
+    def filter_optimise_signal(self, *, channels: list[str], least: int = 5, mode: str = "kde_first_max", mult: float = 1.0, bias: float = 0.0, weights: list[float] | None = None, maximise: bool = False, filt: bool | str = True) -> list[str]:
+        """The best window of each ablation; rows that filt leaves out are as if they weren't there."""
+        kept = self.switches.mask(filt)
+        rows = self.df.select("sample", "idx", "ns", *[F.when(kept, F.col(c)).alias(c) for c in channels])
+        found = segment.optimised(rows, channels, "ns", least=least, mode=mode, mult=mult, bias=bias, weights=weights, maximise=maximise)
+        self.df = self.df.join(found.select("sample", "idx", "optimal"), ["sample", "idx"])
+        out = self._add({"optimise_" + "-".join(channels): F.col("optimal")})
+        self.df = self.df.drop("optimal")
+        return out
+
     @logged
     def filter_correlation(self, *, x: str, y: str, window: int, r_threshold: float = 0.9, p_threshold: float = 0.05) -> list[str]:
         self.df = masks.correlation_mask(self.df, x, y, window, r_threshold, p_threshold)
@@ -211,6 +356,37 @@ class Session:
         self.stats = stats.sample_stats(rows, values, list(stats_), {v: self.switches.mask(filt, v) for v in values}, by)
         return self
 
+    def filter_effect(self, *, channels: list[str] | None = None, filt: bool | str = True, subset: str | None = None) -> DataFrame:
+        """Means and deviations with the filters, without them, and their ratios, for each sample."""
+        return stats.filter_effect(self.of(subset).where("ns > 0"), channels or self.ratios or self.channels, self.switches.mask(filt))
+
+    def gradients(self, *, channels: list[str] | None = None, win: int = 15, mode: str = "mid", subset: str | None = None) -> DataFrame:
+        """(sample, idx, <channel>_gradient ...) of all samples."""
+        values, rows = channels or self.ratios or self.channels, self.of(subset)
+        for v in values:
+            rows = frames.with_gradient(rows, v, win, mode, f"{v}_gradient")
+        return rows.select("sample", "idx", *[f"{v}_gradient" for v in values])
+
+    def export_traces(self, path: str, *, stage: str | None = None, channels: list[str] | None = None, subset: str | None = None, filt: bool | str | dict = False, form: str = "csv") -> None:
+        """The values of a stage, each with its own filters, in a folder for each sample."""
+        rows = self.stage(stage, subset)
+        stages = {"rawdata": self.channels, "despiked": self.channels, "bkgsub": self.channels, "ratios": self.ratios, "calibrated": self.ratios, "mass_fraction": self.fractions}
+        values = channels or stages.get(stage or list(self.stages)[-1], self.channels)
+        own: dict[str, Column] = {v: self.switches.mask(filt, v) for v in values} if filt else {}
+        tables.write_traces(rows.withColumns({f"__{v}": m for v, m in own.items()}), path, values, {v: F.col(f"__{v}") for v in own}, form)
+
+    def minimal_export(self, path: str, *, channels: list[str] | None = None) -> None:
+        """What another user needs to do the same: raw traces of the channels that the log's steps name, or of all that are asked for, references, concentrations and the log."""
+        said = json.dumps([x["args"] for x in self.log])
+        wanted = [c for c in self.channels if channels is None or c in channels or c in said]
+        raw = self.stages["rawdata"]
+        keys = [c for c in ("sample", "idx", "time", "u_time") if c in raw.columns]
+        raw.select(*keys, *wanted).write.mode("overwrite").parquet(f"{path}/traces")
+        for name, df in (("references", self.references), ("concentrations", self.concentrations)):
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.save_log(f"{path}/log")
+
     def export(self, path: str) -> None:
         """Traces, statistics and the log under path."""
         self.df.write.mode("overwrite").parquet(f"{path}/traces")
@@ -230,6 +406,20 @@ class Session:
         return self
 
 
+def reproduced(spark: SparkSession, path: str, marker: str = "STD") -> Session:
+    """A session from a minimal export, with its log replayed."""
+
+    def there(name: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{path}/{name}")
+        except AnalysisException:  # it had none
+            return None
+
+    traces = spark.read.parquet(f"{path}/traces")
+    channels = [c for c in traces.columns if c not in ("sample", "idx", "time", "u_time")]
+    return Session(traces, channels, marker, there("concentrations"), there("references")).replay(read_log(spark, f"{path}/log"))
+
+
 def read_log(spark: SparkSession, path: str) -> list[dict]:
     """A log as it was saved: one small row for each step."""
     return [json.loads(r.entry) for r in spark.read.schema("i int, entry string").json(path).orderBy("i").collect()]

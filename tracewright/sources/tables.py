@@ -60,3 +60,8 @@ def write_stats(long: DataFrame, path: str, times: DataFrame | None = None) -> N
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics as they were exported, (statistic, sample, rep, values ...); rep where there is one, cells that are no number are null."""
+    rows = spark.read.csv(path, header=True, comment="#").dropna("all")
+    keys = [c for c in ("statistic", "sample", "rep") if c in rows.columns]
+    return rows.select(*[F.col(c).try_cast("int") if c == "rep" else F.col(c) for c in keys], *[F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns if c not in keys])
