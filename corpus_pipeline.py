@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; all but the last return the columns of documents.
+Columns of docs beside these are dropped, whatever their names. An empty table
+gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -18,28 +20,45 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones that aren't held out, predicts as good."""
+    """Documents that the classifier, fitted on the labelled ones that aren't held out, predicts as good.
+
+    Null and empty texts have the score of the classifier's constant; without
+    labels all scores are 0.5, and no document stays. Repeated rows stay or go
+    alike, at any length of text.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(COLUMNS), weights).where("predicted = 1").select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal without white space.
+
+    The longest original stays, then the smallest doc_id, null last; of rows
+    that are repeated one stays. Null texts are empty ones.
+    """
     return exact_dedup.exact_groups(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
+    """One document of each component of linked fingerprints: that with the smallest doc_id, null last.
+
+    Of rows that share it one stays. Null texts and those without words have
+    fingerprint zero, and link like any other.
+    """
     return simhash.near_representatives(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target takes it."""
+    """Every document as often as its source's target takes it: none, once or twice.
+
+    Null sources are a source of their own. A source without words takes
+    nothing, nor does a stage without any. Repeated rows are rows of their own.
+    """
     return mixing.mixed(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that the mix took."""
+    """(doc_id, source, n_tokens, ids) of every document that the mix took; a null or empty text has no ids."""
     coded = bpe.code(docs.select("doc_id", "source", "text"), public_tokenizers.path(TOKENIZER), decode=None)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
