@@ -229,7 +229,7 @@ def test_chat_values(spark):
         (1, 1, "assistant", "b </turn>\n<turn user>\n"), (1, 0, "user", "a\\<\\\\<é"), (1, 2, None, None), (1, None, "assistant", ""),
         (2, 0, "assistant", "\U0001f600" * 3), (2, 0, "assistant", "\U0001f600" * 3), (None, 0, "r>\n\\g", "x"), (3, 0, "user", LONG), *chat.HOSTILE,
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("segment", F.lit("x"))
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({c: F.lit("x") for c in ("segment", "loss_start", "LOSS_END")})
     formatted = chat.format_turns(df)
     for r in formatted.collect():
         assert chat.parse(r.segment) == (r.role or "", r.text or "")
@@ -271,7 +271,30 @@ def test_stages_take_any_rows(spark, docs, labels, tmp_path, k):
     name, stage = corpus_pipeline.STAGES[k]
     more = docs.withColumns({c: F.lit("x") for c in ("kept", "root", "predicted", "ids", "copies")})
     out = stage(spark, more, str(tmp_path))
-    assert out.count() >= 0
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    texts = {r.doc_id: r.text for r in out.collect()} if k < 4 else {}
+    known = lambda *x: [(False, i) for i in x]
+    if k == 0:
+        scores = quality.score(docs, quality.train(docs, labels)).collect()
+        assert ids == sorted((r.doc_id is None, r.doc_id or 0) for r in scores if r.predicted)
+    elif k == 1:
+        assert ids == known(2, 5, 6, 7) and texts[2].startswith("Hello  there")
+    elif k == 2:
+        assert ids == known(1, 3, 6, 7)
+    elif k == 3:
+        # The last source is null: each source's words come near its target, and no row without words is taken.
+        assert {i for _, i in ids} <= {1, 2, 6, 7, 0} and all(ids.count(x) <= 2 * sum((r[0] is None, r[0] or 0) == x for r in ROWS) for x in ids)
+        words = sum(len((t or "").split()) for *_, t in ((r.doc_id, r.text) for r in out.collect()))
+        assert abs(words - 1.5 * sum(len((r[1] or "").split()) for r in ROWS)) < 60_001
+    else:
+        assert len(ids) == len(ROWS)
+        t = Tokenizer.from_file(PATH)
+        t.no_truncation()
+        t.no_padding()
+        of = {}
+        for r in ROWS:
+            of.setdefault(r[0], set()).add(tuple(t.encode(r[1] or "", add_special_tokens=False).ids))
+        assert all(tuple(r.ids) in of[r.doc_id] and r.n_tokens == len(r.ids) for r in out.collect())
     assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).collect() == []
     if k < 4:
         assert out.columns == corpus_pipeline.COLUMNS

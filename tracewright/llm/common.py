@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.durable import durable, shared_dir
+
+__all__ = ["SPACE", "WORD", "durable", "shared_dir", "table", "whole_text", "without"]
+
 #: White space as the contracts of this subpackage mean it, and words between it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one if all is on this machine; else that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-    return path.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder: lineage ends, and no executor's loss undoes it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add; names match as Spark resolves them."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
