@@ -76,7 +76,7 @@ def drifting(spark, factor=lambda t: 1.0, samples=("STD1", "STD2", "smp1", "smp2
         on = (t > 15) & (t < 45)
         for i in range(120):
             ca = 40_000.0 if on[i] else 20.0
-            mg = ca * truth[s] * factor(t[i] + offset) if on[i] else 5.0
+            mg = float(ca * truth[s] * factor(t[i] + offset)) if on[i] else 5.0
             rows.append((s, i, float(t[i]), float(t[i] + offset), ca + float(rng.normal(0, 2)), mg + float(rng.normal(0, 1)), bool(on[i]), not bool(on[i]), int(on[i])))
         offset += 60
     df = spark.createDataFrame(rows, "sample string, idx int, time double, u_time double, Ca43 double, Mg24 double, sig boolean, bkg boolean, ns int")

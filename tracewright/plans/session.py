@@ -1,7 +1,8 @@
 """A session over traces: steps in order, each only adding columns, and a log that replays them.
 
-The session holds lazy DataFrames and a small catalog on the driver (channel
-names, subsets, switches, the log). Every step is one of LOGGED; a log is JSON
+The session holds DataFrames and a small catalog on the driver (channel names,
+subsets, switches, the log). A stage, and what a step needs more than once, is
+written to the shared checkpoint folder; the rest is lazy. Every step is one of LOGGED; a log is JSON
 and is replayed by name through that list, never evaluated. What the traces
 were after each stage can still be read: a stage is a DataFrame, not a copy.
 Values that have an uncertainty have its deviation beside them, as <value>_sd.
@@ -16,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.durable import durable
 from tracewright.functions import names
 from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats, washout
 from tracewright.sources import tables
@@ -45,6 +47,7 @@ class Session:
         self.ratios: list[str] = []
         self.fractions: list[str] = []
         self.stages: dict[str, DataFrame] = {"rawdata": traces}
+        self._settled: DataFrame = traces
         self.exponent: float | None = None
         self.classifiers: dict[str, cluster.Classifier] = {}
         self.lines: DataFrame | None = None
@@ -85,8 +88,14 @@ class Session:
         keys = now.select("sample", "idx", *found)
         return self.stages[name].drop(*found).join(keys, ["sample", "idx"])
 
+    def _settle(self) -> DataFrame:
+        """The rows, written if a step has changed them: what joins them to what is told from them doesn't make them twice."""
+        if self.df is not self._settled:
+            self.df = self._settled = durable(self.df)
+        return self.df
+
     def _after(self, stage: str) -> Session:
-        self.stages[stage] = self.df
+        self.stages[stage] = self._settle()
         return self
 
     # -- steps
@@ -94,6 +103,7 @@ class Session:
     @logged
     def find_expcoef(self, *, below: float = 0.0, limit: float | None = None, channel: str = "total_counts", **how) -> float:
         """The exponent of the standards' washouts, which despiking takes where it is given none."""
+        self._settle()
         rows = self.of(self.marker)
         if channel not in rows.columns:
             rows = rows.withColumn(channel, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in self.channels), F.lit(0.0)))
@@ -112,13 +122,13 @@ class Session:
 
     @logged
     def autorange(self, *, channel: str = "total_counts", **how) -> Session:
-        self.df = runs.enumerated(segment.segmented(self.df, channel, **how), "sig", "ns")
+        self.df = runs.enumerated(segment.segmented(self._settle(), channel, **how), "sig", "ns")
         return self
 
     @logged
     def filter_background(self, *, win: int = 3, n_lim: float = 3.0, n_min: int = 20, n_max: int | None = None) -> Session:
         """Takes stretches of background out whose rolling mean leaps over the one before."""
-        rows = runs.number(self.df, "bkg", "bkg_ns")
+        rows = runs.number(self._settle(), "bkg", "bkg_ns")
         means = background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max)
         out = background.rolling_outliers(means, [f"{c}_mean" for c in self.channels], win, n_lim).where("dropped").select("sample", "bkg_ns", F.lit(True).alias("__out"))
         self.df = rows.join(out, ["sample", "bkg_ns"], "left").withColumn("bkg", F.col("bkg") & F.col("__out").isNull()).drop("__out", "bkg_ns")
@@ -137,16 +147,16 @@ class Session:
     @logged
     def subtract_background(self, *, fwhm: float, step: float | None = None, reach: float | None = 8.0, error: str = "se") -> Session:
         """Weighted background of all samples' background rows, on one time line, at a grid and between its times; its error (se, or std) is that of the values then."""
-        rows = self.df.where("bkg").select(F.lit("session").alias("all"), "u_time", *self.channels)
+        rows = self._settle().where("bkg").select(F.lit("session").alias("all"), "u_time", *self.channels)
         at = background.grid(self.df.withColumn("all", F.lit("session")), step or fwhm / 20, by="all")
-        self.background = background.weighted(rows, at, self.channels, fwhm, by="all", reach=reach)
+        self.background = durable(background.weighted(rows, at, self.channels, fwhm, by="all", reach=reach))
         return self._subtract(self.background.select(F.col("grid_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
 
     @logged
     def subtract_background_between(self, *, n_min: int = 20, n_max: int | None = None, error: str = "se") -> Session:
         """Background between the mean times of its stretches: linear there, constant beyond."""
-        rows = runs.number(self.df, "bkg", "bkg_ns")
-        self.background = background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max)
+        rows = runs.number(self._settle(), "bkg", "bkg_ns")
+        self.background = durable(background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max))
         return self._subtract(self.background.select(F.col("u_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
 
     @logged
@@ -183,13 +193,14 @@ class Session:
         they say is interpolated. The line's errors and the ratio's own make
         the deviation. A ratio that no standard has is null; no row is lost.
         """
+        self._settle()
         points = calibrate.points(self._standards(n_min), self.references)
         by = ["ratio"]
         if drift:
             marked = self.df.groupBy("sample").agg(F.min("u_time").alias("u_time")).withColumn("__std", F.contains(F.col("sample").cast("string"), F.lit(self.marker)))
             groups = calibrate.consecutive_groups(marked, "__std", "u_time").select("sample", "grp", F.col("g_time").alias("knot_time"))
             points, by = points.drop("u_time").join(groups, "sample"), ["ratio", "grp", "knot_time"]
-        self.lines = calibrate.calibration(points, by, intercept)
+        self.lines = durable(calibrate.calibration(points, by, intercept))
         part = lambda r, c: F.max(F.when(F.col("ratio") == r, F.col(c)))
         cells = [part(r, c).alias(f"{r}__{c}") for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
         names = [f"{r}__{c}" for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
@@ -258,7 +269,7 @@ class Session:
         """A filter for each cluster, numbered from the lowest: of each sample by itself, or of the population. Rows that filt leaves out are in none."""
         values = [*channels, *(["time"] if include_time else [])]
         kept = self.switches.mask(filt)
-        rows = self.df.select("sample", "idx", *[F.when(kept, F.col(v)).alias(v) for v in values])
+        rows = self._settle().select("sample", "idx", *[F.when(kept, F.col(v)).alias(v) for v in values])
         if level == "population":
             found = cluster.Classifier(values, clusters).fit(rows).predict(rows)
         else:
@@ -269,8 +280,9 @@ class Session:
 
     def _clusters(self, found: DataFrame, name: str) -> list[str]:
         """Filters of the labels from -1 on that occur: as many as the sample with most clusters has."""
+        found = durable(found.select("sample", "idx", "cluster"))
         labels = sorted(r[0] for r in found.where("cluster >= -1").select("cluster").distinct().collect())
-        self.df = self.df.join(found.select("sample", "idx", F.col("cluster").alias("__cluster")), ["sample", "idx"])
+        self.df = self._settle().join(found.select("sample", "idx", F.col("cluster").alias("__cluster")), ["sample", "idx"])
         out = self._add({f"{name}_{k if k >= 0 else 'noise'}": F.coalesce(F.col("__cluster") == k, F.lit(False)) for k in labels})
         self.df = self.df.drop("__cluster")
         return out
@@ -279,19 +291,20 @@ class Session:
     def fit_classifier(self, *, name: str, channels: list[str], clusters: int = 2, method: str = "kmeans", bandwidth: float | None = None, subset: str | None = None, filt: bool | str = True, sort_by: int = 0) -> Session:
         """Clusters of the pooled rows of a subset, to be applied to any sample."""
         kept = self.switches.mask(filt)
+        self._settle()
         rows = self.of(subset).where("ns > 0").select(*[F.when(kept, F.col(c)).alias(c) for c in channels])
         self.classifiers[name] = cluster.Classifier(channels, clusters, sort_by, method=method, bandwidth=bandwidth).fit(rows)
         return self
 
     @logged
     def apply_classifier(self, *, name: str) -> list[str]:
-        return self._clusters(self.classifiers[name].predict(self.df), name)
+        return self._clusters(self.classifiers[name].predict(self._settle()), name)
 
     @logged
     def filter_optimise_signal(self, *, channels: list[str], least: int = 5, mode: str = "kde_first_max", mult: float = 1.0, bias: float = 0.0, weights: list[float] | None = None, maximise: bool = False, filt: bool | str = True) -> list[str]:
         """The best window of each ablation; rows that filt leaves out are as if they weren't there."""
         kept = self.switches.mask(filt)
-        rows = self.df.select("sample", "idx", "ns", *[F.when(kept, F.col(c)).alias(c) for c in channels])
+        rows = self._settle().select("sample", "idx", "ns", *[F.when(kept, F.col(c)).alias(c) for c in channels])
         found = segment.optimised(rows, channels, "ns", least=least, mode=mode, mult=mult, bias=bias, weights=weights, maximise=maximise)
         self.df = self.df.join(found.select("sample", "idx", "optimal"), ["sample", "idx"])
         out = self._add({"optimise_" + "-".join(channels): F.col("optimal")})
