@@ -627,7 +627,7 @@ def map_positions(spark, d):
 
 
 @query(r"""WITH o AS (SELECT c_custkey::VARCHAR AS file, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT 's' || file AS sample, CAST(idx AS INT) AS idx, idx * 0.5 AS time, round(o_totalprice, 2) AS Ca43, CAST(o_orderkey % 1000 AS DOUBLE) AS Mg24, round(o_totalprice + o_orderkey % 1000, 2) AS total_counts FROM o""")
+SELECT 's' || file AS sample, CAST(idx AS INT) AS idx, idx * 0.5::DOUBLE AS time, round(o_totalprice, 2) AS Ca43, CAST(o_orderkey % 1000 AS DOUBLE) AS Mg24, round(o_totalprice + o_orderkey % 1000, 2) AS total_counts FROM o""")
 def instrument_files(spark, d):
     """Each customer's orders written as an instrument would, and read back by a format."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.round("o_totalprice", 2).alias("p"))
