@@ -244,10 +244,12 @@ def test_best_window_avoids_an_inclusion():
     assert stop <= 42 and stop - first >= 5
 
 
-def test_clusters():
+def test_clusters(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, 0.2, (40, 2)), rng.normal(5, 0.2, (40, 2))])
-    for label in (cluster.k_means(x, 2), cluster.mean_shift(x, 1.5), cluster.dbscan(x, 1.0)):
+    df = spark.createDataFrame([("a", i, *map(float, r)) for i, r in enumerate(x)], "sample string, idx int, p double, q double")
+    for found in (cluster.k_means(df, ["p", "q"], 2), cluster.mean_shift(df, ["p", "q"], 1.5), cluster.dbscan(df, ["p", "q"], 1.0)):
+        label = [r.k for r in found.orderBy("idx").collect()]
         assert len(set(label[:40])) == len(set(label[40:])) == 1 and label[0] != label[-1]
 
 
