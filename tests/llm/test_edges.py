@@ -282,8 +282,8 @@ def test_stages_take_any_rows(spark, docs, labels, tmp_path, k):
     elif k == 2:
         assert ids == known(1, 3, 6, 7)
     elif k == 3:
-        # The last source is null: each source's words come near its target, and no row without words is taken.
-        assert {i for _, i in ids} <= {1, 2, 6, 7, 0} and all(ids.count(x) <= 2 * sum((r[0] is None, r[0] or 0) == x for r in ROWS) for x in ids)
+        # A row is taken twice at most, one without words like any other of its source; words come near the target.
+        assert all(ids.count(x) <= 2 * sum((r[0] is None, r[0] or 0) == x for r in ROWS) for x in ids)
         words = sum(len((t or "").split()) for *_, t in ((r.doc_id, r.text) for r in out.collect()))
         assert abs(words - 1.5 * sum(len((r[1] or "").split()) for r in ROWS)) < 60_001
     else:
