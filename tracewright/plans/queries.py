@@ -569,7 +569,16 @@ def meanshift_by_sample(spark, d):
     return cluster.clustered_by_sample(events(spark, d), ["value"], "meanshift").select("sample", "idx", "cluster")
 
 
-@query()
+#: All pairs of a sample; clusters are stretches of core values without a gap over 2, and a border row goes to the one whose first core row comes first.
+@query(f"""WITH {E_SQL}, v AS (SELECT sample, idx, value FROM e WHERE value IS NOT NULL AND NOT isnan(value)), k AS (SELECT sample FROM v GROUP BY sample HAVING count(*) > 10), r AS (SELECT v.* FROM v JOIN k USING (sample)),
+p AS (SELECT a.sample, a.idx, b.idx AS j FROM r a JOIN r b ON a.sample = b.sample AND (a.value - b.value) * (a.value - b.value) <= 4.0::DOUBLE),
+c AS (SELECT sample, idx FROM p GROUP BY sample, idx HAVING count(*) >= 5),
+o AS (SELECT *, lag(value) OVER (PARTITION BY sample ORDER BY value, idx) AS before FROM r JOIN c USING (sample, idx)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR (value - before) * (value - before) > 4.0::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY value, idx) AS isl FROM o),
+f AS (SELECT *, min(idx) OVER (PARTITION BY sample, isl) AS first FROM i),
+t AS (SELECT p.sample, p.idx, arg_min(f.isl, f.first) AS isl FROM p JOIN f ON f.sample = p.sample AND f.idx = p.j ANTI JOIN c ON c.sample = p.sample AND c.idx = p.idx GROUP BY p.sample, p.idx),
+l AS (SELECT sample, idx, isl FROM f UNION ALL SELECT sample, idx, isl FROM t)
+SELECT e.sample, e.idx, CAST(CASE WHEN r.idx IS NULL THEN -2 WHEN l.isl IS NULL THEN -1 ELSE l.isl - 1 END AS INT) AS cluster FROM e LEFT JOIN r ON r.sample = e.sample AND r.idx = e.idx LEFT JOIN l ON l.sample = e.sample AND l.idx = e.idx""")
 def dbscan_by_sample(spark, d):
     return cluster.clustered_by_sample(events(spark, d), ["value"], "dbscan", eps=2.0, normalise=False).select("sample", "idx", "cluster")
 
