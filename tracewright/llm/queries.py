@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import ann, bpe, chat, exact_dedup, license_scan, mixing, pii, quality, simhash, warc
+from tracewright.llm import ann, bpe, centroids, chat, exact_dedup, importance, license_scan, mixing, pii, quality, simhash, warc
 from tracewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(docs)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_importance": op11_importance,
+    "op12_centroids": op12_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +95,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op6_chat": chat.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }
