@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import ann, bpe, centroids, chat, exact_dedup, importance, license_scan, mixing, pii, quality, simhash, warc
+from tracewright.llm import ann, bpe, centroids, chat, exact_dedup, importance, license_scan, lm, mixing, pii, quality, simhash, warc
 from tracewright.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_importance": op11_importance,
     "op12_centroids": op12_centroids,
+    "op13_lm": op13_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
