@@ -183,27 +183,6 @@ def test_principal_components_are_eigenvectors(spark):
         assert np.allclose(got, (x - x.mean(axis=0)) @ v, atol=1e-6)
 
 
-def brute_window(x, least):
-    """Best window by its plain statistics, one channel, thresholds by the median."""
-    cells = []
-    for w in range(least, len(x)):
-        means = [np.mean(x[i : i + w]) for i in range(len(x) - w + 1)]
-        iqr = np.subtract(*np.percentile(means, [75, 25])) or 1
-        cells += [(w, i, (m - np.median(means)) / iqr, np.std(x[i : i + w], ddof=1) / abs(m)) for i, m in enumerate(means)]
-    t_mean, t_sd = np.median([c[2] for c in cells]), np.median([c[3] for c in cells])
-    ok = [(w, -i) for w, i, m, r in cells if m < t_mean and r < t_sd]
-    return max(ok, default=None)
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_best_window_is_brute_force(spark, seed):
-    x = np.random.default_rng(seed).normal(100, 5, 24) + np.r_[np.zeros(12), np.linspace(0, 30, 12)]
-    df = spark.createDataFrame([("a", i, 1, float(v)) for i, v in enumerate(x)], "sample string, idx int, ns int, v double")
-    got = [r.idx for r in segment.optimised(df, ["v"], least=5, mode="median").where("optimal").orderBy("idx").collect()]
-    want = brute_window(x, 5)
-    assert got == (list(range(-want[1], -want[1] + want[0])) if want else [])
-
-
 def brute_cut(x):
     """The cut between two clusters with the least squares, of all cuts of the sorted values."""
     s = np.sort(x)

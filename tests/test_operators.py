@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import chem, names
 from tracewright.functions.student import p_of_t
-from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats
+from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats
 
 
 def trace(spark, values, sample="a", **more):
@@ -240,7 +240,7 @@ def test_segments_of_planted_signals(spark):
 def test_best_window_avoids_an_inclusion():
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.normal(10, 0.2, 40), rng.normal(40, 8, 15)])
-    first, stop = segment.best_window(v[:, None], least=5)
+    first, stop = optimise.best_window(v[:, None], least=5)
     assert stop <= 42 and stop - first >= 5
 
 

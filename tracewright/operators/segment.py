@@ -1,13 +1,11 @@
-"""Signal and background of a trace, and the best window within a signal.
+"""Signal and background of a trace.
 
-Both look at one bounded trace (a sample, an ablation) at a time and iterate,
-so each is a grouped pandas function; Spark deals the traces out.
+One bounded trace is looked at at a time, with iterations, so this is a grouped
+pandas function; Spark deals the traces out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -156,77 +154,3 @@ def components(df: DataFrame, value: str, time: str = "time", **how) -> DataFram
     key, idx = (df.schema[c].dataType.simpleString() for c in ("sample", "idx"))
     narrow = df.selectExpr("sample", "idx", f"`{time}` AS t", f"`{value}` AS v")
     return narrow.groupBy("sample").applyInPandas(run, f"sample {key}, idx {idx}, smooth double, gradient double, upper boolean, sig boolean, bkg boolean, trn boolean")
-
-
-def density(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Gaussian kernel density with Scott's bandwidth."""
-    width = x.std(ddof=1) * len(x) ** -0.2
-    if not width > 0:
-        return np.zeros(len(at))
-    return np.exp(-0.5 * ((at[:, None] - x) / width) ** 2).sum(axis=1)
-
-
-def level(x: np.ndarray, mode: str | Callable) -> float:
-    """A typical value: kde_first_max, kde_max, median, bayes_mvs or mean, or what a function says. A mode that finds none falls back on the next."""
-    if callable(mode):
-        return float(mode(x))
-    modes = ["kde_first_max", "kde_max", "median", "bayes_mvs", "mean"]
-    if mode not in modes:
-        raise ValueError(f"mode is one of {modes} or a function, not {mode!r}")
-    if mode.startswith("kde") and len(x) > 2:
-        at = np.linspace(*np.percentile(x, [1, 99]), 100)
-        y = density(x, at)
-        tops = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] > y[2:]) & (y[1:-1] > 0.25 * y.max())) + 1
-        if mode == "kde_first_max" and len(tops):
-            return float(at[tops[0]])
-        if y.max() > 0:
-            return float(at[y.argmax()])
-    return float(np.median(x) if mode in ("kde_first_max", "kde_max", "median") else np.mean(x))
-
-
-def best_window(values: np.ndarray, least: int = 5, mode: str | Callable = "kde_first_max", mult: float | tuple[float, float] = 1.0, bias: float = 0.0, weights: np.ndarray | None = None, maximise: bool = False) -> tuple[int, int] | None:
-    """First and one past the last row of the longest window, of these the leftmost, whose mean and relative deviation are under the typical ones of all windows. values has a column for each channel."""
-    v = np.asarray(values, float)
-    n = len(v)
-    if n <= least:
-        return None
-    s = np.concatenate([np.zeros((1, v.shape[1])), np.nancumsum(v, axis=0)])
-    q = np.concatenate([np.zeros((1, v.shape[1])), np.nancumsum(v * v, axis=0)])
-    cells: list[np.ndarray] = []
-    weights = np.ones(v.shape[1]) if weights is None else np.asarray(weights, float)
-    with np.errstate(all="ignore"):
-        for w in range(least, n):
-            mean = (s[w:] - s[:-w]) / w
-            sd = np.sqrt(np.maximum((q[w:] - q[:-w]) / w - mean**2, 0) * w / (w - 1))
-            rsd = sd / np.abs(mean)
-            iqr = np.subtract(*np.percentile(mean, [75, 25], axis=0))
-            scaled = (mean - np.median(mean, axis=0)) / np.where(iqr > 0, iqr, 1)
-            if bias > 0:
-                scaled = scaled + np.linspace(0, bias, len(scaled))[:, None]
-            m, r = (scaled * weights).mean(axis=1), (rsd * weights).mean(axis=1)
-            cells.append(np.stack([np.full(len(m), w), np.arange(len(m)), m, r], axis=1))
-    grid = np.concatenate(cells)
-    grid = grid[np.isfinite(grid).all(axis=1)]
-    if not len(grid):
-        return None
-    a, b = mult if isinstance(mult, tuple) else (mult, mult)
-    t_mean, t_sd = level(grid[:, 2], mode) * a, level(grid[:, 3], mode) * b
-    ok = grid[(grid[:, 3] < t_sd) & ((grid[:, 2] > t_mean) if maximise else (grid[:, 2] < t_mean))]
-    if not len(ok):
-        return None
-    w, first = max(zip(ok[:, 0].tolist(), (-ok[:, 1]).tolist(), strict=True))
-    return int(-first), int(-first + w)
-
-
-def optimised(df: DataFrame, values: list[str], ablation: str = "ns", **how) -> DataFrame:
-    """df with optimal: whether a row lies in its ablation's best window. Each ablation is one group."""
-    key, idx = (df.schema[c].dataType.simpleString() for c in ("sample", "idx"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        got = best_window(pdf[values].to_numpy(float), **how) if pdf[ablation].iloc[0] > 0 else None
-        at = np.arange(len(pdf))
-        return pd.DataFrame({"sample": pdf["sample"], "idx": pdf["idx"], "optimal": (at >= got[0]) & (at < got[1]) if got else np.zeros(len(pdf), bool)})
-
-    found = df.select("sample", "idx", ablation, *values).groupBy("sample", ablation).applyInPandas(run, f"sample {key}, idx {idx}, optimal boolean")
-    return df.join(found, ["sample", "idx"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import chem, names
-from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats
+from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats
 from tracewright.plans.bind import CHANNELS, E_SQL, L_SQL, events, lines, r6, table
 from tracewright.plans.session import Session
 from tracewright.sources import dataformat, split
@@ -597,7 +597,7 @@ def autorange(spark, d):
 @query()
 def optimise_signal(spark, d):
     e = runs.number(masked(spark, d), "m", "ns")
-    return segment.optimised(e, ["value"], least=3).select("sample", "idx", "optimal")
+    return optimise.optimised(e, ["value"], least=3).select("sample", "idx", "optimal")
 
 
 # --- text sources ------------------------------------------------------------

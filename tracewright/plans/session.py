@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracewright.durable import durable
 from tracewright.functions import names
-from tracewright.operators import background, calibrate, cluster, despike, frames, masks, ratio, runs, segment, stats, washout
+from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats, washout
 from tracewright.sources import tables
 
 LOGGED: dict[str, object] = {}
@@ -53,6 +53,7 @@ class Session:
         self.lines: DataFrame | None = None
         self.background: DataFrame | None = None
         self.stats: DataFrame | None = None
+        self.optimisation: DataFrame | None = None
         self.log: list[dict] = []
 
     # -- samples
@@ -301,14 +302,16 @@ class Session:
         return self._clusters(self.classifiers[name].predict(self._settle()), name)
 
     @logged
-    def filter_optimise_signal(self, *, channels: list[str], least: int = 5, mode: str = "kde_first_max", mult: float = 1.0, bias: float = 0.0, weights: list[float] | None = None, maximise: bool = False, filt: bool | str = True) -> list[str]:
-        """The best window of each ablation; rows that filt leaves out are as if they weren't there."""
+    def filter_optimise_signal(self, *, channels: list[str], least: int = 5, mode: str | list[float] = "kde_first_max", mult: float | list[float] = 1.0, bias: float = 0.0, weights: list[float] | None = None, maximise: bool = False, scaler: str = "median", filt: bool | str = True) -> list[str]:
+        """The best window of each ablation; rows that filt leaves out are as if they weren't there. What was found for each is self.optimisation."""
         kept = self.switches.mask(filt)
         rows = self._settle().select("sample", "idx", "ns", *[F.when(kept, F.col(c)).alias(c) for c in channels])
-        found = segment.optimised(rows, channels, "ns", least=least, mode=mode, mult=mult, bias=bias, weights=weights, maximise=maximise)
-        self.df = self.df.join(found.select("sample", "idx", "optimal"), ["sample", "idx"])
-        out = self._add({"optimise_" + "-".join(channels): F.col("optimal")})
-        self.df = self.df.drop("optimal")
+        self.optimisation = durable(optimise.optimisation(rows, channels, "ns", least=least, mode=mode, mult=mult, bias=bias, weights=weights, maximise=maximise, scaler=scaler))
+        found = self.optimisation.select("sample", "ns", F.col("first").alias("__first"), F.col("last").alias("__last"))
+        took = kept & F.forall(F.array(*channels), lambda x: x.isNotNull() & ~F.isnan(x))
+        self.df = self.df.join(found, ["sample", "ns"], "left")
+        out = self._add({"optimise_" + "-".join(channels): F.coalesce(F.col("idx").between(F.col("__first"), F.col("__last")) & took, F.lit(False))})
+        self.df = self.df.drop("__first", "__last")
         return out
 
     @logged
