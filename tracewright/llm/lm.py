@@ -2,9 +2,9 @@
 
 Tokens are words and one end for each text. How often every n-gram occurs in
 the training texts is counted over all of them, quantised to its number of
-binary digits, and kept as that many entries of a Bloom filter: (n-gram, 1),
-(n-gram, 2) and so on. A reader asks for (n-gram, 1), (n-gram, 2) ... until one
-is missing: the last that was there is the count's length. A count is never
+digits to the base 4, and kept as that many entries of a Bloom filter:
+(n-gram, 1), (n-gram, 2) and so on. A reader asks for (n-gram, 1), (n-gram, 2)
+... until one is missing: the last that was there is the count's length. A count is never
 read as less than it is, and rarely as more; nor does an n-gram count more than
 its parts, which takes most of the filter's false entries away. Probabilities
 are smoothed from the shortest n-grams on: each length adds its counts to WEIGHT
@@ -38,11 +38,11 @@ from tracewright.llm.common import WORDS_BY_SPACE, durable, words
 #: Bytes of a filter that is broadcast at most, tokens of the vocabulary that are, and bytes of a token as it is kept: a longer one is kept as its digest.
 HELD, HEAD, LONG = 256 << 20, 100_000, 64
 #: Training tokens of a shard, about, and shards at least; bits and probes of an entry.
-SHARE, SHARDS, BITS, PROBES = 1 << 21, 64, 10, 7
+SHARE, SHARDS, BITS, PROBES = 1 << 21, 64, 8, 6
 #: Expected counts that a length gets from the one before; what is added to a token's count.
 WEIGHT, ADDED = 4.0, 0.1
 #: n-grams that a task gathers before it hands their counts on, tokens that are scored at once, hashes of tokens that it remembers, and tokens of a block.
-GATHER, AT_ONCE, KNOWN, BLOCK = 1 << 21, 1 << 18, 1 << 19, 1 << 20
+GATHER, AT_ONCE, KNOWN, BLOCK = 1 << 22, 1 << 18, 1 << 19, 1 << 20
 END = b""
 ROW = "key long, n_tokens long, head_known long, head_base double, score double, rest array<struct<token: binary, n: int>>"
 
@@ -95,20 +95,21 @@ def pieces(text: str | None) -> Iterator[list[bytes]]:
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """By the first half of the bits; the second tells n-grams of a shard apart."""
     return ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 def places(h: np.ndarray, level: int, size: np.ndarray | int, probes: int) -> Iterator[np.ndarray]:
     """The bits of (n-gram, level) in a shard of so many."""
-    x = mix(h + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    x = mix((h & np.uint64(0xFFFFFFFF)) + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     step = (x >> np.uint64(32)) | np.uint64(1)
     for i in range(probes):
         yield (x + np.uint64(i) * step) % np.asarray(size, np.uint64)
 
 
 def levels_of(n: np.ndarray) -> np.ndarray:
-    """The number of binary digits of counts."""
-    return np.frexp(n.astype(np.float64))[1]
+    """The number of digits of counts to the base 4."""
+    return (np.frexp(n.astype(np.float64))[1] + 1) // 2
 
 
 def shard_bits(h: np.ndarray, n: np.ndarray, bits: int = BITS, probes: int = PROBES) -> np.ndarray:
@@ -151,8 +152,8 @@ class Filter:
         return out
 
 
-#: What a count of so many binary digits is taken for: the mean of those that have them.
-VALUES = np.concatenate([[0.0], 1.5 * 2.0 ** np.arange(64) - 0.5])
+#: What a count of so many digits is taken for.
+VALUES = np.concatenate([[0.0], 1.5 * 4.0 ** np.arange(64)])
 
 
 class Scorer:
@@ -243,11 +244,13 @@ def filtered(texts: DataFrame, order: int, shards: int, bits: int, probes: int)
     """(shard, bits): the filter of all n-grams of texts (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            for at in range(0, len(h), 1 << 16):
-                some = h[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(some, shards).astype(np.int32)), pa.array(some.view(np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int64))], ["shard", "h", "n"])
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            """A row for each shard: its n-grams' second halves, and their counts, 4 bytes each."""
+            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            own, starts = np.unique(shard_of(h, shards), return_index=True)  # in order, as h is
+            halves, n = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), n.astype("<u4")
+            cut = lambda x: pa.array([p.tobytes() for p in np.split(x, starts[1:])] if len(own) else [], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), cut(halves), cut(n)], ["shard", "h", "n"])
 
         hashes, found, held = Hashes(), [], 0
         for b in batches:
@@ -260,17 +263,18 @@ def filtered(texts: DataFrame, order: int, shards: int, bits: int, probes: int)
                         held += len(found[-1])
                     context = full[max(0, len(full) - max(1, order - 1)) :]
                     if held >= GATHER:
-                        yield from out(found)
+                        yield out(found)
                         found, held = [], 0
-        yield from out(found)
+        yield out(found)
 
     def build(group: pa.Table) -> pa.Table:
-        own = shard_bits(group.column("h").to_numpy().view(np.uint64), group.column("n").to_numpy(), bits, probes)
+        h, n = (np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column(c)]) for c in ("h", "n"))
+        h, back = np.unique(h, return_inverse=True)
+        own = shard_bits(h.astype(np.uint64), np.bincount(back, n), bits, probes)
         return pa.table({"shard": group.column("shard")[:1], "bits": pa.array([own.tobytes()], pa.binary())})
 
-    # Tasks have counted by themselves: rows go to their shard's task, and are summed and built into bits there.
-    dealt = texts.mapInArrow(count, "shard int, h long, n long").repartition("shard")
-    return dealt.groupBy("shard", "h").agg(F.sum("n").alias("n")).groupBy("shard").applyInArrow(build, "shard int, bits binary")
+    # Tasks have counted by themselves: what is a shard's goes to one task, which adds it up and builds the bits.
+    return texts.mapInArrow(count, "shard int, h binary, n binary").groupBy("shard").applyInArrow(build, "shard int, bits binary")
 
 
 def by_blocks(rows: DataFrame, filters: DataFrame, shards: int, probes: int, blocks: int, order: int, scorer: Callable[[Callable], Scorer]) -> DataFrame:
