@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import WORDS_BY_SPACE, durable, words
+from tracewright.llm.importance import first_rows
 
 #: Bytes of a filter that is broadcast at most, tokens of the vocabulary that are, and bytes of a token as it is kept: a longer one is kept as its digest.
 HELD, HEAD, LONG = 256 << 20, 100_000, 64
@@ -240,6 +241,14 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def head_of(known: DataFrame) -> list:
+    """The HEAD most frequent short tokens, found as importance.first_rows finds rows: no task sends its own HEAD."""
+    short = known.where(F.octet_length("token") <= LONG).withColumn("row", F.monotonically_increasing_id())
+    if short.count() > HEAD:
+        short = short.where(first_rows(short, HEAD, [-F.col("n"), F.xxhash64("token"), F.col("row")]))
+    return short.select("token", "n").collect()
+
+
 def filtered(texts: DataFrame, order: int, shards: int, bits: int, probes: int) -> DataFrame:
     """(shard, bits): the filter of all n-grams of texts (text)."""
 
@@ -328,7 +337,7 @@ def score(docs: DataFrame, *, order: int = 2, bits: int = BITS, probes: int = PR
     learned = rows.where(~held_out(F.col("key"))).select("text")
     known = durable(vocabulary(learned))
     total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    most = known.where(F.octet_length("token") <= LONG).orderBy(F.desc("n"), "token").limit(HEAD).collect()  # HEAD short tokens
+    most = head_of(known)
     head, counts = {bytes(r["token"]): i for i, r in enumerate(most)}, np.array([r["n"] for r in most], np.float64)
     shards = max(SHARDS, -(-total * order // SHARE))
     filters = durable(filtered(learned, order, shards, bits, probes))

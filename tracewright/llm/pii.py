@@ -9,6 +9,11 @@ key's holder can go back (`restore`). Separators stay, check digits are made
 anew. In an email address letters and digits of the local part are permuted
 among strings of the same shape. All is built-in expressions.
 
+An address's format is the places and widths of its octets with leading zeros,
+and the widths of the others; all addresses without such zeros are one format.
+Domains of email addresses stay, as do letters beyond ASCII before the @ and
+what is left of them; phone numbers are told by their form alone.
+
 A date's format is how it is written: year first, or the widths of its first
 two fields and which of them is the day. Each such set of strings is numbered
 and permuted by itself, so that no string lands where one of another set may.
@@ -160,13 +165,36 @@ def phone(m: Column, key: Key) -> Column:
 
 
 def ip(m: Column, key: Key) -> Column:
+    """Plain addresses among plain ones; where an octet has leading zeros, among those with octets as wide, led by zeros in the same places."""
     byte = lambda v, d: (F.floor(v / d) % 256).cast("string")
 
-    def of(o: Column) -> Column:
+    def plain(o: Column) -> Column:
         dotted = lambda x: F.concat_ws(".", byte(x["a"], 256), byte(x["a"], 1), byte(x["b"], 256), byte(x["b"], 1))
-        return F.when(F.forall(o, lambda v: v <= 255), permuted(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", dotted))
-
-    return let(F.split(m, r"\.").cast("array<int>"), of)
+        return permuted(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", dotted)
+
+    def padded(o: Column) -> Column:
+        """o has an octet's text, width, and the first and the number of the values that are written so."""
+        value = lambda i: o[i]["text"].cast("int") - o[i]["first"]
+        written = lambda i, v: F.lpad((v + o[i]["first"]).cast("long").cast("string"), o[i]["width"], F.lit("0"))
+        high = lambda i, v: written(i, F.floor(v / o[i + 1]["n"]))
+        low = lambda i, v: written(i, v % o[i]["n"])
+        dotted = lambda x: F.concat_ws(".", high(0, x["a"]), low(1, x["a"]), high(2, x["b"]), low(3, x["b"]))
+        pair = lambda i: (value(i) * o[i + 1]["n"] + value(i + 1), o[i]["n"] * o[i + 1]["n"])
+        (a, size_a), (b, size_b) = pair(0), pair(2)
+        return permuted(a, b, size_a, size_b, key, "padded ip", dotted)
+
+    def written_so(text: Column) -> Column:
+        width, led = F.length(text), F.startswith(text, F.lit("0")) & (F.length(text) > 1)
+        first = F.when(led | (width == 1), 0).when(width == 2, 10).otherwise(100)
+        n = F.when(led & (width == 3), 100).when(led | (width == 1), 10).when(width == 2, 90).otherwise(156)
+        return F.struct(text.alias("text"), width.alias("width"), first.alias("first"), n.alias("n"))
+
+    def of(parts: Column) -> Column:
+        own = let(parts.cast("array<int>"), plain)
+        led = let(F.transform(parts, written_so), padded)
+        return F.when(F.forall(parts, lambda t: t.cast("int") <= 255), F.when(F.exists(parts, lambda t: t.rlike("^0[0-9]")), led).otherwise(own))
+
+    return let(F.split(m, r"\."), of)
 
 
 def ssn(m: Column, key: Key) -> Column:
