@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.durable import durable, release
 from tracewright.llm import bpe, exact_dedup, mixing, quality, simhash
 from tracewright.llm.common import table
 from tracewright.llm.queries import TOKENIZER
@@ -75,8 +76,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Stages that read what they are given more than once, by their place in STAGES: it is written before.
+READ_AGAIN = (1, 2, 3)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """All stages in turn. What a stage reads again is written once, and goes when the next has been."""
+    docs, written = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 in READ_AGAIN:
+            docs = durable(docs)
+            release(written)
+            written = docs
     return docs
