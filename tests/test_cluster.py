@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import cluster, segment
+from tracewright.operators import cluster, masks, segment
+from tracewright.plans.session import Session, reproduced
 
 NAMES = ["x", "y", "z"]
 
@@ -213,3 +214,91 @@ def test_autorange_cuts_and_components(spark):
 def test_combinations():
     assert len(cluster._around(1, 1)) == 3 and len(cluster._around(2, 1)) == 9
     assert {o for o in cluster._around(2, 2)} == set(itertools.product(range(-2, 3), repeat=2))
+
+
+def shifts(x, bandwidth):
+    """Mean shift from every row, dense; the number of centres more than a bandwidth apart."""
+    c = x.copy()
+    for _ in range(200):
+        new = np.stack([x[((x - p) ** 2).sum(axis=1) <= bandwidth**2].mean(axis=0) for p in c])
+        if np.abs(new - c).max() < 1e-9:
+            break
+        c = new
+    kept = []
+    for p in c:
+        if all(((p - q) ** 2).sum() > bandwidth**2 for q in kept):
+            kept.append(p)
+    return sorted(kept, key=lambda p: p[0])
+
+
+def plateaus(spark, n=120):
+    """One channel on four levels, over two samples, with rows that are null, NaN or filtered out."""
+    rng = np.random.default_rng(8)
+    v = np.repeat([10.0, 50.0, 200.0, 400.0], n // 4) + rng.normal(0, 1, n)
+    rows = [("ab"[i % 2], i // 2, float(i), float(i), None if i == 3 else float("nan") if i in (8, 65) else float(x), 1) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "sample string, idx int, time double, u_time double, Ca43 double, ns int"), v
+
+
+@pytest.mark.parametrize("level", ["sample", "population"])
+@pytest.mark.parametrize(("method", "how", "labels"), [("kmeans", {"clusters": 4}, 4), ("kmeans", {"clusters": 2}, 2), ("meanshift", {"bandwidth": 0.2}, 4), ("meanshift", {"bandwidth": 30.0, "normalise": False}, 4), ("meanshift", {"bandwidth": 60.0, "normalise": False}, 3)])
+def test_clusters_by_the_asked_method_at_both_levels(spark, level, method, how, labels):
+    df, v = plateaus(spark)
+    s = Session(df, ["Ca43"])
+    names = s.filter_clustering(channels=["Ca43"], method=method, level=level, **how)
+    assert [n.split(":")[1] for n in names] == [f"Ca43_{method}_{k}" for k in range(labels)]
+    got = {(r["sample"], r.idx): [k for k, n in enumerate(names) if r[masks.column_of(n)]] for r in s.df.collect()}
+    if method == "meanshift":
+        x = np.delete(v, [3, 8, 65])[:, None]
+        scale = 1.0 if not how.get("normalise", True) else x.std()
+        assert len(shifts(x / scale, how["bandwidth"])) == labels
+    for i, x in enumerate(v):
+        mine = got["ab"[i % 2], i // 2]
+        if i in (3, 8, 65):
+            assert mine == []
+        elif labels == 4:
+            assert mine == [[10, 50, 200, 400].index(min([10, 50, 200, 400], key=lambda p: abs(p - x)))]
+        else:
+            assert len(mine) == 1
+
+
+def test_population_says_what_it_cannot(spark):
+    df, _ = plateaus(spark)
+    s = Session(df, ["Ca43"])
+    with pytest.raises(ValueError):
+        s.filter_clustering(channels=["Ca43"], method="dbscan", level="population")
+    with pytest.raises(TypeError):
+        s.filter_clustering(channels=["Ca43"], method="kmeans", level="population", eps=3.0)
+    with pytest.raises(ValueError):
+        s.filter_clustering(channels=["Ca43"], level="all")
+    assert s.filter_clustering(channels=["Ca43"], method="kmeans", level="population", min_data=1000) == []
+    assert s.log == [{"step": "filter_clustering", "args": {"channels": ["Ca43"], "method": "kmeans", "level": "population", "min_data": 1000}}]
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_bandwidth_of_all_rows(spark, n):
+    """Within a cell's width of the dense estimate; exact where rows ask one by one."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(0, 1, (n // 2, 2)), rng.normal(6, 2, (n - n // 2, 2))])
+    df, values = frame(spark, {"a": x})
+    got = cluster.bandwidths(df, values).first().bw
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    want = np.sort(d, axis=1)[:, int(np.ceil(0.3 * n)) - 1].mean()
+    assert got == pytest.approx(want, rel=1e-9 if n <= cluster.CELLS else 0.03)
+    assert cluster.bandwidths(df, values, 50).first().bw == pytest.approx(want, rel=0.15)
+
+
+def test_autorange_makes_the_total_itself(spark, tmp_path):
+    t = np.arange(120.0)
+    shape = 1 / (1 + np.exp(-(t - 30) / 0.8)) - 1 / (1 + np.exp(-(t - 90) / 0.8))
+    rng = np.random.default_rng(2)
+    rows = [("a", i, float(t[i]), float(t[i]), *(float(x) for x in rng.poisson([40 + 15_000 * shape[i], 10 + 5000 * shape[i]]))) for i in range(120)]
+    df = spark.createDataFrame(rows, "sample string, idx int, time double, u_time double, Ca43 double, Mg24 double")
+    s = Session(df, ["Ca43", "Mg24"])
+    s.autorange()
+    s.filter_threshold(channel="Ca43", limit=1000.0)
+    want = [(r.sig, r.bkg, r.ns) for r in s.df.orderBy("idx").collect()]
+    plain = segment.segmented(df.withColumn("total_counts", F.col("Ca43") + F.col("Mg24")), "total_counts").orderBy("idx").collect()
+    assert [w[:2] for w in want] == [(r.sig, r.bkg) for r in plain] and any(w[0] for w in want)
+    s.minimal_export(str(tmp_path), channels=["Ca43"])
+    again = reproduced(spark, str(tmp_path))
+    assert again.channels == ["Ca43"] and [(r.sig, r.bkg, r.ns) for r in again.df.orderBy("idx").collect()] == want

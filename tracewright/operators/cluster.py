@@ -21,12 +21,14 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.durable import durable
+from tracewright.durable import durable, release
 
 #: Rounds of k-means and mean shift at most; a centre rests when it moves by less than this share of the bandwidth.
 ROUNDS, REST = 100, 1e-3
-#: Rows of a sample from which the bandwidth is estimated, each by its distance to all of the sample's: NEAREST is the share of these that lies within it.
-ASKED, NEAREST = 256, 0.3
+#: The bandwidth is estimated from the distances of rows to all of their sample's: NEAREST is the share of these that lies within it.
+NEAREST = 0.3
+#: Rows of a sample that ask one by one; about so many cells of more rows do.
+CELLS = 1024
 #: A cell's side in parts, of which DBSCAN keeps bounding boxes.
 PARTS = 4
 
@@ -44,12 +46,19 @@ def _distance2(a: list[Column], b: list[Column]) -> Column:
 
 
 class Classifier:
-    """K-means or mean shift fitted on pooled rows and applied to any."""
+    """K-means or mean shift fitted on pooled rows and applied to any.
 
-    def __init__(self, values: list[str], k: int = 2, sort_by: int = 0, seed: int = 7, method: str = "kmeans", bandwidth: float | None = None):
+    Rows with a null or NaN are not fitted, and get -2. With normalise, or with
+    more than one value, values are in units of their deviations; bandwidth is
+    in those units then. Fewer than min_data rows give no cluster: all rows
+    get -2.
+    """
+
+    def __init__(self, values: list[str], k: int = 2, sort_by: int = 0, seed: int = 7, method: str = "kmeans", bandwidth: float | None = None, normalise: bool = True, min_data: int = 1, asked: int | None = None):
         if method not in ("kmeans", "meanshift"):
-            raise ValueError(f"method is kmeans or meanshift, not {method!r}")
+            raise ValueError(f"pooled rows are clustered by kmeans or meanshift, not {method!r}")
         self.values, self.k, self.sort_by, self.seed, self.method, self.bandwidth = values, k, sort_by, seed, method, bandwidth
+        self.normalise, self.min_data, self.asked = normalise or len(values) > 1, min_data, asked
         self.model: PipelineModel | None = None
         self.order: list[int] = []
         #: Mean and deviation of each value, and the centres in these units.
@@ -57,20 +66,23 @@ class Classifier:
         self.centres: list[list[float]] = []
 
     def fit(self, df: DataFrame) -> Classifier:
+        rows = _ready(df, self.values)
+        self.model, self.centres, self.order = None, [], []
+        if rows.limit(self.min_data).count() < self.min_data:
+            return self
         if self.method == "meanshift":
-            return self._fit_shift(df)
-        steps = [VectorAssembler(inputCols=self.values, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True), KMeans(k=self.k, featuresCol="__z", predictionCol="__cluster", seed=self.seed)]
-        self.model = Pipeline(stages=steps).fit(_ready(df, self.values).select(*self.values))
+            return self._fit_shift(rows)
+        steps = [VectorAssembler(inputCols=self.values, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__z", withMean=self.normalise, withStd=self.normalise), KMeans(k=self.k, featuresCol="__z", predictionCol="__cluster", seed=self.seed)]
+        self.model = Pipeline(stages=steps).fit(rows.select(*self.values))
         centres = [c[self.sort_by] for c in self.model.stages[-1].clusterCenters()]
         self.order = sorted(range(len(centres)), key=centres.__getitem__)
         return self
 
-    def _fit_shift(self, df: DataFrame) -> Classifier:
-        rows = _ready(df, self.values)
+    def _fit_shift(self, rows: DataFrame) -> Classifier:
         found = rows.agg(*[f(v) for v in self.values for f in (F.avg, F.stddev_pop)]).first()
-        self.units = [(found[2 * i] or 0.0, found[2 * i + 1] or 1.0) for i in range(len(self.values))]
+        self.units = [(found[2 * i] or 0.0, found[2 * i + 1] or 1.0) if self.normalise else (0.0, 1.0) for i in range(len(self.values))]
         z = rows.select(F.lit(0).alias("sample"), F.monotonically_increasing_id().alias("idx"), *[((F.col(v) - m) / s).alias(v) for v, (m, s) in zip(self.values, self.units, strict=True)])
-        centres = mean_shift_centres(durable(z), self.values, self.bandwidth)
+        centres = mean_shift_centres(durable(z), self.values, self.bandwidth, self.asked)
         # A row for each cluster.
         self.centres = sorted(([r[v] for v in self.values] for r in centres.collect()), key=lambda c: c[self.sort_by])
         return self
@@ -80,8 +92,10 @@ class Classifier:
             z = [(F.col(v) - m) / s for v, (m, s) in zip(self.values, self.units, strict=True)]
             nearest = F.array_min(F.array(*[F.struct(_distance2(z, [F.lit(x) for x in c]).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]))["i"] if self.centres else F.lit(-2)
             return df.withColumn(name, F.when(_whole(self.values), nearest).otherwise(-2))
+        if self.model is None:
+            return df.withColumn(name, F.lit(-2))
         rank = F.create_map(*[F.lit(x) for i, c in enumerate(self.order) for x in (c, i)])
-        filled = df.withColumns({f"__f_{v}": F.coalesce(F.col(v), F.lit(0.0)) for v in self.values}).withColumn("__ready", F.greatest(*[F.col(v).isNull().cast("int") for v in self.values], F.lit(0)) == 0)
+        filled = df.withColumns({f"__f_{v}": F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(None)), F.lit(0.0)) for v in self.values}).withColumn("__ready", _whole(self.values))
         renamed = filled.withColumnsRenamed({v: f"__own_{v}" for v in self.values}).withColumnsRenamed({f"__f_{v}": v for v in self.values})
         out = self.model.transform(renamed).withColumn(name, F.when(F.col("__ready"), rank[F.col("__cluster")]).otherwise(-2))
         return out.drop("__x", "__z", "__cluster", "__ready", *self.values).withColumnsRenamed({f"__own_{v}": v for v in self.values})
@@ -115,13 +129,42 @@ def k_means(rows: DataFrame, values: list[str], k: int = 2) -> DataFrame:
     return nearest_centre(rows, centres, values)
 
 
-def bandwidths(rows: DataFrame, values: list[str]) -> DataFrame:
-    """(sample, bw): the mean, over ASKED rows of the sample, of the distance within which NEAREST of its rows lie; 1 where that is 0."""
-    few = Window.partitionBy("sample").orderBy(F.xxhash64("idx", *values), "idx")
-    asked = rows.withColumn("__nth", F.row_number().over(few)).where(F.col("__nth") <= ASKED).select("sample", F.col("__nth").alias("q"), *[F.col(v).alias(f"__q_{v}") for v in values])
+def bandwidths(rows: DataFrame, values: list[str], asked: int | None = None) -> DataFrame:
+    """(sample, bw): the mean, over the sample's rows, of the distance within which NEAREST of its rows lie; 1 where that is 0.
+
+    All rows ask. Those of a sample of more than CELLS are counted first: its
+    box is cut into about CELLS cells, and the rows of a cell are one at their
+    mean that counts for all of them, so that cells meet cells. With `asked`, so
+    many rows of each sample ask, by a hash, for distances to all rows.
+    """
+    if asked is None:
+        ends = rows.groupBy("sample").agg(F.count(F.lit(1)).alias("__rows"), *[f(v).alias(f"__{n}_{v}") for v in values for n, f in (("lo", F.min), ("hi", F.max))])
+        at = lambda v: F.least(F.floor(F.try_divide((F.col(v) - F.col(f"__lo_{v}")) * _bins(len(values)), F.col(f"__hi_{v}") - F.col(f"__lo_{v}"))), F.lit(_bins(len(values)) - 1))
+        own = F.when(F.col("__rows") <= CELLS, F.col("idx"))
+        binned = rows.join(ends, "sample").groupBy("sample", own.alias("__own"), *[F.coalesce(at(v), F.lit(0)).alias(f"__b_{v}") for v in values])
+        table = durable(binned.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(v).alias(v) for v in values]))
+        asks = table
+    else:
+        few = Window.partitionBy("sample").orderBy(F.xxhash64("idx", *values), "idx")
+        table = rows.withColumn("__n", F.lit(1).cast("long"))
+        asks = table.withColumn("__nth", F.row_number().over(few)).where(F.col("__nth") <= asked)
+    asks = asks.select("sample", F.monotonically_increasing_id().alias("q"), F.col("__n").alias("__times"), *[F.col(v).alias(f"__q_{v}") for v in values])
     d = F.sqrt(_distance2([F.col(v) for v in values], [F.col(f"__q_{v}") for v in values]))
-    each = rows.join(asked, "sample").groupBy("sample", "q").agg(F.percentile_approx(d, NEAREST, 10_000).alias("d"))
-    return each.groupBy("sample").agg(F.avg("d").alias("bw")).withColumn("bw", F.when(F.col("bw") > 0, F.col("bw")).otherwise(1.0))
+    met = table.join(asks, "sample").groupBy("sample", "q", "__times")
+    if asked is None:  # about CELLS distances: the first, in order, that NEAREST of the rows lie within
+        wanted = F.ceil(F.lit(NEAREST) * F.col("__of"))
+        step = lambda a, x: F.when(a["n"] >= F.col("__k"), a).otherwise(F.struct((a["n"] + x["__n"]).alias("n"), x["d"].alias("d")))
+        each = met.agg(F.array_sort(F.collect_list(F.struct(d.alias("d"), "__n"))).alias("__d"), F.sum("__n").alias("__of")).withColumn("__k", wanted)
+        each = each.withColumn("d", F.aggregate("__d", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d")), step)["d"])
+    else:
+        each = met.agg(F.percentile_approx(d, NEAREST, 10_000).alias("d"))
+    bw = each.groupBy("sample").agg((F.sum(F.col("d") * F.col("__times")) / F.sum("__times")).alias("bw"))
+    return bw.withColumn("bw", F.when(F.col("bw") > 0, F.col("bw")).otherwise(1.0))
+
+
+def _bins(n: int) -> int:
+    """Parts of each of n values' ranges."""
+    return max(2, round(CELLS ** (1 / n)))
 
 
 def _cells(values: list[str], width: Column) -> list[Column]:
@@ -141,11 +184,11 @@ def _beside(df: DataFrame, n: int, reach: int) -> DataFrame:
     return out.drop("__o")
 
 
-def mean_shift_centres(rows: DataFrame, values: list[str], bandwidth: float | None = None) -> DataFrame:
+def mean_shift_centres(rows: DataFrame, values: list[str], bandwidth: float | None = None, asked: int | None = None) -> DataFrame:
     """(sample, k, values ...): where means of a flat kernel come to rest that start at every cell's mean; of centres within a bandwidth of each other the one with most rows stays."""
     n, v = len(values), [F.col(x) for x in values]
     cells = [f"c{i}" for i in range(n)]
-    bw = bandwidths(rows, values) if bandwidth is None else rows.select("sample").distinct().withColumn("bw", F.lit(float(bandwidth)))
+    bw = bandwidths(rows, values, asked) if bandwidth is None else rows.select("sample").distinct().withColumn("bw", F.lit(float(bandwidth)))
     bw = durable(bw)
     filed = durable(rows.join(bw, "sample").select("sample", "bw", *values, *_cells(values, F.col("bw"))))
     seeds = filed.groupBy("sample", "bw", *cells).agg(*[F.avg(x).alias(f"s_{x}") for x in values]).drop(*cells)
@@ -184,8 +227,8 @@ def mean_shift_centres(rows: DataFrame, values: list[str], bandwidth: float | No
     return durable(found.groupBy("sample").applyInPandas(apart, f"sample {key}, k int, " + ", ".join(f"`{x}` double" for x in values)))
 
 
-def mean_shift(rows: DataFrame, values: list[str], bandwidth: float | None = None) -> DataFrame:
-    return nearest_centre(rows, mean_shift_centres(rows, values, bandwidth), values)
+def mean_shift(rows: DataFrame, values: list[str], bandwidth: float | None = None, asked: int | None = None) -> DataFrame:
+    return nearest_centre(rows, mean_shift_centres(rows, values, bandwidth, asked), values)
 
 
 def linked_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -99,15 +99,19 @@ class Session:
         self.stages[stage] = self._settle()
         return self
 
+    def _total(self, channel: str) -> DataFrame:
+        """The rows, with the sum of the channels where a step looks at it and it isn't there."""
+        if channel == "total_counts" and channel not in self.df.columns:
+            self.df = self.df.withColumn(channel, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in self.channels), F.lit(0.0)))
+        return self._settle()
+
     # -- steps
 
     @logged
     def find_expcoef(self, *, below: float = 0.0, limit: float | None = None, channel: str = "total_counts", **how) -> float:
         """The exponent of the standards' washouts, which despiking takes where it is given none."""
-        self._settle()
+        self._total(channel)
         rows = self.of(self.marker)
-        if channel not in rows.columns:
-            rows = rows.withColumn(channel, sum((F.coalesce(F.col(c), F.lit(0.0)) for c in self.channels), F.lit(0.0)))
         if "trn" not in rows.columns:
             rows = segment.segmented(rows, channel, **how)
         self.exponent = washout.exponent(washout.tails(rows, channel, limit=limit), below)["used"]
@@ -123,7 +127,7 @@ class Session:
 
     @logged
     def autorange(self, *, channel: str = "total_counts", **how) -> Session:
-        self.df = runs.enumerated(segment.segmented(self._settle(), channel, **how), "sig", "ns")
+        self.df = runs.enumerated(segment.segmented(self._total(channel), channel, **how), "sig", "ns")
         return self
 
     @logged
@@ -267,15 +271,21 @@ class Session:
 
     @logged
     def filter_clustering(self, *, channels: list[str], method: str = "meanshift", level: str = "sample", clusters: int = 2, filt: bool | str = False, normalise: bool = True, include_time: bool = False, min_data: int = 10, **how) -> list[str]:
-        """A filter for each cluster, numbered from the lowest: of each sample by itself, or of the population. Rows that filt leaves out are in none."""
+        """A filter for each cluster, numbered from the lowest: of each sample by itself, or of the population. Rows that filt leaves out are in none.
+
+        method is kmeans, meanshift or, by sample, dbscan; how are its own
+        arguments (bandwidth; eps and least).
+        """
         values = [*channels, *(["time"] if include_time else [])]
         kept = self.switches.mask(filt)
         rows = self._settle().select("sample", "idx", *[F.when(kept, F.col(v)).alias(v) for v in values])
+        if level not in ("sample", "population"):
+            raise ValueError(f"level is sample or population, not {level!r}")
+        if method == "kmeans":
+            how = {"k": clusters, **how}
         if level == "population":
-            found = cluster.Classifier(values, clusters).fit(rows).predict(rows)
+            found = cluster.Classifier(values, method=method, normalise=normalise, min_data=min_data + 1, **how).fit(rows).predict(rows)
         else:
-            if method == "kmeans":
-                how = {"k": clusters, **how}
             found = cluster.clustered_by_sample(rows, values, method, min_data, normalise, **how)
         return self._clusters(found, "-".join(channels) + f"_{method}")
 
@@ -396,7 +406,10 @@ class Session:
         said = json.dumps([x["args"] for x in self.log])
         wanted = [c for c in self.channels if channels is None or c in channels or c in said]
         raw = self.stages["rawdata"]
-        keys = [c for c in ("sample", "idx", "time", "u_time") if c in raw.columns]
+        summed = any(x["step"] in ("autorange", "find_expcoef") and x["args"].get("channel", "total_counts") == "total_counts" for x in self.log)
+        if summed and "total_counts" not in raw.columns:  # of all channels, those that aren't exported too
+            raw = raw.withColumn("total_counts", sum((F.coalesce(F.col(c), F.lit(0.0)) for c in self.channels), F.lit(0.0)))
+        keys = [c for c in ("sample", "idx", "time", "u_time", *(["total_counts"] if summed else [])) if c in raw.columns]
         raw.select(*keys, *wanted).write.mode("overwrite").parquet(f"{path}/traces")
         for name, df in (("references", self.references), ("concentrations", self.concentrations)):
             if df is not None:
@@ -432,7 +445,7 @@ def reproduced(spark: SparkSession, path: str, marker: str = "STD") -> Session:
             return None
 
     traces = spark.read.parquet(f"{path}/traces")
-    channels = [c for c in traces.columns if c not in ("sample", "idx", "time", "u_time")]
+    channels = [c for c in traces.columns if c not in ("sample", "idx", "time", "u_time", "total_counts")]
     return Session(traces, channels, marker, there("concentrations"), there("references")).replay(read_log(spark, f"{path}/log"))
 
 
