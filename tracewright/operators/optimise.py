@@ -52,7 +52,7 @@ def scaled(x: np.ndarray, by: str) -> np.ndarray:
     if len(x) < (3 if by == "median" else 2):
         return np.full(x.shape, np.nan)
     if by == "median":
-        low, mid, high = np.percentile(x, [25, 50, 75], axis=0)
+        low, mid, high = quantiles(np.sort(x, axis=0), None, [0.25, 0.5, 0.75])
         return (x - mid) / np.where(high > low, high - low, np.nan)
     spread = bayes_sd(x) if by == "bayes" else x.std(axis=0)
     return (x - x.mean(axis=0)) / np.where(spread > 0, spread, np.nan)
@@ -112,12 +112,17 @@ class Counts:
         return self.found
 
 
-def quantiles(x: np.ndarray, n: np.ndarray, at: list[float]) -> np.ndarray:
-    """Of values x, in order, that occur n times each; between ranks linear."""
-    upto = np.cumsum(n)
-    rank = np.array(at) * (upto[-1] - 1)
-    lo, hi = (x[np.searchsorted(upto, f(rank), side="right")] for f in (np.floor, np.ceil))
-    return lo + (hi - lo) * (rank - np.floor(rank))
+def quantiles(x: np.ndarray, n: np.ndarray | None, at: list[float]) -> list:
+    """Of values x, in order, that occur n times each (once, if that is None); between ranks linear."""
+    upto = None if n is None else np.cumsum(n)
+    total = len(x) if n is None else int(upto[-1])
+    out = []
+    for q in at:
+        rank = q * (total - 1)
+        i, j = math.floor(rank), math.ceil(rank)
+        lo, hi = (x[k] if n is None else x[np.searchsorted(upto, k, side="right")] for k in (i, j))
+        out.append(lo + (hi - lo) * (rank - i))
+    return out
 
 
 def level(x: np.ndarray, mode: str | Callable, n: np.ndarray | None = None) -> float:
@@ -126,16 +131,19 @@ def level(x: np.ndarray, mode: str | Callable, n: np.ndarray | None = None) -> f
         return float(mode(x))
     if mode not in MODES:
         raise ValueError(f"mode is one of {list(MODES)}, a function or a pair of thresholds, not {mode!r}")
-    n = np.ones(len(x), np.int64) if n is None else n
-    total = int(n.sum())
-    mean = float((x * n).sum() / total)
+    total = len(x) if n is None else int(n.sum())
+    times = 1 if n is None else n
+    mean = float((x * times).sum() / total)
     if mode in ("mean", "bayes_mvs"):
         return mean
     if mode.startswith("kde") and total > 2:
-        width = math.sqrt(float((n * (x - mean) ** 2).sum()) / (total - 1)) * total**-0.2
+        width = math.sqrt(float((times * (x - mean) ** 2).sum()) / (total - 1)) * total**-0.2
         if width > 0:
             at = np.linspace(*quantiles(x, n, [0.01, 0.99]), 100)
-            y = np.array([(n * np.exp(-0.5 * ((a - x) / width) ** 2)).sum() for a in at])
+            if len(x) <= HELD // 100:
+                y = (times * np.exp(-0.5 * ((at[:, None] - x) / width) ** 2)).sum(axis=1)
+            else:
+                y = np.array([(times * np.exp(-0.5 * ((a - x) / width) ** 2)).sum() for a in at])
             tops = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] > y[2:]) & (y[1:-1] > 0.25 * y.max())) + 1
             return float(at[tops[0]] if mode == "kde_first_max" and len(tops) else at[y.argmax()])
     return float(quantiles(x, n, [0.5])[0])
@@ -211,9 +219,11 @@ def optimisation(df: DataFrame, values: list[str], ablation: str = "ns", *, leas
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for sample, n_, row in zip(pdf["sample"], pdf["ablation"], pdf["rows"], strict=True):
                 at, v = arrays(row)
-                yield pd.DataFrame([(sample, n_, *told(at, searched(v, least, mode, mult, maximise, **own), least))], columns=columns).astype(object)
+                out.append((sample, n_, *told(at, searched(v, least, mode, mult, maximise, **own) if len(v) > least else None, least)))
+            yield pd.DataFrame(out, columns=columns).astype(object)
 
     few = series.where((n <= least) | (windows <= EXACT)).mapInPandas(short, schema)
     many = series.where((n > least) & (windows > EXACT))

@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.durable import durable
+
 RANGE = "__range"
 
 
@@ -77,3 +79,13 @@ def quantiles(df: DataFrame, value: str, at: list[float], n: int | None = None)
         a, b = value_of[lo], value_of[hi]
         out.append(a if lo == hi or a == b else (hi - p) * a + (p - lo) * b)
     return out
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
+    """Adds each row's number, from 0, in an order of the whole table: ranges are sorted, and each is numbered from where those before it end. Equal rows are numbered as they come."""
+    at = F.monotonically_increasing_id()  # the range, and the row in it
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)).withColumn(RANGE, F.shiftright("__at", 33).cast("int"))
+    counts = placed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    row = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(counts.select(RANGE, first.alias("__first"))), RANGE).withColumn(name, row).drop("__at", "__first", RANGE)
