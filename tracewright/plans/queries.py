@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.durable import durable
 from tracewright.functions import chem, names
-from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats
-from tracewright.plans.bind import CHANNELS, E_SQL, L_SQL, events, lines, r6, table
+from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, optimise, ranked, ratio, runs, segment, stats
+from tracewright.plans.bind import CHANNELS, E_SQL, EPOCH_US, L_SQL, events, lines, r6, table
 from tracewright.plans.session import Session
 from tracewright.sources import dataformat, split
 from tracewright.sources import tables as sources
@@ -101,15 +102,16 @@ def filter_language(spark, d):
 # --- rolling -----------------------------------------------------------------
 
 
-def _despike_sql(passes: int, nlim: float) -> str:
-    sql, last = E_SQL, "e"
+def _despiked_sql(passes: int, nlim: float, source: str) -> str:
+    """CTEs of source and of each pass; the last is b<passes - 1>."""
+    sql, last = source, "e"
     for k in range(passes):
         sql += f", a{k} AS (SELECT *, avg(value) OVER (PARTITION BY sample ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mu, count(*) OVER (PARTITION BY sample) AS n FROM {last}), b{k} AS (SELECT sample, idx, time, event_type, CASE WHEN idx >= 1 AND idx < n - 1 AND mu >= 0 AND value > mu + {nlim} * sqrt(greatest(mu, 0)) THEN mu ELSE value END AS value FROM a{k})"
         last = f"b{k}"
-    return f"WITH {sql} SELECT sample, idx, round(value, 6) AS value FROM {last}"
+    return sql
 
 
-@query(_despike_sql(4, 6.0))
+@query(f"WITH {_despiked_sql(4, 6.0, E_SQL)} SELECT sample, idx, round(value, 6) AS value FROM b3")
 def noise_despike(spark, d):
     return despike.noise(events(spark, d), ["value"], nlim=6.0).select("sample", "idx", r6("value"))
 
@@ -594,12 +596,47 @@ def autorange(spark, d):
     return segment.segmented(_hours(events(spark, d)), "value").select("sample", "idx", "sig", "bkg", "trn")
 
 
-@query()
+KDE = """k{v} AS (SELECT sample, ns, k, lo{v} + k * (hi{v} - lo{v}) / 99 AS p, sum(exp(-0.5 * ((lo{v} + k * (hi{v} - lo{v}) / 99 - {v}) / b{v}) ** 2)) AS y FROM f JOIN q USING (sample, ns), (SELECT unnest(range(100)) AS k) WHERE b{v} > 0 GROUP BY sample, ns, k, lo{v}, hi{v}),
+l{v} AS (SELECT *, lag(y) OVER w AS y0, lead(y) OVER w AS y1, max(y) OVER (PARTITION BY sample, ns) AS top FROM k{v} WINDOW w AS (PARTITION BY sample, ns ORDER BY k)),
+t{v} AS (SELECT sample, ns, arg_max(p, y) AS highest, min(p) FILTER (y > y0 AND y > y1 AND y > 0.25 * top) AS first_top FROM l{v} GROUP BY sample, ns)"""
+
+
+@query(f"""WITH {RUNS}, o AS (SELECT sample, rn AS ns, idx, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY sample, rn) AS n FROM r WHERE m WINDOW w AS (PARTITION BY sample, rn ORDER BY idx)),
+g AS (SELECT a.sample, a.ns, a.idx AS first, b.idx AS last, b.i - a.i + 1 AS w, avg(c.value) AS mean, stddev_samp(c.value) / abs(avg(c.value)) AS r
+  FROM o a JOIN o b ON a.sample = b.sample AND a.ns = b.ns AND b.i - a.i + 1 BETWEEN 3 AND a.n - 1 JOIN o c ON a.sample = c.sample AND a.ns = c.ns AND c.i BETWEEN a.i AND b.i GROUP BY a.sample, a.ns, a.idx, b.idx, a.i, b.i),
+sc AS (SELECT *, (mean - quantile_cont(mean, 0.5) OVER p) / nullif(quantile_cont(mean, 0.75) OVER p - quantile_cont(mean, 0.25) OVER p, 0) AS z, count(*) OVER p AS k FROM g WINDOW p AS (PARTITION BY sample, ns, w)),
+f AS (SELECT sample, ns, first, last, w, z, r FROM sc WHERE k > 2 AND z IS NOT NULL),
+q AS (SELECT sample, ns, {", ".join(f"avg({v}) AS m{v}, stddev_samp({v}) * count(*) ** -0.2::DOUBLE AS b{v}, quantile_cont({v}, 0.5) AS d{v}, quantile_cont({v}, 0.01) AS lo{v}, quantile_cont({v}, 0.99) AS hi{v}" for v in "zr")} FROM f GROUP BY sample, ns),
+{KDE.format(v="z")}, {KDE.format(v="r")},
+x AS (SELECT q.*, tz.highest AS hz, tr.highest AS hr, tz.first_top AS fz, tr.first_top AS fr FROM q LEFT JOIN tz USING (sample, ns) LEFT JOIN tr USING (sample, ns)),
+v AS (SELECT sample, ns, 1 AS turn, coalesce(fz, hz, dz) AS lz, coalesce(fr, hr, dr) AS lr FROM x UNION ALL SELECT sample, ns, 2, coalesce(hz, dz), coalesce(hr, dr) FROM x UNION ALL SELECT sample, ns, 3, dz, dr FROM x UNION ALL SELECT sample, ns, 4, mz, mr FROM x),
+b AS (SELECT sample, ns, min({{'turn': turn, 'w': -w, 'first': first, 'last': last}}) AS best FROM f JOIN v USING (sample, ns) WHERE z < lz AND r < lr GROUP BY sample, ns)
+SELECT r.sample, r.idx, coalesce(m AND r.idx BETWEEN best.first AND best.last, false) AS optimal FROM r LEFT JOIN b ON r.sample = b.sample AND r.rn = b.ns""")
 def optimise_signal(spark, d):
     e = runs.number(masked(spark, d), "m", "ns")
     return optimise.optimised(e, ["value"], least=3).select("sample", "idx", "optimal")
 
 
+#: All events as one trace, despiked, and in stretches of value > 30.
+ONE_SQL = _despiked_sql(2, 6.0, E_SQL.replace("user_id AS sample", "0 AS sample").replace("PARTITION BY user_id ORDER BY", "ORDER BY"))
+
+
+@query(f"""WITH {ONE_SQL}, n AS (SELECT idx, value, value > 30 AS m, count(*) OVER () AS n FROM b1),
+c AS (SELECT *, CASE WHEN m <> lag(m) OVER (ORDER BY idx) THEN 1 ELSE 0 END AS ch FROM n), t AS (SELECT *, sum(ch) OVER (ORDER BY idx) AS st FROM c)
+SELECT idx, round(value, 6) AS value,
+  round(CASE WHEN idx <= 2 THEN avg(value) FILTER (idx <= 2) OVER () WHEN idx >= n - 1 THEN avg(value) FILTER (idx >= n - 1) OVER () ELSE avg(value) OVER (ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) END, 6) AS smooth,
+  CASE WHEN m THEN sum(CASE WHEN m AND (idx = 0 OR ch = 1) THEN 1 ELSE 0 END) OVER (ORDER BY idx) ELSE 0 END::INT AS run,
+  m OR (idx > 0 AND count(*) OVER (PARTITION BY st) - CASE WHEN st = 0 THEN 1 ELSE 0 END <= 3) AS defrag FROM t""")
+def one_long_trace(spark, d):
+    """All events as one trace, in blocks; their size is a parameter, here so that small tables have several."""
+    rows = table(spark, d, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("us"), "event_id", "value")
+    trace = ranked.numbered(rows, ["us", "event_id"]).select(F.lit(0).alias("sample"), "idx", (F.col("us") / 1e6).alias("time"), "value")
+    clean = durable(blocks.despiked(trace, ["value"], nlim=6.0, maxiter=2, size=2000))
+    marked = blocks.smoothed(clean, "value", 5, size=2000).withColumn("m", F.expr(MASK))
+    out = blocks.defragmented(blocks.number(marked, "m", size=2000), "m", 3, size=2000)
+    return out.select(F.col("idx").cast("int").alias("idx"), r6("value"), r6("smooth"), "run", "defrag")
+
+
 # --- text sources ------------------------------------------------------------
 
 
