@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewright.operators.frames import SAMPLE
+from tracewright.durable import durable
+from tracewright.operators import blocks, ranked
+from tracewright.operators.frames import IDX, SAMPLE
 
 
 def summaries(df: DataFrame, values: list[str], stretch: str = "ns", time: str = "u_time", n_min: int = 20, n_max: int | None = None, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:
@@ -68,14 +73,114 @@ def weighted(points: DataFrame, at: DataFrame, values: list[str], fwhm: float, t
     return out.drop(*[f"__{x}_{v}" for x in "sqw" for v in values])
 
 
-def interpolated(df: DataFrame, knots: DataFrame, values: list[str], time: str = "u_time", knot_time: str = "knot_time", by: str = SAMPLE) -> DataFrame:
-    """Adds <value>_at for each value: linear between the group's knots, constant beyond them.
+#: How a value is found between knots; beyond the first and the last it is constant.
+KINDS = ("linear", "nearest", "previous", "next", "quadratic", "cubic")
+#: Knots of a block that curves are solved in, and of its borders: what a knot says fades at every next one, by more than a half.
+KNOTS, BORDER = 50_000, 64
+
+
+def solved(t: np.ndarray, y: np.ndarray, kind: str, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What a curve through the knots has at each: slope and half second derivative (quadratic, whose pieces part midway between knots), or 0 and the second derivative (cubic).
+
+    One tridiagonal system for all columns of y. first and last tell whether
+    these are the trace's own ends, where the two outermost pieces are one
+    curve; else ends are free, for they are far from what is asked.
+    """
+    n, h = len(t), np.diff(t)
+    rise = np.diff(y, axis=0) / h[:, None]
+    if kind == "cubic":
+        low, mid, high, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(y.shape)
+        low[1:-1], mid[1:-1], high[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
+        right[1:-1] = 6 * np.diff(rise, axis=0)
+        if first:  # the end's is on the line through the next two
+            mid[1], high[1], low[1] = mid[1] + h[0] + h[0] ** 2 / h[1], high[1] - h[0] ** 2 / h[1], 0.0
+        if last:
+            mid[-2], low[-2], high[-2] = mid[-2] + h[-1] + h[-1] ** 2 / h[-2], low[-2] - h[-1] ** 2 / h[-2], 0.0
+        m = tridiagonal(low, mid, high, right)
+        if first:
+            m[0] = m[1] - h[0] / h[1] * (m[2] - m[1])
+        if last:
+            m[-1] = m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
+        return np.zeros(y.shape), m
+    # Slopes d midway between knots; at a knot, and to the ends, the slope is on the line between those beside it.
+    share = h[:-1] / (h[:-1] + h[1:])  # of the way from one middle to the next, at the knot between
+    low, mid, high = np.zeros(n - 1), np.full(n - 1, 2.0), np.zeros(n - 1)
+    mid[1:] += share
+    low[1:] = 1 - share
+    mid[:-1] += 1 - share
+    high[:-1] = share
+    out = lambda a, b: a / (a + b)  # from a middle to the end, in ways to the next middle
+    if first:
+        e = out(h[0], h[1])
+        mid[0], high[0] = mid[0] + 1 + e, high[0] - e
+    else:
+        mid[0] += 1
+    if last:
+        e = out(h[-1], h[-2])
+        mid[-1], low[-1] = mid[-1] + 1 + e, low[-1] - e
+    else:
+        mid[-1] += 1
+    d = tridiagonal(low, mid, high, 4 * rise)
+    half = np.diff(d, axis=0) / (h[:-1] + h[1:])[:, None]
+    half = np.concatenate([half[:1], half, half[-1:]])
+    slope = np.concatenate([d[:1] - half[:1] * h[0], d[:-1] + (d[1:] - d[:-1]) * share[:, None], d[-1:] + half[-1:] * h[-1]])
+    return slope, half
+
+
+def tridiagonal(low: np.ndarray, mid: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of low[i] x[i - 1] + mid[i] x[i] + high[i] x[i + 1] = right[i], for each column."""
+    n, c, x = len(mid), np.zeros(len(mid)), right.astype(float).copy()
+    c[0], x[0] = high[0] / mid[0], x[0] / mid[0]
+    for i in range(1, n):
+        by = mid[i] - low[i] * c[i - 1]
+        c[i], x[i] = high[i] / by, (x[i] - low[i] * x[i - 1]) / by
+    for i in range(n - 2, -1, -1):
+        x[i] -= c[i] * x[i + 1]
+    return x
+
+
+def curved(knots: DataFrame, values: list[str], kind: str, knot_time: str = "knot_time", by: str = SAMPLE, size: int | None = None) -> DataFrame:
+    """knots with <value>__b and <value>__a, which a quadratic or cubic curve through them needs; knots of a group differ in time, and none of their values is null.
+
+    A group's knots are dealt out in blocks with borders (operators/blocks) and
+    solved there, so that no task holds them all. A cubic curve needs four
+    knots, a quadratic one three: groups of fewer are an error.
+    """
+    least = 4 if kind == "cubic" else 3
+    few = knots.groupBy(by).count().where(F.col("count") < least).first()
+    if few:
+        raise ValueError(f"a {kind} curve needs {least} knots; {few[0]!r} has {few[1]}")
+    renamed = knots.withColumnRenamed(by, SAMPLE) if by != SAMPLE else knots
+    placed = ranked.numbered(renamed, [SAMPLE, knot_time], "__place")
+    firsts = placed.groupBy(SAMPLE).agg(F.min("__place").alias("__first"))
+    rows = durable(placed.join(firsts, SAMPLE).withColumn(IDX, F.col("__place") - F.col("__first")).drop("__place", "__first"))
+    dealt = blocks.blocked(rows, BORDER, size=size or KNOTS)
+    added = [f"{v}__{x}" for v in values for x in "ba"]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(IDX, kind="stable")
+        b, a = solved(pdf[knot_time].to_numpy(float), pdf[values].to_numpy(float), kind, bool(pdf[IDX].iloc[0] == 0), bool(pdf[IDX].iloc[-1] == pdf[blocks.ROWS].iloc[0] - 1))
+        for i, v in enumerate(values):
+            pdf[f"{v}__b"], pdf[f"{v}__a"] = b[:, i], a[:, i]
+        return pdf[pdf[blocks.OWN]][[f.name for f in schema]]
+
+    out = dealt.groupBy(*blocks.BLOCKS).applyInPandas(solve, schema).drop(IDX)
+    return out.withColumnRenamed(SAMPLE, by) if by != SAMPLE else out
+
+
+def interpolated(df: DataFrame, knots: DataFrame, values: list[str], time: str = "u_time", knot_time: str = "knot_time", by: str = SAMPLE, kind: str = "linear") -> DataFrame:
+    """Adds <value>_at for each value: between the group's knots by kind, constant beyond them. For a curve the knots are those of curved().
 
     Rows and knots are laid in one order of time, and each row takes the last
-    knot before it and the first after, so there is no join by range.
+    knot before it and the first after, so there is no join by range. Midway
+    between two, the earlier is the nearest.
     """
+    if kind not in KINDS:
+        raise ValueError(f"kind is one of {list(KINDS)}, not {kind!r}")
     names = [c for c in df.columns if c not in (by, time)]
-    k = F.struct(F.col(knot_time).alias("t"), *[F.col(v).alias(v) for v in values])
+    taken = [*values, *([f"{v}__{x}" for v in values for x in "ba"] if kind in ("quadratic", "cubic") else [])]
+    k = F.struct(F.col(knot_time).alias("t"), *[F.col(v).alias(v) for v in taken])
     rows = df.select(F.col(by), F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.struct(*(names or [F.lit(0).alias("__none")])).alias("__row"), F.lit(None).cast(knots.select(k.alias("k")).schema["k"].dataType).alias("__k"))
     marks = knots.select(F.col(by), F.col(knot_time).cast("double").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), k.alias("__k"))
     both = rows.withColumn("__t", F.col("__t").cast("double")).unionByName(marks)
@@ -84,9 +189,19 @@ def interpolated(df: DataFrame, knots: DataFrame, values: list[str], time: str =
     both = both.withColumn("__lo", F.last("__k", ignorenulls=True).over(forward)).withColumn("__hi", F.last("__k", ignorenulls=True).over(back)).where("__kind = 1")
 
     def at(v: str) -> Column:
-        lo, hi = F.col("__lo"), F.col("__hi")
-        share = (F.col("__t") - lo["t"]) / (hi["t"] - lo["t"])
-        return F.when(lo.isNull(), hi[v]).when(hi.isNull() | (lo["t"] == hi["t"]), lo[v]).otherwise(lo[v] + (hi[v] - lo[v]) * share)
+        lo, hi, t = F.col("__lo"), F.col("__hi"), F.col("__t")
+        wide, x, y = hi["t"] - lo["t"], t - lo["t"], hi["t"] - t
+        if kind == "linear":
+            between = lo[v] + (hi[v] - lo[v]) * (x / wide)
+        elif kind == "quadratic":
+            near = lambda k, way: k[v] + k[f"{v}__b"] * way + k[f"{v}__a"] * way * way
+            between = F.when(x <= y, near(lo, x)).otherwise(near(hi, -y))
+        elif kind == "cubic":
+            bent = (lo[f"{v}__a"] * y * y * y + hi[f"{v}__a"] * x * x * x) / (6 * wide)
+            between = bent + (lo[v] / wide - lo[f"{v}__a"] * wide / 6) * y + (hi[v] / wide - hi[f"{v}__a"] * wide / 6) * x
+        else:
+            between = {"previous": lo[v], "next": hi[v], "nearest": F.when(x <= y, lo[v]).otherwise(hi[v])}[kind]
+        return F.when(lo.isNull(), hi[v]).when(hi.isNull() | (lo["t"] == hi["t"]), lo[v]).otherwise(between)
 
     return both.select(by, F.col("__t").alias(time), *[F.col("__row")[n].alias(n) for n in names], *[at(v).alias(f"{v}_at") for v in values])
 

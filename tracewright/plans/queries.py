@@ -330,6 +330,60 @@ def background_interpolated(spark, d):
     x = background.interpolated(e.drop("event_type"), knots, ["value"])
     return background.subtracted(x.withColumn("sig", F.lit(True)), ["value"]).select("sample", "idx", r6("value"))
 
+@query(f"""WITH {E_SQL}, h AS (SELECT *, time / 3600 AS t FROM e), k AS (SELECT sample, t AS kt, value AS kv, lead(t) OVER w AS kt1, lead(value) OVER w AS kv1, row_number() OVER w AS i FROM h WHERE event_type = 'view' WINDOW w AS (PARTITION BY sample ORDER BY t)),
+a AS (SELECT h.sample, h.idx, h.t, k.kt, k.kv, k.kt1, k.kv1 FROM h ASOF LEFT JOIN k ON h.sample = k.sample AND h.t >= k.kt), f AS (SELECT sample, kv AS fv FROM k WHERE i = 1)
+SELECT a.sample, a.idx, round(CASE WHEN kt IS NULL THEN fv WHEN kt1 IS NULL OR t - kt <= kt1 - t THEN kv ELSE kv1 END, 6) AS value FROM a LEFT JOIN f USING (sample)""")
+def background_nearest(spark, d):
+    e = events(spark, d).withColumn("u_time", F.col("time") / 3600).select("sample", "idx", "u_time", "value", "event_type")
+    knots = e.where("event_type = 'view'").select("sample", F.col("u_time").alias("knot_time"), "value")
+    return background.interpolated(e.drop("event_type", "value"), knots, ["value"], kind="nearest").select("sample", "idx", r6("value_at", "value"))
+
+
+def _thomas(kind: str) -> str:
+    """The whole table's hourly means as knots of one curve, its tridiagonal system solved forth and back row by row."""
+    cubic = f"""s AS (SELECT i, CASE WHEN i = 1 THEN 0 WHEN i = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS lo, 2 * (h0 + h1) + CASE WHEN i = 1 THEN h0 + h0 * h0 / h1 ELSE 0 END + CASE WHEN i = n - 2 THEN h1 + h1 * h1 / h0 ELSE 0 END AS mi,
+  CASE WHEN i = n - 2 THEN 0 WHEN i = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS hi, 6 * (r1 - r0) AS ri FROM k WHERE i BETWEEN 1 AND n - 2)"""
+    quadratic = """s AS (SELECT i, CASE WHEN i = 0 THEN 0 ELSE 1 - h0 / (h0 + h1) END - CASE WHEN i = n - 2 THEN h1 / (h0 + h1) ELSE 0 END AS lo, 2 + CASE WHEN i = 0 THEN 1 + h1 / (h1 + h2) ELSE h0 / (h0 + h1) END + CASE WHEN i = n - 2 THEN 1 + h1 / (h0 + h1) ELSE 1 - h1 / (h1 + h2) END AS mi,
+  CASE WHEN i = n - 2 THEN 0 ELSE h1 / (h1 + h2) END - CASE WHEN i = 0 THEN h1 / (h1 + h2) ELSE 0 END AS hi, 4 * r1 AS ri FROM k WHERE i <= n - 2)"""
+    first = 1 if kind == "cubic" else 0
+    return f"""fo(i, c, x) AS (SELECT i, hi / mi, ri / mi FROM s WHERE i = {first} UNION ALL SELECT s.i, s.hi / (s.mi - s.lo * c), (s.ri - s.lo * x) / (s.mi - s.lo * c) FROM fo JOIN s ON s.i = fo.i + 1),
+ba(i, x) AS (SELECT i, x FROM fo WHERE i = (SELECT max(i) FROM s) UNION ALL SELECT fo.i, fo.x - fo.c * ba.x FROM ba JOIN fo ON fo.i = ba.i - 1)""".replace("fo(i", f"{cubic if kind == 'cubic' else quadratic}, fo(i", 1)
+
+
+HOURLY = f"""{E_SQL}, u AS (SELECT time / 86400 AS t, value FROM e), k0 AS (SELECT avg(t) AS t, avg(value) AS y FROM u GROUP BY floor(t * 4)),
+k AS (SELECT row_number() OVER w - 1 AS i, count(*) OVER () AS n, t, y, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, lead(t, 2) OVER w - lead(t) OVER w AS h2, (y - lag(y) OVER w) / (t - lag(t) OVER w) AS r0, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS r1 FROM k0 WINDOW w AS (ORDER BY t))"""
+CURVES = {
+    "cubic": """m AS (SELECT i, x AS a FROM ba UNION ALL SELECT 0, b1.x - k.h0 / k.h1 * (b2.x - b1.x) FROM ba b1, ba b2, k WHERE b1.i = 1 AND b2.i = 2 AND k.i = 1
+  UNION ALL SELECT k.n - 1, b1.x + k.h1 / k.h0 * (b1.x - b2.x) FROM k, ba b1, ba b2 WHERE k.i = k.n - 2 AND b1.i = k.n - 2 AND b2.i = k.n - 3),
+p AS (SELECT k.t, k.y, k.h1, m.a, lead(m.a) OVER w AS a1, lead(k.y) OVER w AS y1 FROM k JOIN m USING (i) WINDOW w AS (ORDER BY k.i)),
+g AS (SELECT e.sample, e.idx, e.time / 86400 AS x, p.* FROM e ASOF LEFT JOIN p ON e.time / 86400 >= p.t)
+SELECT sample, idx, round(CASE WHEN t IS NULL THEN (SELECT y FROM k WHERE i = 0) WHEN h1 IS NULL THEN y ELSE (a * pow(t + h1 - x, 3) + a1 * pow(x - t, 3)) / (6 * h1) + (y / h1 - a * h1 / 6) * (t + h1 - x) + (y1 / h1 - a1 * h1 / 6) * (x - t) END, 5) AS value FROM g""",
+    "quadratic": """d AS (SELECT k.i, k.n, k.t, k.y, k.h0, k.h1, ba.x AS d1, lag(ba.x) OVER (ORDER BY k.i) AS d0 FROM k LEFT JOIN ba USING (i)),
+q AS (SELECT *, CASE WHEN i BETWEEN 1 AND n - 2 THEN (d1 - d0) / (h0 + h1) END AS a0 FROM d),
+a AS (SELECT *, CASE WHEN i = 0 THEN lead(a0) OVER w WHEN i = n - 1 THEN lag(a0) OVER w ELSE a0 END AS a FROM q WINDOW w AS (ORDER BY i)),
+p AS (SELECT t, y, h1, a, b, lead(y) OVER w AS y1, lead(a) OVER w AS a1, lead(b) OVER w AS b1 FROM (SELECT *, CASE WHEN i = 0 THEN d1 - a * h1 WHEN i = n - 1 THEN d0 + a * h0 ELSE d0 + (d1 - d0) * h0 / (h0 + h1) END AS b FROM a) WINDOW w AS (ORDER BY i)),
+g AS (SELECT e.sample, e.idx, e.time / 86400 AS x, p.* FROM e ASOF LEFT JOIN p ON e.time / 86400 >= p.t)
+SELECT sample, idx, round(CASE WHEN t IS NULL THEN (SELECT y FROM k WHERE i = 0) WHEN h1 IS NULL THEN y WHEN x - t <= h1 / 2 THEN y + b * (x - t) + a * pow(x - t, 2) ELSE y1 + b1 * (x - t - h1) + a1 * pow(x - t - h1, 2) END, 5) AS value FROM g""",
+}
+
+
+def _curve(kind: str):
+    def run(spark, d):
+        """The means of every six hours, over all samples, as knots of one curve."""
+        e = events(spark, d).withColumn("u_time", F.col("time") / 86400)
+        means = e.groupBy(F.floor(F.col("u_time") * 4)).agg(F.avg("u_time").alias("knot_time"), F.avg("value").alias("value")).select(F.lit(0).alias("all"), "knot_time", "value")
+        knots = background.curved(means, ["value"], kind, by="all", size=100).drop("all")
+        rows = e.select("sample", "idx", "u_time")
+        out = background.interpolated(rows, background.near_knots(rows, knots), ["value"], kind=kind)
+        return out.select("sample", "idx", F.round("value_at", 5).alias("value"))
+
+    return run
+
+
+for _kind in ("quadratic", "cubic"):
+    QUERIES[f"background_{_kind}"] = _curve(_kind)
+    SQL[f"background_{_kind}"] = f"WITH RECURSIVE {HOURLY}, {_thomas(_kind)}, {CURVES[_kind]}"
+
 
 # --- reference materials and calibration -------------------------------------
 

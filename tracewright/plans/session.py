@@ -52,6 +52,7 @@ class Session:
         self.classifiers: dict[str, cluster.Classifier] = {}
         self.lines: DataFrame | None = None
         self.background: DataFrame | None = None
+        self._course: tuple[DataFrame, str] | None = None
         self.stats: DataFrame | None = None
         self.optimisation: DataFrame | None = None
         self.log: list[dict] = []
@@ -139,11 +140,14 @@ class Session:
         self.df = rows.join(out, ["sample", "bkg_ns"], "left").withColumn("bkg", F.col("bkg") & F.col("__out").isNull()).drop("__out", "bkg_ns")
         return self
 
-    def _subtract(self, knots: DataFrame) -> Session:
+    def _subtract(self, knots: DataFrame, kind: str = "linear") -> Session:
         """knots: knot_time, and for each channel its background and that one's error, <channel>_sd."""
         values = [*self.channels, *[f"{c}_sd" for c in self.channels]]
+        if kind in ("quadratic", "cubic"):
+            knots = background.curved(knots.withColumn("all", F.lit("session")), values, kind, by="all").drop("all")
+        self._course = durable(knots), kind
         rows = self.df.withColumns({f"{c}_sd": F.lit(None).cast("double") for c in self.channels})
-        out = background.interpolated(rows, background.near_knots(self.df, knots), values)
+        out = background.interpolated(rows, background.near_knots(self.df, self._course[0]), values, kind=kind)
         inside = F.coalesce(F.col("sig"), F.lit(False))
         out = out.withColumns({f"{c}_sd": F.when(inside, F.col(f"{c}_sd_at")) for c in self.channels})
         self.df = background.subtracted(out, self.channels).drop(*[f"{v}_at" for v in values])
@@ -158,11 +162,24 @@ class Session:
         return self._subtract(self.background.select(F.col("grid_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
 
     @logged
-    def subtract_background_between(self, *, n_min: int = 20, n_max: int | None = None, error: str = "se") -> Session:
-        """Background between the mean times of its stretches: linear there, constant beyond."""
+    def subtract_background_between(self, *, n_min: int = 20, n_max: int | None = None, error: str = "se", kind: str = "linear") -> Session:
+        """Background between the mean times of its stretches, and its error: of one of background.KINDS there, constant beyond."""
+        if kind not in background.KINDS:
+            raise ValueError(f"kind is one of {list(background.KINDS)}, not {kind!r}")
         rows = runs.number(self._settle(), "bkg", "bkg_ns")
         self.background = durable(background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max))
-        return self._subtract(self.background.select(F.col("u_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]))
+        return self._subtract(self.background.select(F.col("u_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]), kind)
+
+    def background_course(self, *, step: float) -> DataFrame:
+        """(u_time, <channel>, <channel>_sd ...): the background that was subtracted, at times from 0 on, a step apart."""
+        if self._course is None:
+            raise ValueError("no background has been subtracted")
+        knots, kind = self._course
+        values = [*self.channels, *[f"{c}_sd" for c in self.channels]]
+        last = self.df.agg(F.max("u_time")).first()[0] or 0.0
+        times = self.df.sparkSession.range(int(last // step) + 1).select((F.col("id") * F.lit(float(step))).alias("u_time"), F.floor(F.col("id") / 1000).alias("sample"))
+        out = background.interpolated(times, background.near_knots(times, knots), values, kind=kind)
+        return out.select("u_time", *[F.col(f"{v}_at").alias(v) for v in values])
 
     @logged
     def correct_interference(self, *, target: str, source: str, factor: float) -> Session:
