@@ -83,7 +83,7 @@ def consecutive_groups(runs: DataFrame, is_standard: str, time: str) -> DataFram
 
 
 def calibration(points: DataFrame, by: list[str], intercept: bool = False) -> DataFrame:
-    """Weighted least squares of srm_mean on meas_mean, in one grouped pass: m, m_sd, c, c_sd and n for each group.
+    """Weighted least squares of srm_mean on meas_mean, in one grouped pass: m, m_sd, c, c_sd, n and the covariance mc_cov for each group.
 
     Weights are 1 / (meas_err ** 2 + srm_err ** 2); points without error weigh
     as errors of 1e-12 of their value would. Deviations are scaled by the
@@ -104,15 +104,15 @@ def calibration(points: DataFrame, by: list[str], intercept: bool = False) -> Da
         m, c = F.try_divide(W * wxy - wx * wy, det), F.try_divide(wxx * wy - wx * wxy, det)
         rest = wyy - 2 * m * wxy - 2 * c * wy + m * m * wxx + 2 * m * c * wx + c * c * W
         chi = F.when(n > 2, F.greatest(rest, F.lit(0.0)) / (n - 2))
-        m_sd, c_sd = F.sqrt(F.try_divide(chi * W, det)), F.sqrt(F.try_divide(chi * wxx, det))
+        m_sd, c_sd, cov = F.sqrt(F.try_divide(chi * W, det)), F.sqrt(F.try_divide(chi * wxx, det)), -F.try_divide(chi * wx, det)
     else:
-        m, c, c_sd = F.try_divide(wxy, wxx), F.lit(0.0), F.lit(0.0)
+        m, c, c_sd, cov = F.try_divide(wxy, wxx), F.lit(0.0), F.lit(0.0), F.lit(0.0)
         rest = wyy - 2 * m * wxy + m * m * wxx
         m_sd = F.when(n > 1, F.sqrt(F.try_divide(F.greatest(rest, F.lit(0.0)) / (n - 1), wxx)))
     one = F.try_divide(F.col("y1"), F.col("x1"))
     one_sd = F.abs(one) * F.sqrt(F.pow(F.try_divide(F.col("ex"), F.col("x1")), 2) + F.pow(F.try_divide(F.col("ey"), F.col("y1")), 2))
     single = n == 1
-    return s.select(*by, F.when(single, one).otherwise(m).alias("m"), F.when(single, one_sd).otherwise(m_sd).alias("m_sd"), F.when(single, 0.0).otherwise(c).alias("c"), F.when(single, 0.0).otherwise(c_sd).alias("c_sd"), "n")
+    return s.select(*by, F.when(single, one).otherwise(m).alias("m"), F.when(single, one_sd).otherwise(m_sd).alias("m_sd"), F.when(single, 0.0).otherwise(c).alias("c"), F.when(single, 0.0).otherwise(c_sd).alias("c_sd"), "n", F.when(single, 0.0).otherwise(cov).alias("mc_cov"))
 
 
 def calibrated(ratio: Column, ratio_sd: Column, m: Column, m_sd: Column, c: Column, c_sd: Column) -> tuple[Column, Column]:

@@ -5,7 +5,10 @@ subsets, switches, the log). A stage, and what a step needs more than once, is
 written to the shared checkpoint folder; the rest is lazy. Every step is one of LOGGED; a log is JSON
 and is replayed by name through that list, never evaluated. What the traces
 were after each stage can still be read: a stage is a DataFrame, not a copy.
-Values that have an uncertainty have its deviation beside them, as <value>_sd.
+Values that have an uncertainty have its deviation beside them, as <value>_sd,
+and what each source of error adds to them in columns that are the session's
+own (functions/errors), so that an error which two values share cancels, or
+adds up, where they meet.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.durable import durable
 from tracewright.functions import names
+from tracewright.functions.errors import Uncertain, pair
 from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats, washout
 from tracewright.sources import tables
 
@@ -44,6 +48,8 @@ class Session:
         self.concentrations, self.references = concentrations, references
         self.switches = masks.Switches(self.channels)
         self.subsets: dict[str, set[str]] = {}
+        #: For each value that has an error, the column of what each source adds to it.
+        self.errors: dict[str, dict[str, str]] = {}
         self.ratios: list[str] = []
         self.fractions: list[str] = []
         self.stages: dict[str, DataFrame] = {"rawdata": traces}
@@ -83,12 +89,12 @@ class Session:
         """The rows as they were after a stage (rawdata, despiked, bkgsub, ratios, calibrated, mass_fraction), with the filters there are now; by default as they are."""
         if name is not None and name not in self.stages:
             raise ValueError(f"no stage is named {name!r}; there are {list(self.stages)}")
-        now = self.of(subset)
+        now = self._plain(self.of(subset))
         if name is None:
             return now
         found = [masks.column_of(f) for f in self.switches.names]
         keys = now.select("sample", "idx", *found)
-        return self.stages[name].drop(*found).join(keys, ["sample", "idx"])
+        return self._plain(self.stages[name]).drop(*found).join(keys, ["sample", "idx"])
 
     def _settle(self) -> DataFrame:
         """The rows, written if a step has changed them: what joins them to what is told from them doesn't make them twice."""
@@ -100,6 +106,24 @@ class Session:
         self.stages[stage] = self._settle()
         return self
 
+    def _known(self, name: str) -> Uncertain:
+        return Uncertain(F.col(name), {source: F.col(c) for source, c in self.errors.get(name, {}).items()})
+
+    def _hold(self, values: dict[str, Uncertain]) -> None:
+        """Adds, or replaces, values with their deviations and the parts of these."""
+        columns: dict[str, Column] = {}
+        for name, x in values.items():
+            columns[name] = x.value
+            if x.parts:
+                columns[f"{name}_sd"] = x.sd()
+                self.errors[name] = {source: f"__err_{name}__{i}" for i, source in enumerate(x.parts)}
+                columns |= {self.errors[name][source]: part for source, part in x.parts.items()}
+        self.df = self.df.withColumns(columns)
+
+    def _plain(self, df: DataFrame) -> DataFrame:
+        """df without the session's own columns."""
+        return df.drop(*[c for c in df.columns if c.startswith("__err_")])
+
     def _total(self, channel: str) -> DataFrame:
         """The rows, with the sum of the channels where a step looks at it and it isn't there."""
         if channel == "total_counts" and channel not in self.df.columns:
@@ -149,8 +173,11 @@ class Session:
         rows = self.df.withColumns({f"{c}_sd": F.lit(None).cast("double") for c in self.channels})
         out = background.interpolated(rows, background.near_knots(self.df, self._course[0]), values, kind=kind)
         inside = F.coalesce(F.col("sig"), F.lit(False))
-        out = out.withColumns({f"{c}_sd": F.when(inside, F.col(f"{c}_sd_at")) for c in self.channels})
-        self.df = background.subtracted(out, self.channels).drop(*[f"{v}_at" for v in values])
+        out = background.subtracted(out.withColumns({f"{c}_sd_at": F.when(inside, F.col(f"{c}_sd_at")) for c in self.channels}), self.channels)
+        self.df = out
+        self.errors = {}
+        self._hold({c: Uncertain(F.col(c), {f"background {c}": -F.col(f"{c}_sd_at")}) for c in self.channels})
+        self.df = self.df.drop(*[f"{v}_at" for v in values])
         return self._after("bkgsub")
 
     @logged
@@ -183,22 +210,24 @@ class Session:
 
     @logged
     def correct_interference(self, *, target: str, source: str, factor: float) -> Session:
-        if f"{target}_sd" in self.df.columns:
-            self.df = ratio.interference_corrected(self.df, target, source, factor).drop(f"{target}_cov_{source}")
-        else:
-            self.df = self.df.withColumn(target, F.col(target) - factor * F.col(source))
+        self._hold({target: self._known(target) - self._known(source) * factor})
         return self
 
     @logged
     def ratio(self, *, standard: str) -> Session:
-        self.df = ratio.with_ratios(self.df, self.channels, standard)
+        self._hold({f"{c}_{standard}": self._known(c) / self._known(standard) for c in self.channels if c != standard})
         self.ratios = [f"{c}_{standard}" for c in self.channels if c != standard]
-        if f"{standard}_sd" in self.df.columns:
-            parts = lambda c: [F.col(x) for x in (c, f"{c}_sd", standard, f"{standard}_sd")]
-            self.df = self.df.withColumns({f"{c}_{standard}_sd": ratio.quotient_sd(*parts(c)) for c in self.channels if c != standard})
         self.switches.values = [*self.channels, *self.ratios]
         return self._after("ratios")
 
+    @logged
+    def combine(self, *, name: str, top: str, below: str) -> Session:
+        """Adds the quotient of any two values as one more ratio; errors that they share, those of a common standard above all, cancel."""
+        self._hold({name: self._known(top) / self._known(below)})
+        self.ratios.append(name)
+        self.switches.values = [*self.channels, *self.ratios, *self.fractions]
+        return self
+
     def _standards(self, n_min: int) -> DataFrame:
         """(std, u_time, ratio, meas_mean, meas_err) of each ablation of a standard with n_min rows at least."""
         std = self.of(self.marker).where("ns > 0").groupBy("sample", "ns")
@@ -207,13 +236,15 @@ class Session:
         return wide.select("sample", F.concat_ws("#", "sample", "ns").alias("std"), "u_time", each.alias("x")).select("sample", "std", "u_time", "x.*")
 
     @logged
-    def calibrate(self, *, intercept: bool = False, n_min: int = 10, drift: bool = False) -> Session:
+    def calibrate(self, *, intercept: bool = False, n_min: int = 10, drift: bool = False, correlated: bool = False) -> Session:
         """Each ratio on a line through the standards' means, each standard against the nearest reference.
 
         With drift there is a line for each group of standards that no more
         than one other sample parts, and between the groups' mean times what
         they say is interpolated. The line's errors and the ratio's own make
         the deviation. A ratio that no standard has is null; no row is lost.
+        A line's slope and intercept count as independent, unless correlated:
+        then their covariance is kept.
         """
         self._settle()
         points = calibrate.points(self._standards(n_min), self.references)
@@ -224,27 +255,28 @@ class Session:
             points, by = points.drop("u_time").join(groups, "sample"), ["ratio", "grp", "knot_time"]
         self.lines = durable(calibrate.calibration(points, by, intercept))
         part = lambda r, c: F.max(F.when(F.col("ratio") == r, F.col(c)))
-        cells = [part(r, c).alias(f"{r}__{c}") for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
-        names = [f"{r}__{c}" for r in self.ratios for c in ("m", "m_sd", "c", "c_sd")]
+        cells = [part(r, c).alias(f"{r}__{c}") for r in self.ratios for c in ("m", "m_sd", "c", "c_sd", "mc_cov")]
+        names = [f"{r}__{c}" for r in self.ratios for c in ("m", "m_sd", "c", "c_sd", "mc_cov")]
         if drift:
             knots = self.lines.groupBy("knot_time").agg(*cells)
             rows = self.df.drop(*names)
             out = background.interpolated(rows, background.near_knots(rows, knots), names).withColumnsRenamed({f"{n}_at": n for n in names})
         else:
             out = self.df.join(F.broadcast(self.lines.agg(*cells)))  # one row, whatever there is to aggregate
-        col = {}
+        self.df, new = out, {}
         for r in self.ratios:
-            own = F.col(f"{r}_sd") if f"{r}_sd" in self.df.columns else F.lit(0.0)
-            m, m_sd, c, c_sd = (F.col(f"{r}__{x}") for x in ("m", "m_sd", "c", "c_sd"))
-            col[r], col[f"{r}_sd"] = calibrate.calibrated(F.col(r), own, m, F.coalesce(m_sd, F.lit(0.0)), c, F.coalesce(c_sd, F.lit(0.0)))
-        self.df = out.withColumns(col).drop(*names)
+            m, m_sd, c, c_sd, cov = (F.col(f"{r}__{x}") for x in ("m", "m_sd", "c", "c_sd", "mc_cov"))
+            known = lambda x: F.coalesce(x, F.lit(0.0))
+            slope, offset = pair(m, known(m_sd), c, known(c_sd), known(cov) if correlated else F.lit(0.0), (f"slope {r}", f"offset {r}"))
+            new[r] = self._known(r) * slope + offset
+        self._hold(new)
+        self.df = self.df.drop(*names)
         return self._after("calibrated")
 
     @logged
     def mass_fraction(self, *, masses: dict[str, list[float]]) -> Session:
         self.df = ratio.with_mass_fractions(self.df, {r: tuple(m) for r, m in masses.items()}, self.concentrations)
-        have = [r for r in masses if f"{r}_sd" in self.df.columns]
-        self.df = self.df.withColumns({f"{r.split('_')[0]}_massfrac_sd": F.col(f"{r}_sd") * F.col("int_stand_massfrac") * F.lit(masses[r][0] / masses[r][1]) for r in have})
+        self._hold({f"{r.split('_')[0]}_massfrac": self._known(r) * Uncertain(F.col("int_stand_massfrac") * F.lit(masses[r][0] / masses[r][1])) for r in masses})
         self.fractions = [f"{r.split('_')[0]}_massfrac" for r in masses]
         self.switches.values = [*self.channels, *self.ratios, *self.fractions]
         return self._after("mass_fraction")
@@ -435,7 +467,7 @@ class Session:
 
     def export(self, path: str) -> None:
         """Traces, statistics and the log under path."""
-        self.df.write.mode("overwrite").parquet(f"{path}/traces")
+        self._plain(self.df).write.mode("overwrite").parquet(f"{path}/traces")
         if self.stats is not None:
             tables.write_stats(self.stats, f"{path}/stats")
         self.save_log(f"{path}/log")
