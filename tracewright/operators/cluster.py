@@ -118,12 +118,13 @@ def k_means(rows: DataFrame, values: list[str], k: int = 2) -> DataFrame:
     ranked = rows.withColumn("__at", F.row_number().over(order) - 1).withColumn("__n", n)
     start = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     centres = ranked.select("*", start.alias("k")).where(F.col("__at") == F.floor((F.col("k") + 0.5) * F.col("__n") / k)).select("sample", "k", *values)
-    centres = durable(centres)
+    centres = last = durable(centres)
     for _ in range(ROUNDS):
         means = nearest_centre(rows, centres, values).groupBy("sample", "k").agg(*[F.avg(v).alias(f"__m_{v}") for v in values])
         # A centre without rows stays.
         new = durable(centres.join(means, ["sample", "k"], "left").select("sample", "k", *[F.coalesce(f"__m_{v}", v).alias(v) for v in values], F.greatest(*[F.abs(F.coalesce(f"__m_{v}", v) - F.col(v)) for v in values], F.lit(0.0)).alias("moved")))
-        centres = new.drop("moved")
+        release(last)
+        centres, last = new.drop("moved"), new
         if new.where("moved > 1e-12").isEmpty():
             break
     return nearest_centre(rows, centres, values)
@@ -234,14 +235,15 @@ def mean_shift(rows: DataFrame, values: list[str], bandwidth: float | None = Non
 def linked_cells(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) for every node: root is the smallest node that it reaches by edges (a, b). Roots pass on by rounds, each at twice the reach."""
     both = durable(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = durable(nodes.select("node", F.col("node").alias("root")))
+    roots = last = durable(nodes.select("node", F.col("node").alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("__r"))
         new = roots.join(near, "node", "left").select("node", F.coalesce(F.least("root", "__r"), "root").alias("new"), F.col("root").alias("old"))
         # The root's own root, as it was.
         up = roots.select(F.col("node").alias("new"), F.col("root").alias("__up"))
         new = durable(new.join(up, "new", "left").select("node", F.least("new", "__up").alias("root"), "old"))
-        roots = new.select("node", "root")
+        release(last)
+        roots, last = new.select("node", "root"), new
         if new.where("root <> old").isEmpty():
             return roots
 

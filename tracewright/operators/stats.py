@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.durable import durable
 from tracewright.functions.student import two_sided_p
 from tracewright.operators.frames import SAMPLE
 from tracewright.operators.ranked import quantiles, ranged, running
+from tracewright.operators.robust import huber_of_groups
 
 
 def huber(values: np.ndarray) -> tuple[float, float]:
@@ -59,6 +61,8 @@ BUILT_IN: dict[str, Callable[[Column], Column]] = {
 }
 BUILT_IN |= {"nanmean": BUILT_IN["mean"], "nanstd": BUILT_IN["std"], "stderr": BUILT_IN["se"]}
 ROBUST = ("H15_mean", "H15_std", "H15_se")
+#: Rows of a group that are held as an array at most, but for callables.
+WHOLE = 200_000
 
 
 def of_arrays(stats: list[str | Callable]):
@@ -84,11 +88,36 @@ def of_arrays(stats: list[str | Callable]):
 def sample_stats(df: DataFrame, values: list[str], stats: list[str | Callable] = ("mean", "std"), masks: dict[str, Column] | None = None, by: tuple[str, ...] = (SAMPLE,)) -> DataFrame:
     """<value>_<stat> for each group; each value has a mask of its own, by default all rows. Unknown names are an error; a callable takes an array and has its own name.
 
-    All statistics are of one grouped pass. Robust ones take a group's values
-    together, as an array of numbers; the built-in ones combine before the
-    shuffle.
+    The built-in ones combine before the shuffle. Robust ones, and callables,
+    take the values of a group of up to WHOLE rows together, as an array of
+    numbers, in the same pass. Groups of more are told apart first, and their
+    robust statistics are sums by cells (operators/robust): the same numbers.
+    Only a callable needs the array of such a group.
     """
     masks = masks or {}
+    if any(s in ROBUST for s in stats if isinstance(s, str)):
+        large = df.groupBy(*by).count().where(F.col("count") > WHOLE).select(*by)
+        if not large.isEmpty():
+            return _with_large(df, values, list(stats), masks, by, durable(large))
+    return _grouped(df, values, stats, masks, by)
+
+
+def _with_large(df: DataFrame, values: list[str], stats: list[str | Callable], masks: dict[str, Column], by: tuple[str, ...], large: DataFrame) -> DataFrame:
+    """sample_stats where some groups are large: those are named by a row each."""
+    named = large.select(*[F.col(c).alias(f"__g_{c}") for c in by])
+    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
+    few, many = df.join(named, on, "left_anti"), df.join(named, on, "left_semi")
+    plain = [s for s in stats if callable(s) or s not in ROBUST]
+    out = _grouped(many, values, [*plain, "n"] if "n" not in plain else plain, masks, by)
+    for v in values:
+        x = F.when(F.coalesce(masks[v], F.lit(False)), F.col(v)) if v in masks else F.col(v)
+        found = huber_of_groups(many.select(*by, x.alias("__v")), list(by), "__v").select(*[F.col(c).alias(f"__h_{c}") for c in by], F.col("mean").alias(f"{v}_H15_mean"), F.col("sd").alias(f"{v}_H15_std"), (F.col("sd") / F.sqrt("n")).alias(f"{v}_H15_se"))
+        out = out.join(found, [F.col(c).eqNullSafe(F.col(f"__h_{c}")) for c in by], "left").drop(*[f"__h_{c}" for c in by])
+    names = [f"{v}_{s if isinstance(s, str) else s.__name__}" for v in values for s in stats]
+    return _grouped(few, values, stats, masks, by).unionByName(out.select(*by, *names))
+
+
+def _grouped(df: DataFrame, values: list[str], stats: list[str | Callable], masks: dict[str, Column], by: tuple[str, ...]) -> DataFrame:
     arrays = [s for s in stats if callable(s) or s in ROBUST]
     if unknown := [s for s in stats if s not in arrays and s not in BUILT_IN]:
         raise ValueError(f"unknown statistic {unknown[0]!r}; known are {[*BUILT_IN, *ROBUST]} and callables")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.durable import durable
 from tracewright.functions import chem, names
+from tracewright.functions.errors import Uncertain
 from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, optimise, ranked, ratio, runs, segment, stats
 from tracewright.plans.bind import CHANNELS, E_SQL, EPOCH_US, L_SQL, events, lines, r6, table
 from tracewright.plans.session import Session
@@ -385,6 +386,17 @@ for _kind in ("quadratic", "cubic"):
     SQL[f"background_{_kind}"] = f"WITH RECURSIVE {HOURLY}, {_thomas(_kind)}, {CURVES[_kind]}"
 
 
+# --- errors that share a source ------------------------------------------------
+
+
+@query(f"WITH {L_SQL} SELECT sample, idx, round((price - 3 * qty) / nullif(price + qty, 0), 6) AS r, round(sqrt(pow(4 * qty, 2) * price + pow(4 * price, 2) * qty) / nullif(pow(price + qty, 2), 0), 6) AS r_sd FROM l")
+def shared_errors(spark, d):
+    """((price - 3 qty) / qty) / ((price + qty) / qty), counts with the errors of counts: what qty adds to all four cancels in part."""
+    price, qty = (Uncertain(F.col(c), {c: F.sqrt(c)}) for c in ("price", "qty"))
+    r = ((price - qty * 3.0) / qty) / ((price + qty) / qty)
+    return lines(spark, d).select("sample", "idx", r6(r.value, "r"), r6(r.sd(), "r_sd"))
+
+
 # --- reference materials and calibration -------------------------------------
 
 ITEMS = "i AS (SELECT p_brand AS srm, p_type AS item, avg(p_retailprice) AS v, stddev_pop(p_retailprice) / 10 AS er FROM part GROUP BY 1, 2)"
