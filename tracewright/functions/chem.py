@@ -18,16 +18,35 @@ WEIGHTS = {
     "Tl": 204.38, "Pb": 207.2, "Bi": 208.980, "Po": 209.0, "At": 210.0, "Rn": 222.0, "Fr": 223.0, "Ra": 226.0, "Ac": 227.0, "Th": 232.038,
     "Pa": 231.036, "U": 238.029,
 }
-ELEMENT = "([A-Z][a-z]?)([0-9]*)"
+#: An element with its count, or a bracket; a closing one has the number of times.
+TOKEN = r"[A-Z][a-z]?[0-9]*|\(|\)[0-9]*"
 
 
 def decomposed(formula: Column) -> Column:
-    """map(element, count) of a formula without brackets; repeated elements add up."""
-    names, counts = F.regexp_extract_all(formula, F.lit(ELEMENT), F.lit(1)), F.regexp_extract_all(formula, F.lit(ELEMENT), F.lit(2))
-    pairs = F.arrays_zip(names.alias("e"), counts.alias("n"))
-    total = lambda e: F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0), lambda a, p: a + F.when(p["n"] == "", 1).otherwise(p["n"].cast("int")))
-    keys = F.array_distinct(names)
-    return F.map_from_arrays(keys, F.transform(keys, total))
+    """map(element, count) of a formula; repeated elements add up, and what is in brackets, within others too, counts as often as the number behind them says.
+
+    Null for what isn't wholly made of elements, counts and closed brackets.
+    """
+    tokens = F.regexp_extract_all(formula, F.lit(TOKEN), F.lit(0))
+    number = lambda t: F.coalesce(F.try_to_number(F.regexp_extract(t, "([0-9]+)$", 1), F.lit("999999999")).cast("int"), F.lit(1))
+    state = lambda stack, found, ok: F.struct(stack.alias("stack"), found.alias("found"), ok.alias("ok"))
+    start = state(F.array(F.lit(1)), F.array().cast("array<struct<e: string, n: int>>"), F.lit(True))
+
+    def step(s: Column, t: Column) -> Column:
+        """From the right: a closing bracket begins a factor, the opening one ends it."""
+        factor, deep = F.element_at(s["stack"], -1), F.size(s["stack"]) > 1
+        atom = F.struct(F.regexp_extract(t, "^[A-Z][a-z]?", 0).alias("e"), (number(t) * factor).alias("n"))
+        closed = state(F.concat(s["stack"], F.array(number(t) * factor)), s["found"], s["ok"])
+        opened = state(F.when(deep, F.slice(s["stack"], 1, F.size(s["stack"]) - 1)).otherwise(s["stack"]), s["found"], s["ok"] & deep)
+        return F.when(F.startswith(t, F.lit(")")), closed).when(t == "(", opened).otherwise(state(s["stack"], F.concat(s["found"], F.array(atom)), s["ok"]))
+
+    def counted(s: Column) -> Column:
+        keys = F.array_distinct(F.transform(s["found"], lambda x: x["e"]))
+        total = lambda e: F.aggregate(F.filter(s["found"], lambda x: x["e"] == e), F.lit(0), lambda n, x: n + x["n"])
+        return F.when(s["ok"] & (F.size(s["stack"]) == 1), F.map_from_arrays(keys, F.transform(keys, total)))
+
+    read = F.array_join(tokens, "") == formula
+    return F.when(read, F.get(F.transform(F.array(F.aggregate(F.reverse(tokens), start, step)), counted), 0))
 
 
 def molar_mass(formula: Column, weights: dict[str, float] | None = None) -> Column:

@@ -610,10 +610,14 @@ def channel_names(spark, d):
     return table(spark, d, "part").select("p_partkey", names.name_mass(both).alias("name_mass"), names.mass_name(both).alias("mass_name"), names.element(a).alias("element"), names.pretty(both).alias("pretty"))
 
 
-@query("""WITH f AS (SELECT p_partkey, p_size % 4 + 1 AS n FROM part)
-SELECT p_partkey, CAST(n AS INT) AS oxygen, round(40.078 + 12.011 + n * 15.999::DOUBLE, 6) AS mass FROM f""")
+@query("""WITH f AS (SELECT p_partkey, p_size % 4 + 1 AS n, p_size % 3 AS k FROM part)
+SELECT p_partkey, CAST(CASE k WHEN 0 THEN n WHEN 1 THEN 3 * n WHEN 2 THEN 2 * (1 + n) END AS INT) AS oxygen,
+  round(CASE k WHEN 0 THEN 40.078 + 12.011 + n * 15.999::DOUBLE WHEN 1 THEN 40.078 + n * (12.011 + 3 * 15.999::DOUBLE) WHEN 2 THEN 3 * 24.305::DOUBLE + 2 * (28.085 + 15.999 + n * (15.999 + 1.008)) END, 6) AS mass FROM f""")
 def molecules(spark, d):
-    formula = F.concat(F.lit("CaCO"), F.when(F.col("p_size") % 4 > 0, (F.col("p_size") % 4 + 1).cast("string")).otherwise(""))
+    n = (F.col("p_size") % 4 + 1).cast("string")
+    written = F.when(n == "1", "").otherwise(n)
+    kinds = [F.concat(F.lit("CaCO"), written), F.concat(F.lit("Ca(CO3)"), written), F.concat(F.lit("Mg3(SiO(OH)"), written, F.lit(")2"))]
+    formula = F.element_at(F.array(*kinds), F.col("p_size") % 3 + 1)
     return table(spark, d, "part").select("p_partkey", chem.decomposed(formula)["O"].alias("oxygen"), r6(chem.molar_mass(formula), "mass"))
 
 
