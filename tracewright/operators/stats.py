@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tracewright.durable import durable
 from tracewright.functions.student import two_sided_p
+from tracewright.operators import merging
 from tracewright.operators.frames import SAMPLE
 from tracewright.operators.ranked import quantiles, ranged, running
 from tracewright.operators.robust import huber_of_groups
@@ -92,9 +93,15 @@ def sample_stats(df: DataFrame, values: list[str], stats: list[str | Callable] =
     take the values of a group of up to WHOLE rows together, as an array of
     numbers, in the same pass. Groups of more are told apart first, and their
     robust statistics are sums by cells (operators/robust): the same numbers.
-    Only a callable needs the array of such a group.
+    Only a callable needs the array of such a group. A name that is registered
+    in operators/merging has states that merge.
     """
     masks = masks or {}
+    if own := {s: merging.STATISTICS[s] for s in stats if isinstance(s, str) and s in merging.STATISTICS}:
+        rest = sample_stats(df, values, [s for s in stats if s not in own] or ["n"], masks, by)
+        found = merging.merged(df, values, own, masks, by).withColumnsRenamed({c: f"__m_{c}" for c in by})
+        met = rest.join(found, [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in by], "left")
+        return met.select(*by, *[f"{v}_{s if isinstance(s, str) else s.__name__}" for v in values for s in stats])
     if any(s in ROBUST for s in stats if isinstance(s, str)):
         large = df.groupBy(*by).count().where(F.col("count") > WHOLE).select(*by)
         if not large.isEmpty():

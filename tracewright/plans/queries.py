@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.durable import durable
 from tracewright.functions import chem, names
 from tracewright.functions.errors import Uncertain
-from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, optimise, ranked, ratio, runs, segment, stats
+from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, merging, optimise, ranked, ratio, runs, segment, stats
 from tracewright.plans.bind import CHANNELS, E_SQL, EPOCH_US, L_SQL, events, lines, r6, table
 from tracewright.plans.session import Session
-from tracewright.sources import dataformat, split
+from tracewright.sources import dataformat, parsers, split
 from tracewright.sources import tables as sources
 from tracewright.streaming import sessions
 
@@ -707,9 +708,31 @@ def one_long_trace(spark, d):
     return out.select(F.col("idx").cast("int").alias("idx"), r6("value"), r6("smooth"), "run", "defrag")
 
 
+# --- statistics that merge -----------------------------------------------------
+
+
+@query(f"WITH {E_SQL} SELECT sample, round(exp(avg(ln(value)) FILTER (value > 0)), 6) AS value_geometric, round(max(value) - min(value), 6) AS value_spread FROM e GROUP BY sample")
+def merged_statistics(spark, d):
+    """Two statistics by their states: the geometric mean of what is over 0, and the range."""
+    logs = lambda x: np.array([np.log(x[x > 0]).sum(), (x > 0).sum()])
+    geometric = merging.Statistic(lambda: np.zeros(2), lambda s, x: s + logs(x), np.add, lambda s: float(np.exp(s[0] / s[1])) if s[1] else float("nan"))
+    ends = lambda s, x: (min(s[0], x.min(initial=np.inf)), max(s[1], x.max(initial=-np.inf)))
+    spread = merging.Statistic(lambda: (np.inf, -np.inf), ends, lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0])
+    out = merging.merged(events(spark, d), ["value"], {"geometric": geometric, "spread": spread})
+    return out.select("sample", r6("value_geometric"), r6("value_spread"))
+
+
 # --- text sources ------------------------------------------------------------
 
 
+@query("""SELECT p_partkey, 'Part' AS category, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'Part', 'type', p_type FROM part UNION ALL SELECT p_partkey, 'Size', 'mm', p_size::VARCHAR FROM part""")
+def parsed_metadata(spark, d):
+    """Each part's block of lines, read by a parser that is called laterally."""
+    block = F.concat(F.lit("Part:brand="), "p_brand", F.lit(";type="), "p_type", F.lit("\nno category\nSize: mm = "), F.col("p_size").cast("string"))
+    return parsers.parsed(table(spark, d, "part").select("p_partkey", block.alias("block")), "categories")
+
+
+
 @query(r"""WITH x AS (SELECT doc_id::VARCHAR AS file, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS p FROM documents), l AS (SELECT file, len(p) AS n_lines, unnest(p) AS line, unnest(range(0, len(p))) AS line_no FROM x)
 SELECT file, CAST(line_no AS INT) AS line_no, CAST(n_lines AS INT) AS n_lines, md5(line) AS line FROM l""")
 def text_lines(spark, d):
