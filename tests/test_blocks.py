@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import blocks, despike, frames, ranked, runs
+from tracewright.plans.session import Session
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,34 @@ def test_numbered_is_row_number(spark):
     want = {k: i for i, k in enumerate(sorted(keys.tolist(), key=lambda k: (k % 7, -k)))}
     assert got == want
     assert ranked.numbered(df.where("a > 9"), ["a"]).collect() == []
+
+
+def test_a_session_in_blocks_is_one_without(spark):
+    rng, rows = np.random.default_rng(3), []
+    for s in ("a", "b STD"):
+        shape = np.clip(np.sin(np.arange(260) / 20), 0, None) * 5000
+        for i in range(260):
+            rows.append((s, i, float(i), float(i), *(float(x) for x in rng.poisson([30 + shape[i], 10 + 0.3 * shape[i]]))))
+    df = spark.createDataFrame(rows, "sample string, idx int, time double, u_time double, Ca43 double, Mg24 double")
+
+    def run(block):
+        s = Session(df, ["Ca43", "Mg24"], block=block)
+        s.despike(exponent=-0.2, maxiter=3)
+        s.autorange()
+        s.filter_gradient(channel="Ca43", win=9, limit=50.0)
+        s.filter_correlation(x="Ca43", y="Mg24", window=11, r_threshold=0.5)
+        s.filter_threshold(channel="Mg24", limit=700.0)
+        s.filter_on(filt="Mg24_thresh_above")
+        s.filter_defragment(threshold=4)
+        s.filter_exclude_downhole(threshold=2)
+        out = s.stage()
+        columns = sorted(c for c in out.columns if c not in ("sample", "idx"))
+        grads = s.gradients(channels=["Ca43"], win=7).toPandas().sort_values(["sample", "idx"])["Ca43_gradient"]
+        return columns, out.select("sample", "idx", *columns).toPandas().sort_values(["sample", "idx"]).reset_index(drop=True), grads.to_numpy(float)
+
+    names, whole, slopes = run(None)
+    again, blocked, same = run(40)
+    assert names == again and len(names) > 15 and np.allclose(slopes, same, equal_nan=True)
+    for c in names:
+        a, b = (np.array([np.nan if x is None else float(x) for x in t[c]]) for t in (whole, blocked))
+        assert np.allclose(a, b, equal_nan=True), c

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.student import two_sided_p
-from tracewright.operators import frames
+from tracewright.operators import blocks, frames
 from tracewright.operators.frames import SAMPLE, whole
 from tracewright.operators.ranked import quantiles
 
@@ -57,9 +57,9 @@ def percentile_masks(df: DataFrame, value: str, percentiles: list[float], level:
     return df.withColumn("inside", sure(v.between(lo, hi))).withColumn("outside", sure((v < lo) | (v > hi))).drop("__limits")
 
 
-def gradient_masks(df: DataFrame, value: str, win: int, limit: float, mode: str = "mid", absolute: bool = True, exclude_outside: bool = False) -> DataFrame:
-    """Adds gradient, below and above. Rows without a full frame take the nearest one's gradient, or are in no mask if they are to be excluded."""
-    df = frames.with_gradient(df, value, win, mode)
+def gradient_masks(df: DataFrame, value: str, win: int, limit: float, mode: str = "mid", absolute: bool = True, exclude_outside: bool = False, block: int | None = None) -> DataFrame:
+    """Adds gradient, below and above. Rows without a full frame take the nearest one's gradient, or are in no mask if they are to be excluded. With block, traces go in blocks of so many rows."""
+    df = blocks.with_gradient(df, value, win, mode, size=block) if block else frames.with_gradient(df, value, win, mode)
     g = F.abs("gradient") if absolute else F.col("gradient")
     if exclude_outside:
         g = F.when(frames.full(*frames.reach(win, mode)), g)
@@ -67,10 +67,13 @@ def gradient_masks(df: DataFrame, value: str, win: int, limit: float, mode: str
     return df.withColumn("below", below).withColumn("above", above)
 
 
-def correlation_mask(df: DataFrame, x: str, y: str, window: int, r_threshold: float = 0.9, p_threshold: float = 0.05) -> DataFrame:
+def correlation_mask(df: DataFrame, x: str, y: str, window: int, r_threshold: float = 0.9, p_threshold: float = 0.05, block: int | None = None) -> DataFrame:
     """Adds r, p and kept: not (|r| over its threshold and p under its own). Without r a row is kept."""
-    r, pairs = frames.correlation(x, y, window)
-    df = df.withColumn("r", r).withColumn("__pairs", pairs)
+    if block:
+        df = blocks.correlation(df, x, y, window, size=block).withColumnRenamed("pairs", "__pairs")
+    else:
+        r, pairs = frames.correlation(x, y, window)
+        df = df.withColumn("r", r).withColumn("__pairs", pairs)
     df = df.withColumn("p", two_sided_p("r", "__pairs")).drop("__pairs")
     return df.withColumn("kept", ~sure((F.abs("r") > r_threshold) & (F.col("p") < p_threshold)))
 

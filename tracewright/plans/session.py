@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from tracewright.durable import durable
 from tracewright.functions import names
 from tracewright.functions.errors import Uncertain, pair
-from tracewright.operators import background, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats, washout
+from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, optimise, ratio, runs, segment, stats, washout
 from tracewright.sources import tables
 
 LOGGED: dict[str, object] = {}
+#: What operators/blocks has a twin of.
+WHOLE = {f.__name__: f for f in (despike.despiked, frames.with_gradient, runs.number, runs.enumerated, runs.defragmented, runs.without_downhole)}
 
 
 def logged(f):
@@ -41,9 +43,16 @@ def logged(f):
 
 
 class Session:
-    """traces has sample, idx, time, u_time and a column for each channel; its rows are in order of idx within a sample."""
+    """traces has sample, idx, time, u_time and a column for each channel; its rows are in order of idx within a sample.
 
-    def __init__(self, traces: DataFrame, channels: list[str], standard_marker: str = "STD", concentrations: DataFrame | None = None, references: DataFrame | None = None):
+    With block, steps look at traces in blocks of so many rows (operators/blocks),
+    for traces that one task shouldn't hold; idx goes from 0 on without gaps
+    then. Results are the same. autorange, trimming and interpolation still
+    look at a sample's rows together.
+    """
+
+    def __init__(self, traces: DataFrame, channels: list[str], standard_marker: str = "STD", concentrations: DataFrame | None = None, references: DataFrame | None = None, block: int | None = None):
+        self.block = block
         self.df, self.channels, self.marker = traces, names.in_order(channels), standard_marker
         self.concentrations, self.references = concentrations, references
         self.switches = masks.Switches(self.channels)
@@ -106,6 +115,10 @@ class Session:
         self.stages[stage] = self._settle()
         return self
 
+    def _windows(self, name: str, df: DataFrame, *args, **how) -> DataFrame:
+        """A function of whole traces, or its twin in blocks, which reads its rows more than once: they are written before."""
+        return getattr(blocks, name)(durable(df), *args, **how, size=self.block) if self.block else WHOLE[name](df, *args, **how)
+
     def _known(self, name: str) -> Uncertain:
         return Uncertain(F.col(name), {source: F.col(c) for source, c in self.errors.get(name, {}).items()})
 
@@ -147,18 +160,18 @@ class Session:
         """Noise despiking; decay despiking before it where an exponent is given, or asked for after find_expcoef."""
         if decay and exponent is None:
             exponent = self.exponent if self.exponent is not None else self.find_expcoef.__wrapped__(self)
-        self.df = despike.despiked(self.df, self.channels, exponent, step, win, nlim, maxiter)
+        self.df = self._windows("despiked", self.df, self.channels, exponent, step, win, nlim, maxiter)
         return self._after("despiked")
 
     @logged
     def autorange(self, *, channel: str = "total_counts", **how) -> Session:
-        self.df = runs.enumerated(segment.segmented(self._total(channel), channel, **how), "sig", "ns")
+        self.df = self._windows("enumerated", segment.segmented(self._total(channel), channel, **how), "sig", "ns")
         return self
 
     @logged
     def filter_background(self, *, win: int = 3, n_lim: float = 3.0, n_min: int = 20, n_max: int | None = None) -> Session:
         """Takes stretches of background out whose rolling mean leaps over the one before."""
-        rows = runs.number(self._settle(), "bkg", "bkg_ns")
+        rows = self._windows("number", self._settle(), "bkg", "bkg_ns")
         means = background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max)
         out = background.rolling_outliers(means, [f"{c}_mean" for c in self.channels], win, n_lim).where("dropped").select("sample", "bkg_ns", F.lit(True).alias("__out"))
         self.df = rows.join(out, ["sample", "bkg_ns"], "left").withColumn("bkg", F.col("bkg") & F.col("__out").isNull()).drop("__out", "bkg_ns")
@@ -193,7 +206,7 @@ class Session:
         """Background between the mean times of its stretches, and its error: of one of background.KINDS there, constant beyond."""
         if kind not in background.KINDS:
             raise ValueError(f"kind is one of {list(background.KINDS)}, not {kind!r}")
-        rows = runs.number(self._settle(), "bkg", "bkg_ns")
+        rows = self._windows("number", self._settle(), "bkg", "bkg_ns")
         self.background = durable(background.summaries(rows, self.channels, "bkg_ns", n_min=n_min, n_max=n_max))
         return self._subtract(self.background.select(F.col("u_time").alias("knot_time"), *[F.col(f"{c}_{x}").alias(n) for c in self.channels for x, n in (("mean", c), (error, f"{c}_sd"))]), kind)
 
@@ -304,14 +317,14 @@ class Session:
 
     @logged
     def filter_gradient(self, *, channel: str, win: int, limit: float, mode: str = "mid", absolute: bool = True) -> list[str]:
-        self.df = masks.gradient_masks(self.df, channel, win, limit, mode, absolute)
+        self.df = masks.gradient_masks(self._settle() if self.block else self.df, channel, win, limit, mode, absolute, block=self.block)
         out = self._add({f"{channel}_gthresh_{p}": F.col(p) for p in ("below", "above")})
         self.df = self.df.drop("below", "above", "gradient")
         return out
 
     @logged
     def filter_gradient_percentile(self, *, channel: str, percentiles: list[float], win: int = 15, mode: str = "mid", level: str = "population") -> list[str]:
-        self.df = frames.with_gradient(self.df, channel, win, mode, "__gradient")
+        self.df = self._windows("with_gradient", self.df, channel, win, mode, "__gradient")
         self.df = masks.percentile_masks(self.df, "__gradient", percentiles, level)
         pair = ("below", "above") if len(percentiles) == 1 else ("inside", "outside")
         out = self._add({f"{channel}_grd_pcnt_{p}": F.col(p) for p in pair})
@@ -375,14 +388,14 @@ class Session:
 
     @logged
     def filter_correlation(self, *, x: str, y: str, window: int, r_threshold: float = 0.9, p_threshold: float = 0.05) -> list[str]:
-        self.df = masks.correlation_mask(self.df, x, y, window, r_threshold, p_threshold)
+        self.df = masks.correlation_mask(self._settle() if self.block else self.df, x, y, window, r_threshold, p_threshold, self.block)
         out = self._add({f"{x}_{y}_corr": F.col("kept")})
         self.df = self.df.drop("kept", "r", "p")
         return out
 
     @logged
     def filter_defragment(self, *, threshold: int = 3, mode: str = "include") -> list[str]:
-        self.df = runs.defragmented(self.df.withColumn("__on", self.switches.mask(True)), "__on", threshold, mode)
+        self.df = self._windows("defragmented", self.df.withColumn("__on", self.switches.mask(True)), "__on", threshold, mode)
         out = self._add({"defrag": F.col("defrag")})
         self.df = self.df.drop("defrag", "__on")
         return out
@@ -396,7 +409,7 @@ class Session:
 
     @logged
     def filter_exclude_downhole(self, *, threshold: int = 2) -> list[str]:
-        self.df = runs.without_downhole(self.df.withColumn("__on", self.switches.mask(True)), "__on", threshold)
+        self.df = self._windows("without_downhole", self.df.withColumn("__on", self.switches.mask(True)), "__on", threshold)
         out = self._add({"downhole": F.col("kept")})
         self.df = self.df.drop("kept", "__on")
         return out
@@ -439,7 +452,7 @@ class Session:
         """(sample, idx, <channel>_gradient ...) of all samples."""
         values, rows = channels or self.ratios or self.channels, self.of(subset)
         for v in values:
-            rows = frames.with_gradient(rows, v, win, mode, f"{v}_gradient")
+            rows = self._windows("with_gradient", rows, v, win, mode, f"{v}_gradient")
         return rows.select("sample", "idx", *[f"{v}_gradient" for v in values])
 
     def export_traces(self, path: str, *, stage: str | None = None, channels: list[str] | None = None, subset: str | None = None, filt: bool | str | dict = False, form: str = "csv") -> None:
