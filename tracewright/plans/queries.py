@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,13 +11,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.durable import durable
+from tracewright.durable import durable, shared_dir
 from tracewright.functions import chem, names
 from tracewright.functions.errors import Uncertain
 from tracewright.operators import background, blocks, calibrate, cluster, despike, frames, masks, merging, optimise, ranked, ratio, runs, segment, stats
 from tracewright.plans.bind import CHANNELS, E_SQL, EPOCH_US, L_SQL, events, lines, r6, table
 from tracewright.plans.session import Session
-from tracewright.sources import dataformat, parsers, split
+from tracewright.sources import dataformat, parsers, reader, split
 from tracewright.sources import tables as sources
 from tracewright.streaming import sessions
 
@@ -765,22 +767,41 @@ def map_positions(spark, d):
     return sources.on_scan(o, "t", "v", "speed").select("o_orderkey", r6("d"), r6("x"), F.round(F.col("s")["Price"].cast("double"), 2).alias("speed"))
 
 
-@query(r"""WITH o AS (SELECT c_custkey::VARCHAR AS file, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT 's' || file AS sample, CAST(idx AS INT) AS idx, idx * 0.5::DOUBLE AS time, round(o_totalprice, 2) AS Ca43, CAST(o_orderkey % 1000 AS DOUBLE) AS Mg24, round(o_totalprice + o_orderkey % 1000, 2) AS total_counts FROM o""")
-def instrument_files(spark, d):
-    """Each customer's orders written as an instrument would, and read back by a format."""
+FILES_SQL = r"""WITH o AS (SELECT c_custkey::VARCHAR AS file, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 's' || file AS sample, CAST(idx AS INT) AS idx, idx * 0.5::DOUBLE AS time, round(o_totalprice, 2) AS Ca43, CAST(o_orderkey % 1000 AS DOUBLE) AS Mg24, round(o_totalprice + o_orderkey % 1000, 2) AS total_counts FROM o"""
+FILES_FORMAT = {"header": 1, "footer": 1}
+
+
+def _instrument_texts(spark, d):
+    """(file, text): each customer's orders written as an instrument would."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.round("o_totalprice", 2).alias("p"))
     idx = F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")) - 1
     line = F.concat_ws(",", (idx * 0.5).cast("string"), F.format_string("%.2f", "p"), (F.col("o_orderkey") % 1000).cast("string"))
     rows = o.select("k", idx.alias("i"), line.alias("line")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))  # a file is one row
     head = F.concat(F.lit("Acquired : 2024-01-02 03:04:05 using batch\nTime [Sec],Ca43,Mg24\n"))
     text = F.concat(head, F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\nPrinted\n"))
-    files = rows.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("file"), text.alias("text"))
-    fmt = {"header": 1, "footer": 1}
-    got = dataformat.traces(dataformat.lines_of(files, "file", "text"), fmt)
+    return rows.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("file"), text.alias("text"))
+
+
+def _as_measured(got):
     return got.select("sample", "idx", "time", F.round("Ca43", 2).alias("Ca43"), "Mg24", F.round("total_counts", 2).alias("total_counts"))
 
 
+@query(FILES_SQL)
+def instrument_files(spark, d):
+    """Each customer's orders written as an instrument would, and read back by a format."""
+    return _as_measured(dataformat.traces(dataformat.lines_of(_instrument_texts(spark, d), "file", "text"), FILES_FORMAT))
+
+
+@query(FILES_SQL)
+def trace_source(spark, d):
+    """The same as files of a folder, read back by the data source in one scan of each."""
+    folder = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}"
+    reader.write_files(_instrument_texts(spark, d), folder)
+    reader.register(spark)
+    return _as_measured(spark.read.format("traces").option("format", json.dumps(FILES_FORMAT)).load(folder))
+
+
 @query(f"""WITH {E_SQL}, t AS (SELECT sample, max(time / 3600) AS last FROM e GROUP BY sample), o AS (SELECT sample, coalesce(sum(last) OVER (ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t)
 SELECT sample, idx, round(time / 3600 + o, 6) AS u_time FROM e JOIN o USING (sample)""")
 def universal_time(spark, d):
