@@ -20,6 +20,7 @@ from tracewright.plans.session import Session
 from tracewright.sources import dataformat, parsers, reader, split
 from tracewright.sources import tables as sources
 from tracewright.streaming import sessions
+from tracewright.streaming import traces as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -836,6 +837,26 @@ def sliding_background(spark, d):
     return out.select("sample", F.unix_micros("start").alias("start"), "n", r6("mean"), r6("sd"))
 
 
+def _despiked_traces_sql() -> str:
+    """Traces parted at gaps of over 6 hours, two passes of despiking, and numbered runs over 60."""
+    sql = """WITH t AS (SELECT user_id AS sample, epoch_us(ts) AS us, value FROM events), g AS (SELECT *, CASE WHEN us - lag(us) OVER w > 21600000000 OR lag(us) OVER w IS NULL THEN us END AS b FROM t WINDOW w AS (PARTITION BY sample ORDER BY us, value NULLS FIRST)),
+s AS (SELECT sample, us, value, max(b) OVER (PARTITION BY sample ORDER BY us, value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS start FROM g), p0 AS (SELECT *, row_number() OVER (PARTITION BY sample, start ORDER BY us, value NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY sample, start) AS n FROM s)"""
+    for k in range(2):
+        w = "OVER (PARTITION BY sample, start ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+        sql += f", m{k} AS (SELECT *, avg(value) {w} AS m FROM p{k}), p{k + 1} AS (SELECT sample, us, start, idx, n, CASE WHEN idx >= 1 AND idx < n - 1 AND m >= 0 AND value > m + 2.0::DOUBLE * sqrt(greatest(m, 0)) THEN m ELSE value END AS value FROM m{k})"
+    first = "CASE WHEN value > 60 AND NOT coalesce(lag(value) OVER (PARTITION BY sample, start ORDER BY idx) > 60, false) THEN 1 ELSE 0 END"
+    return f"""{sql}, f AS (SELECT *, {first} AS first FROM p2)
+SELECT sample, start, CAST(idx AS INT) AS idx, us, round(value, 6) AS value, CAST(CASE WHEN value > 60 THEN sum(first) OVER (PARTITION BY sample, start ORDER BY idx) ELSE 0 END AS INT) AS run FROM f"""
+
+
+@query(_despiked_traces_sql())
+def despiked_traces(spark, d):
+    """What the stream of despiked traces gives, over a table."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("sample"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = streamed.despiked_traces(e, ["value"], 60.0, gap=6 * 3600.0, nlim=2.0, maxiter=2)
+    return out.select("sample", F.unix_micros("start").alias("start"), "idx", F.unix_micros("ts").alias("us"), r6("value"), "run")
+
+
 @query(f"""WITH {L_SQL}, k AS (SELECT sample, 'few' AS subset, count(*) AS n FROM l WHERE sample IN (2, 3, 5) GROUP BY sample UNION ALL SELECT sample, 'not_in_set', count(*) FROM l WHERE sample NOT IN (2, 3, 5, 7) GROUP BY sample
 UNION ALL SELECT sample, '1', count(*) FROM l WHERE contains(sample::VARCHAR, '1') GROUP BY sample UNION ALL SELECT sample, 'All_Samples', count(*) FROM l WHERE NOT contains(sample::VARCHAR, '1') GROUP BY sample) SELECT sample, subset, n FROM k""")
 def session_subsets(spark, d):
