@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 from zlib import crc32
@@ -161,6 +162,26 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed(d).count() == sum(r.copies for r in out)
 
 
+def test_mixing_deals_out_rows_without_a_key(spark):
+    """One source and size, 100,000 rows of no key beside 2,000 with one: no cell has more than a few hundred, and the mix is that of a plain numbering."""
+    d = spark.range(102_000).select(F.when(F.col("id") >= 100_000, F.col("id")).alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit("s").alias("source"))
+    plan = mixing.mix(d, weights=(1,), share=0.37)
+    out = [(r.doc_id, r.text, r.copies) for r in plan.collect()]
+    assert sorted(out, key=repr) == sorted(((r.doc_id, r.text, r.copies) for r in mixing.mix(d.repartition(5), weights=(1,), share=0.37).collect()), key=repr)
+    assert len(out) == 102_000 and abs(sum(c for _, _, c in out) - 0.37 * 102_000) <= 1
+    # Rows in the order of their hashes: those without a key lie together, between lower and higher ones.
+    md5 = lambda k: hashlib.md5(str(k).encode()).hexdigest()
+    none = hashlib.md5(b"").hexdigest()
+    keyed = sorted((md5(k), c) for k, _, c in out if k is not None)
+    low, high = [c for h, c in keyed if h < none], [c for h, c in keyed if h > none]
+    offset = int(hashlib.md5(b"42:s").hexdigest()[:8], 16) / 2**32
+    crossed = lambda n: math.floor(0.37 * n + offset)
+    want = [crossed(n + 1) - crossed(n) for n in range(102_000)]
+    assert low == want[: len(low)] and high == want[102_000 - len(high) :]
+    hashed = d.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("u"))
+    assert hashed.groupBy(mixing.cell_of("h", "u").alias("cell")).count().agg(F.max("count")).first()[0] < 1000
+
+
 def test_license_spans(spark):
     mit = license_scan.TEMPLATES[1][1]
     d = spark.createDataFrame([(1, "x " * 9 + mit + " y"), (2, mit.replace("charge,", "charge indeed,")), (3, "granted, free of"), (4, "CC BY-SA cc by"), (5, "cc, by")], "doc_id long, text string")

@@ -9,7 +9,8 @@ size, then of a hash of their key, so the words taken differ from the target by
 less than the largest document. Counts are summed by (source, size, hash cell);
 sums over those tables give where a cell starts, and only the rows of one cell
 are numbered together. A source, or a size within it, that holds most of the
-rows is thus dealt out over all cells.
+rows is thus dealt out over all cells. Rows without a key have one hash; they are
+dealt out by a hash of their text, between the cells of lower and higher hashes.
 """
 
 from __future__ import annotations
@@ -22,12 +23,21 @@ from tracewright.llm.common import WORD, without
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Hexadecimal digits of a document's hash that name its cell: 256 cells for each size.
 CELL_DIGITS = 2
+#: Cells that rows without a key are dealt out to, for each size.
+SALTS = 256
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def cell_of(key_hash: str, unkeyed: str) -> Column:
+    """The cell of a row, in order of its key's hash; unkeyed is a hash of its text, where it has no key."""
+    salt = F.concat(F.lit("1"), F.lpad(F.hex(F.pmod(F.col(unkeyed), F.lit(SALTS))), 2, "0"))
+    side = F.when(F.col(unkeyed).isNotNull(), salt).when(F.col(key_hash) < F.md5(F.lit("")), "0").otherwise("2")
+    return F.concat(F.substring(key_hash, 1, CELL_DIGITS), side)
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """Adds target to rows (source, source_size), one for each source.
 
@@ -53,7 +63,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
 
     Null text has size 0. A null source is a source of its own, the last. Rows
     whose key is null or repeated are documents of their own; which of several
-    equal rows has a copy more is not told apart. A source without words has
+    rows with one key, or with none and one text, has a copy more is not told apart. A source without words has
     target 0 and no copies. An empty table gives an empty one. Input columns
     named as an added one are replaced; other columns are kept. Reruns agree:
     order and offset are md5 hashes with the seed.
@@ -62,7 +72,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
         without(docs, *ADDED)
         .withColumn("size", n_words(F.col(text)))
         .withColumn("__hash", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-        .withColumn("__cell", F.substring("__hash", 1, CELL_DIGITS))
+        .withColumn("__unkeyed", F.when(F.col(key).isNull(), F.xxhash64(text)))
+        .withColumn("__cell", cell_of("__hash", "__unkeyed"))
         .withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
     )
     cells = sized.groupBy("__source", "size", "__cell").agg(F.count(F.lit(1)).alias("__n"))
@@ -77,7 +88,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     earlier = cells.select("__source", "size", "__cell", F.coalesce(F.sum("__n").over(ahead("__cell").partitionBy("__source", "size")), F.lit(0)).alias("__earlier"))
     starts = earlier.join(smaller, ["__source", "size"]).join(sources, "__source").withColumn("__start", F.col("__smaller") + F.col("__earlier")).drop("__smaller", "__earlier")
 
-    place = F.row_number().over(Window.partitionBy("__source", "size", "__cell").orderBy("__hash", F.col(key).asc_nulls_first()))
+    place = F.row_number().over(Window.partitionBy("__source", "size", "__cell").orderBy("__hash", F.col(key).asc_nulls_first(), "__unkeyed"))
     crossed = lambda n: F.floor(F.col("__rate") * n + F.col("__offset"))
     rank = F.col("__start") + F.col("__place")
     copies = F.least(crossed(rank) - crossed(rank - 1), F.ceil(F.lit(cap)))
