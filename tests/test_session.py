@@ -255,3 +255,26 @@ def test_statistics_are_read_as_exported(spark, tmp_path):
     long = spark.createDataFrame([("mean", "a", 0, 1.5, None), ("std", "a", 0, 0.5, 2.0)], "statistic string, sample string, rep int, Ca43 double, Mg24 double")
     tables.write_stats(long, str(tmp_path / "s"))
     assert sorted(map(tuple, tables.read_stats(spark, str(tmp_path / "s")).collect())) == [("mean", "a", 0, 1.5, None), ("std", "a", 0, 0.5, 2.0)]
+
+
+def test_statistics_of_a_subset_with_times(spark, tmp_path):
+    rows = [(s, i, i * 0.5, i * 0.5, float(i), i // 4 % 2 * (i // 8 + 1)) for s in ("a", "b", "STD1") for i in range(16)]
+    s = Session(spark.createDataFrame(rows, "sample string, idx int, time double, u_time double, Ca43 double, ns int"), ["Ca43"])
+    with pytest.raises(ValueError):
+        s.statistics()
+    s.filter_threshold(channel="Ca43", limit=5.0)
+    s.filter_on(filt="Ca43_thresh_above")
+    s.sample_stats(stats_=["mean", "n"])
+    got = s.statistics(subset="All_Samples", ablation_time=True, path=str(tmp_path / "s"))
+    # Rows 4-7 and 12-15 are ablations; of the first the filter leaves 5-7, or 6-7 if the limit itself is out.
+    left = [i for i in range(4, 8) if i >= 5]
+    want = {(k, "a", r): v for r, m, n in ((0, sum(left) / len(left), len(left)), (1, 13.5, 4)) for k, v in (("mean", m), ("n", n))}
+    assert got.columns == ["statistic", "sample", "rep", "Ca43", "seconds"]
+    assert {(r.statistic, r.sample, r.rep): r.Ca43 for r in got.collect()} == want | {(k, "b", r): v for (k, _, r), v in want.items()}
+    assert {r.seconds for r in got.collect()} == {1.5}
+    assert sorted(map(tuple, tables.read_stats(spark, str(tmp_path / "s")).collect())) == sorted(map(tuple, got.collect()))
+    s.make_subset(samples=["b"], name="one")
+    s.sample_stats(stats_=["mean"], each_trace=False)
+    whole = s.statistics(subset="one", ablation_time=True).collect()
+    assert [tuple(r) for r in whole] == [("mean", "b", sum(range(5, 16)) / 11, 3.0)]
+    assert s.statistics().columns == ["statistic", "sample", "Ca43"] and s.log[-1]["step"] == "sample_stats"

@@ -69,6 +69,7 @@ class Session:
         self.background: DataFrame | None = None
         self._course: tuple[DataFrame, str] | None = None
         self.stats: DataFrame | None = None
+        self.stats_of: tuple[list[str], list[str]] = ([], [])
         self.optimisation: DataFrame | None = None
         self.log: list[dict] = []
 
@@ -85,14 +86,17 @@ class Session:
 
     def of(self, subset: str | list[str] | None = None) -> DataFrame:
         """The rows of a subset: a name of one, All_Analyses, All_Samples, STD, not_in_set, or a list of samples."""
+        return self._within(self.df, subset)
+
+    def _within(self, df: DataFrame, subset: str | list[str] | None) -> DataFrame:
         standard = F.contains(F.col("sample").cast("string"), F.lit(self.marker))
         if subset is None or subset == "All_Analyses":
-            return self.df
+            return df
         if subset in ("All_Samples", self.marker):
-            return self.df.where(~standard if subset == "All_Samples" else standard)
+            return df.where(~standard if subset == "All_Samples" else standard)
         if subset == "not_in_set":
-            return self.df.where(~F.col("sample").isin(sorted({s for x in self.subsets.values() for s in x})))
-        return self.df.where(F.col("sample").isin(sorted(self.subsets[subset]) if isinstance(subset, str) else subset))
+            return df.where(~F.col("sample").isin(sorted({s for x in self.subsets.values() for s in x})))
+        return df.where(F.col("sample").isin(sorted(self.subsets[subset]) if isinstance(subset, str) else subset))
 
     def stage(self, name: str | None = None, subset: str | list[str] | None = None) -> DataFrame:
         """The rows as they were after a stage (rawdata, despiked, bkgsub, ratios, calibrated, mass_fraction), with the filters there are now; by default as they are."""
@@ -442,8 +446,30 @@ class Session:
         rows = self.of(subset).where("ns > 0") if each_trace else self.of(subset)
         by = ("sample", "ns") if each_trace else ("sample",)
         self.stats = stats.sample_stats(rows, values, list(stats_), {v: self.switches.mask(filt, v) for v in values}, by)
+        self.stats_of = (values, [x if isinstance(x, str) else x.__name__ for x in stats_])
         return self
 
+    def statistics(self, *, subset: str | list[str] | None = None, ablation_time: bool = False, path: str | None = None) -> DataFrame:
+        """(statistic, sample, rep, values ...) of the last sample_stats, of a subset's samples; written as CSV where a path is given.
+
+        rep counts a sample's ablations from 0, and is left out where whole
+        samples were summarised. ablation_time adds seconds: how long the
+        ablation took, or all of the sample's, however rows were filtered.
+        """
+        if self.stats is None:
+            raise ValueError("there are no statistics before sample_stats")
+        wide, keys = self._within(self.stats, subset), ["sample"]
+        if "ns" in wide.columns:
+            wide, keys = wide.withColumn("rep", F.col("ns") - 1), ["sample", "rep"]
+        out = stats.long_stats(wide, *self.stats_of, tuple(keys))
+        if ablation_time:
+            times = stats.ablation_times(self.of(subset))
+            times = times if "rep" in keys else times.groupBy("sample").agg(F.sum("seconds").alias("seconds"))
+            out = out.join(times, keys, "left").select(*out.columns, "seconds")
+        if path is not None:
+            tables.write_stats(out, path)
+        return out
+
     def filter_effect(self, *, channels: list[str] | None = None, filt: bool | str = True, subset: str | None = None) -> DataFrame:
         """Means and deviations with the filters, without them, and their ratios, for each sample."""
         return stats.filter_effect(self.of(subset).where("ns > 0"), channels or self.ratios or self.channels, self.switches.mask(filt))
