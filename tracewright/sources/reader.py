@@ -32,8 +32,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tracewright.functions.names import in_order
 from tracewright.sources.dataformat import checked
 
-#: Bytes of files in a task, rows in a batch, and headers that are read at once.
-PARTITION_BYTES, BATCH, AT_ONCE = 128 << 20, 8192, 32
+#: Bytes of files in a task, what opening a file counts as in bytes, rows in a batch, and headers that are read at once.
+PARTITION_BYTES, OPENING, BATCH, AT_ONCE = 128 << 20, 1 << 20, 8192, 32
 FIXED = {"sample": T.StringType(), "file": T.StringType(), "idx": T.IntegerType(), "time": T.DoubleType()}
 TOTAL = "total_counts"
 #: What Spark's own cast reads as a number.
@@ -141,11 +141,11 @@ class TraceReader(DataSourceReader):
         for (path, name, size), sample in zip(files, samples, strict=True):
             if asked is not None and sample not in asked:
                 continue
-            if out[-1].files and held + size > most:
+            if out[-1].files and held + size + OPENING > most:
                 out.append(Files([]))
                 held = 0
             out[-1].files.append((path, name, sample))
-            held += size
+            held += size + OPENING
         return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
