@@ -128,3 +128,21 @@ def test_memory_is_constant(enc):
     large, b = peak(500)
     assert large < 1.3 * small and small < 8 << 20 and b > 9 * a
     assert np.dtype(np.int32).itemsize * b > 0
+
+
+def test_remembers_what_comes_again(enc):
+    """Words that come once take no memory, those that come again do so once, with their ids as bytes; ids are the same before and after."""
+    rng = random.Random(5)
+    own = bpe.Encoder(enc.v)
+    once = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(20_000)]
+    tracemalloc.start()
+    for at in range(0, len(once), 500):
+        own.encode(" ".join(once[at : at + 500]))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1_000_000  # over 5 MB with an entry in both memories for each
+    again = ["plain", "comma,", "comma", "naïve", "漢字", "don't", "a-b", *once[:50]]
+    want = Tokenizer.from_file(PATH).encode(" ".join(again), add_special_tokens=False).ids
+    assert own.encode(" ".join(again)) == own.encode(" ".join(again)) == own.encode(" ".join(again)) == want
+    assert all(type(own.stretches.get(s)) is bytes for s in again)
+    assert not any(own.words.get(s) for s in ("plain", *once[:50]))

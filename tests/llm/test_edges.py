@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -396,3 +397,15 @@ def test_features_are_counts():
         # The second word after another isn't seen across the cut of a block.
         assert got[0] == 1.0 and set(got) == {0, *counts}
         assert all(got[i] == pytest.approx(np.log1p(c) / size, rel=1e-3) for i, c in counts.items() if c)
+
+
+def test_quality_features_keep_nothing():
+    """Words of the texts that were read take no memory of a worker."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(500)) for k in range(40)]
+    quality.features("first")
+    tracemalloc.start()
+    for t in texts:
+        quality.features(t)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 500_000  # 20,000 words remembered with their hashes are over 2 MB

@@ -25,6 +25,7 @@ import codecs
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -45,6 +46,8 @@ PIECE = 1 << 14
 SLICE = 1 << 16
 #: Stretches between white space that a worker remembers, twice: the newer half, and the half before it. And the longest that it does.
 REMEMBERED, LONGEST = 250_000, 40
+#: Places that tell by a hash whether a text came before.
+SEEN = 1 << 21
 #: Characters, beyond a single row's, and rows in a batch that is given back.
 TOGETHER, ROWS = 1 << 20, 256
 
@@ -79,6 +82,7 @@ class Vocabulary:
         self.first = [self.ids[s] for s in self.symbols]
         self.last = [self.ids[s + self.end] for s in self.symbols]
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.width = "H" if max(self.tokens, default=0) < 1 << 16 else "I"
         self.lookahead = lookahead(pairs, {*self.symbols, *(s + self.end for s in self.symbols)}, self.end)
         self.spellings: dict[str, dict[int, bytes]] = {}
         self.lengths = {i: max(1, len(t.removesuffix(self.end)) if self.end else len(t)) for i, t in self.tokens.items()}
@@ -111,11 +115,12 @@ def lookahead(pairs: list[tuple[str, str]], symbols: set[str], end: str = "") ->
 
 
 class Memory:
-    """Text to ids, of bounded size: when the newer half is full it becomes the older one."""
+    """Text to ids, of bounded size: when the newer half is full it becomes the older one. Text is taken in when it comes again, for most never does."""
 
     def __init__(self):
         self.newer: dict = {}
         self.older: dict = {}
+        self.seen = bytearray(SEEN)
 
     def get(self, key):
         got = self.newer.get(key)
@@ -126,7 +131,14 @@ class Memory:
     def put(self, found: dict) -> None:
         if len(self.newer) + len(found) > REMEMBERED:
             self.older, self.newer = self.newer, {}
-        self.newer.update((k, v) for k, v in found.items() if type(k) is int or len(k) <= LONGEST)
+            self.seen = bytearray(SEEN)
+        self.newer.update((k, v) for k, v in found.items() if type(k) is int or len(k) <= LONGEST and self.again(k))
+
+    def again(self, key: str) -> bool:
+        """Whether a text with the place of this one came before, since the newer half began."""
+        at = hash(key) % SEEN
+        came, self.seen[at] = self.seen[at], 1
+        return bool(came) or key in self.older
 
 
 class Encoder:
@@ -201,18 +213,24 @@ class Encoder:
     def word(self, word: str) -> Iterator[int]:
         return self.stream(word[at : at + PIECE].encode() for at in range(0, len(word), PIECE))
 
-    def known(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+    def packed(self, ids: Iterable[int]) -> bytes:
+        """Ids as they are remembered: a tuple takes twice as much."""
+        return array(self.v.width, ids).tobytes()
+
+    def known(self, words: list[str]) -> Iterator[bytes]:
         """The ids of short words, from memory or, where it has none, from the transducer."""
         for w in words:
-            ids = self.words.get(w)
+            # A plain word between white space is a stretch too: one memory of the two is enough.
+            ids = self.stretches.get(w) if is_plain(w) else None
+            ids = self.words.get(w) if ids is None else ids
             if ids is None:
-                ids = tuple(self.word(w))
+                ids = self.packed(self.word(w))
                 self.words.put({w: ids})
             yield ids
 
-    def learn(self, stretches: set[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, stretches: set[str]) -> dict[str, bytes]:
         """The ids of stretches that aren't known, from those of their words."""
-        return {s: tuple(chain.from_iterable(self.known([s] if s.isascii() and s.isalpha() else self.v.words.findall(s)))) for s in stretches}
+        return {s: (self.words.get(s) or self.packed(self.word(s))) if is_plain(s) else b"".join(self.known(self.v.words.findall(s))) for s in stretches}
 
     def split(self, text: str) -> Iterator[list]:
         """The text as lists of lower-case stretches, and numbers for special tokens. Words don't reach over white space."""
@@ -223,25 +241,25 @@ class Encoder:
             at = m.end()
         yield from map(plain, slices(text[at:] if at else text))
 
-    def lookup(self, flat: list) -> list[tuple[int, ...]]:
+    def lookup(self, flat: list) -> list[int]:
         got = list(map(self.stretches.newer.get, flat))
         if None in got:
             missing = {s for s, ids in zip(flat, got, strict=True) if ids is None}
-            found = {s: (s,) if type(s) is int else self.stretches.older.get(s) for s in missing}
+            found = {s: self.packed([s]) if type(s) is int else self.stretches.older.get(s) for s in missing}
             found |= self.learn({s for s, ids in found.items() if ids is None})
             self.stretches.put(found)
             got = [found[s] if ids is None else ids for s, ids in zip(flat, got, strict=True)]
-        return got
+        return np.frombuffer(b"".join(got), self.v.width).tolist()
 
     def encode_pieces(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, as lists in order: one for each slice, and more for a long stretch without white space."""
         for part in self.split(text):
             if max(map(len, part), default=0) <= PIECE if part and type(part[0]) is str else True:
-                yield list(chain.from_iterable(self.lookup(part)))
+                yield self.lookup(part)
                 continue
             for s in part:
                 if len(s) <= PIECE:
-                    yield list(chain.from_iterable(self.lookup([s])))
+                    yield self.lookup([s])
                     continue
                 ids: list[int] = []
                 for m in self.v.words.finditer(s):
@@ -256,6 +274,11 @@ class Encoder:
         return list(chain.from_iterable(self.encode_pieces(text)))
 
 
+def is_plain(s: str) -> bool:
+    """Whether a stretch is one word in any case."""
+    return s.isascii() and s.isalpha()
+
+
 def plain(part: str) -> list[str]:
     if not part.isascii():
         part = unicodedata.normalize("NFC", part)

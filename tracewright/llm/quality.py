@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -38,11 +37,6 @@ REPEATS = 2
 BLOCK = 1 << 16
 
 
-@lru_cache(maxsize=200_000)
-def word_hash(word: bytes) -> int:
-    return crc32(word)
-
-
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text; place 0 is the constant, the only one of an empty text."""
     data, last = (text or "").encode(), None
@@ -59,13 +53,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         places.append(np.stack([np.concatenate([np.arange(1, REPEATS + 1), np.maximum(at, REPEATS + 1)]), np.concatenate([again, n])]))
 
     for m in WORDS.finditer(data) if len(data) > BLOCK * 8 else ():
-        words.append(word_hash(m[0]))
+        words.append(crc32(m[0]))
         if len(words) > BLOCK:
             take()
             last = words[-1]
             words = [last]
     if not places:
-        words = list(map(word_hash, WORDS.findall(data)))
+        words = list(map(crc32, WORDS.findall(data)))
     if len(words) > (last is not None):
         take()
     if not places:
