@@ -185,3 +185,8 @@ def test_wrong_modes_and_functions(spark):
     assert (by["first"], by["last"], by.mode) == (plain["first"], plain["last"], "function")
     empty = optimise.optimisation(df.where("ns > 5"), ["v0"])
     assert empty.collect() == []
+
+
+def test_means_that_are_equally_apart_stay_so():
+    """The windows of three rows have the means 103.89, 97.13 and 90.37, a tie of the density around the middle one: SQL finds no window under any threshold."""
+    assert optimise.best_window(np.array([[77.46], [54.17], [180.04], [57.18], [33.89]]), least=3) is None

@@ -63,21 +63,38 @@ def before(w: int) -> int:
     return w // 2 if w % 2 else w // 2 - 1
 
 
+def running(v: np.ndarray, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, means, deviations) of all windows of each length; a window's rows are added in turn, as SQL's aggregates add them, so that nothing outside it rounds its mean."""
+    s, m, q = v[:0], v[:0], v[:0]
+    for w in range(1, lengths.stop):
+        x = v[w - 1 :]
+        s = s[:-1] + x if w > 1 else x
+        d = x - m[:-1] if w > 1 else x
+        m = m[:-1] + d / w if w > 1 else x
+        q = q[:-1] + d * (x - m) if w > 1 else np.zeros(x.shape)
+        if w in lengths:
+            yield w, s / w, np.sqrt(q / (w - 1))
+
+
+def summed(v: np.ndarray, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same from prefix sums, which begin at any length."""
+    c = v.mean(axis=0)  # centred, so that sums of squares keep their digits
+    zero = np.zeros((1, v.shape[1]))
+    s, q = (np.concatenate([zero, np.cumsum(x, axis=0)]) for x in (v - c, (v - c) ** 2))
+    for w in lengths:
+        m = (s[w:] - s[:-w]) / w
+        yield w, m + c, np.sqrt(np.maximum(q[w:] - q[:-w] - w * m * m, 0) / (w - 1))
+
+
 def cells(v: np.ndarray, lengths: range, least: int, weights: np.ndarray, bias: float, scaler: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, means, relative deviations) of all windows of each length, in order of their first row; v has a column for each channel.
 
     With a bias over 0 both are multiplied by 1 - bias at the first centre of
     all to 1 + bias at the last.
     """
-    c = v.mean(axis=0)  # centred, so that sums of squares keep their digits
-    zero = np.zeros((1, v.shape[1]))
-    s, q = (np.concatenate([zero, np.cumsum(x, axis=0)]) for x in (v - c, (v - c) ** 2))
     tilt = np.linspace(1 - bias, 1 + bias, len(v) - least + 1) if bias > 0 else None
-    for w in lengths:
+    for w, mean, sd in (running if n_windows(len(v), least) <= EXACT else summed)(v, lengths):
         with np.errstate(all="ignore"):
-            m = (s[w:] - s[:-w]) / w
-            sd = np.sqrt(np.maximum(q[w:] - q[:-w] - w * m * m, 0) / (w - 1))
-            mean = m + c
             a, b = (scaled(mean, scaler) * weights).mean(axis=1), (sd / np.abs(mean) * weights).mean(axis=1)
         if tilt is not None:
             at = before(w) - before(least)
@@ -139,7 +156,8 @@ def level(x: np.ndarray, mode: str | Callable, n: np.ndarray | None = None) -> f
     if mode.startswith("kde") and total > 2:
         width = math.sqrt(float((times * (x - mean) ** 2).sum()) / (total - 1)) * total**-0.2
         if width > 0:
-            at = np.linspace(*quantiles(x, n, [0.01, 0.99]), 100)
+            lo, hi = quantiles(x, n, [0.01, 0.99])
+            at = lo + np.arange(100) * (hi - lo) / 99
             if len(x) <= HELD // 100:
                 y = (times * np.exp(-0.5 * ((at[:, None] - x) / width) ** 2)).sum(axis=1)
             else:
