@@ -1,5 +1,7 @@
 """Links by multi-index hashing against all pairs, where buckets are crowded."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -81,3 +83,32 @@ def test_twenty_thousand_in_one_bucket(spark):
     low = [1 << int(b) for b in range(42)]
     fps += [base ^ low[a] ^ low[b] ^ (low[c] if c != a else 0) for a, b, c in rng.integers(0, 42, (5_000, 3)).tolist()]
     assert components(spark, fps) == brute(fps)
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them to be as few as the fingerprints are, 108 KB for the balls of 3,000; the buckets have 360 KB."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    plans, plain = [], simhash.durable
+
+    def watched(df):
+        out = plain(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return out
+
+    monkeypatch.setattr(simhash, "durable", watched)
+    rng = np.random.default_rng(3)
+    fps = spark.createDataFrame([(int(x),) for x in set(rng.integers(0, 1 << 62, 3000).tolist())], "fp long")
+    try:
+        assert simhash.linked(fps, 4).count() == fps.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = 0
+    for plan in plans:
+        lines = [(len(x) - len(x.lstrip(" :+-*")), x) for x in plan.splitlines()]
+        found += sum("Generate" in x for _, x in lines)
+        for i, (depth, x) in enumerate(lines):
+            if "BroadcastExchange" in x:
+                below = itertools.takewhile(lambda l: l[0] > depth, lines[i + 1 :])  # noqa: B023
+                assert not any("Generate explode" in y for _, y in below), plan
+    assert found

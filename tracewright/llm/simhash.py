@@ -144,29 +144,34 @@ def rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Exploded rows that are about to be joined. Spark takes them to be as many as before, and would collect and broadcast them while the table that they come from is small."""
+    return rows.hint("merge")
+
+
 def linked(fps: DataFrame, bits: int) -> DataFrame:
     """(fp, root) for distinct fps: fingerprints of one component have the same root."""
     key, count = ["segment", "value"], segments_for(fps.count())
     filed = fps.select("fp", F.explode(segments(F.col("fp"), count)).alias("s")).select("fp", "s.segment", "s.value")
     # What is joined to a bucket's rows is written first: Spark can then split the rows of a large bucket.
     least = durable(filed.groupBy(*key).agg(F.min("fp").alias("hub")))
-    hubs = filed.join(least, key).where(near("fp", "hub", bits) & (F.col("fp") != F.col("hub")))
+    hubs = shuffled(filed).join(least, key).where(near("fp", "hub", bits) & (F.col("fp") != F.col("hub")))
     first = durable(rooted(fps, components(hubs.select(F.col("hub").alias("a"), F.col("fp").alias("b")))))
     table = first.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(segments(F.col("fp"), count)).alias("s")).select("b", "rb", "s.segment", "s.value")
     held = durable(table.groupBy(*key).agg(F.max("rb").alias("largest"), F.count(F.lit(1)).alias("n")))
     # A fingerprint is a small row and its balls are many: they are dealt out again, which Spark would lay together.
     spread = first.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probe = spread.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(ball(F.col("fp"), bits // count, count)).alias("s")).select("a", "ra", "s.segment", "s.value")
-    probe = durable(probe.join(held, key).where("ra < largest").drop("largest"))
+    probe = durable(shuffled(probe).join(held, key).where("ra < largest").drop("largest"))
     asked = durable(probe.groupBy(*key).agg(F.min("ra").alias("smallest"), F.max("n").alias("n")))
-    table = table.join(asked, key).where("rb > smallest").drop("smallest")
+    table = shuffled(table).join(asked, key).where("rb > smallest").drop("smallest")
 
     def crowd(rows: DataFrame, fp: str) -> DataFrame:
         whole = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("part")))
         split = F.explode(F.when(F.col("n") > CROWD, pieces(F.col(fp), F.col("segment"), bits, count)).otherwise(whole))
         return rows.select("*", split.alias("p")).select("*", "p.piece", "p.part").drop("p", "n")
 
-    met = crowd(probe, "a").join(crowd(table, "b"), [*key, "piece", "part"]).where((F.col("ra") < F.col("rb")) & near("a", "b", bits))
+    met = shuffled(crowd(probe, "a")).join(crowd(table, "b"), [*key, "piece", "part"]).where((F.col("ra") < F.col("rb")) & near("a", "b", bits))
     second = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return first.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
