@@ -269,3 +269,29 @@ def test_components(spark):
 def test_half_cauchy():
     x = np.abs(np.random.default_rng(7).standard_cauchy(20000)) * 3
     assert stats.half_cauchy_scale(x) == pytest.approx(3, rel=0.05)
+
+
+def test_traces_are_fitted_together(monkeypatch):
+    """One call for each length of a window, not for each cut; and each trace as if it were alone."""
+    rng, calls, plain = np.random.default_rng(5), [], segment.fit_bells
+    traces = [(np.arange(n) * 0.7, rng.exponential(50.0, n)) for n in rng.integers(5, 90, 40)]
+    alone = [segment.segment(t, v) for t, v in traces]
+    monkeypatch.setattr(segment, "fit_bells", lambda x, *rest: calls.append(len(x)) or plain(x, *rest))
+    together = segment.segments(traces)
+    assert all((a == b).all() for x, y in zip(alone, together, strict=True) for a, b in zip(x, y, strict=True))
+    assert sum(calls) > 200 and len(calls) <= 40
+
+
+def test_traces_over_batches(spark):
+    """Traces longer than what is looked at together, short ones between them, and rows in no order; other columns stay as they are."""
+    n = {"a": 3, "b": segment.TOGETHER + 11, "c": 40, "d": 2 * segment.TOGETHER, "e": 30}
+    value = F.expr("20 + 5 * sin(idx) + IF(pmod(idx, 400) > 200 OR sample IN ('c', 'e') AND idx > 15, 900, 0)")
+    df = spark.createDataFrame(list(n.items()), "sample string, n int").select("sample", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx")).select("sample", "idx", (F.col("idx") * 0.5).alias("time"), value.alias("v"), F.array("idx").alias("other"))
+    got = segment.segmented(df.orderBy(F.hash("idx")), "v")
+    assert got.columns == [*df.select("sample", "idx", "time", "v", "other").columns, "sig", "bkg", "trn"]
+    pdf = got.drop("other").toPandas()
+    assert got.where("other[0] = idx").count() == sum(n.values())
+    for s, rows in pdf.groupby("sample"):
+        rows = rows.sort_values("idx")
+        want = segment.segment(rows["time"].to_numpy(), rows["v"].to_numpy())
+        assert len(rows) == n[s] and all((rows[c].to_numpy() == w).all() for c, w in zip(("sig", "bkg", "trn"), want, strict=True))
