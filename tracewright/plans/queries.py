@@ -796,11 +796,12 @@ def instrument_files(spark, d):
 
 @query(FILES_SQL)
 def trace_source(spark, d):
-    """The same as files of a folder, read back by the data source in one scan of each."""
+    """The same as files that are dealt out to the subfolders of a folder, read back by the data source in one scan of each."""
     folder = f"{shared_dir(spark)}/traces-{uuid.uuid4().hex}"
-    reader.write_files(_instrument_texts(spark, d), folder)
+    reader.write_files(_instrument_texts(spark, d), folder, dealt=True)
     reader.register(spark)
-    return _as_measured(spark.read.format("traces").option("format", json.dumps(FILES_FORMAT)).load(folder))
+    files = spark.read.format("traces").options(format=json.dumps(FILES_FORMAT), dealt="true")
+    return _as_measured(files.schema(reader.schema_of(spark, folder, FILES_FORMAT)).load(folder))
 
 
 @query(f"""WITH {E_SQL}, t AS (SELECT sample, max(time / 3600) AS last FROM e GROUP BY sample), o AS (SELECT sample, coalesce(sum(last) OVER (ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM t)
